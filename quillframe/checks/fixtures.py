@@ -34,7 +34,7 @@ class Part{key}(Base{size}, shop.Mixin{size}, make(1)):
 
 
 if os.name:
-    class Spare{key}:
+    class Spare{key}(Part{key}, shop.kit.Kit[int]):
         """Spare for {brand}"""
 
 

@@ -104,7 +104,7 @@ def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     compiled = compiled_rules(rules)
     folders = _folders(files)
     entries = folders.select(F.explode("_chain").alias("_entry")).where(F.col("_entry") != "").distinct()
-    matches = F.col("_entry").rlike(F.col("_regex"))
+    matches = F.rlike("_entry", "_regex")
     dropped = entries.withColumn("_rule_dir", paths.parent(F.col("_entry"))).join(
         compiled, "_rule_dir"
     ).where(matches).select("_entry").distinct()
@@ -114,7 +114,7 @@ def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     in_folder = files.withColumn("_rule_dir", paths.parent(F.col("path")))
     kept = in_folder.join(
         compiled,
-        (in_folder["_rule_dir"] == compiled["_rule_dir"]) & in_folder["path"].rlike(compiled["_regex"]),
+        (in_folder["_rule_dir"] == compiled["_rule_dir"]) & F.rlike(in_folder["path"], compiled["_regex"]),
         "left_anti",
     ).select(*files.columns)
     return _without_folders(kept, dead)

@@ -56,8 +56,10 @@ def _exact(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """Distance of row i of one to row i of the other."""
     if metric == "cosine":
         norms = np.sqrt((vectors**2).sum(axis=1)) * np.sqrt((queries**2).sum(axis=1))
-        return np.round(1 - (vectors * queries).sum(axis=1) / np.where(norms == 0, 1, norms), DECIMALS)
-    return np.round(((vectors - queries) ** 2).sum(axis=1), DECIMALS)
+        distance = 1 - (vectors * queries).sum(axis=1) / np.where(norms == 0, 1, norms)
+    else:
+        distance = ((vectors - queries) ** 2).sum(axis=1)
+    return np.round(distance, DECIMALS) + 0.0  # no negative zero
 
 
 class _Best:

@@ -11,21 +11,25 @@ from quillframe.sources.storage import path_exists
 SUMMARY_JSON = "array<struct<file:string,description:string>>"
 
 
-def load_manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object path -> hash; a missing or corrupt file is an empty manifest."""
+def load_manifest_json(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """JSON object path -> hash; a missing or corrupt file is an empty manifest.
+
+    ``per_line`` reads one object per line, which splits a large export over
+    tasks. Between runs the manifest is a versioned table, not JSON.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.MANIFEST)
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=not per_line)
     return whole.select(
         F.explode(F.from_json("value", "map<string,string>")).alias("path", "sha256")
     )
 
 
-def load_summaries_json(spark: SparkSession, path: str) -> DataFrame:
+def load_summaries_json(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """JSON array of file and description, with the array position kept."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "ordinal int, " + schemas.SUMMARIES)
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=not per_line)
     return whole.select(
         F.posexplode(F.from_json("value", SUMMARY_JSON)).alias("ordinal", "entry")
     ).select("ordinal", F.col("entry.file").alias("path"), F.col("entry.description"))
