@@ -13,7 +13,7 @@ from quillframe.operators import (
     changes, code, completion, embedding, folders, ignore, ordering, packing, postprocess,
     reports, revisions, search, vectors as vec,
 )
-from quillframe.plans import retrieval
+from quillframe.plans import describe, retrieval
 from quillframe.scratch import scratch_path, written
 from quillframe.sources import source_tree, state, storage
 
@@ -173,16 +173,7 @@ def description_lookup(spark, sf) -> DataFrame:
     """Two descriptions per summary path; the first counts, none is empty."""
     first = fx.summaries(spark, sf).withColumn("ordinal", F.lit(0))
     second = first.select("path", F.lit("later").alias("description"), F.lit(1).alias("ordinal"))
-    return first_descriptions(fx.doc_files(spark, sf).select("path"), first.unionByName(second))
-
-
-def first_descriptions(files: DataFrame, listed: DataFrame) -> DataFrame:
-    known = ordering.first_per_key(
-        listed.withColumn("path", paths.normalize(F.col("path"))), ["path"], "ordinal"
-    )
-    return files.join(known.select("path", "description"), "path", "left").select(
-        "path", F.coalesce("description", F.lit("")).alias("description")
-    )
+    return describe.first_descriptions(fx.doc_files(spark, sf).select("path"), first.unionByName(second))
 
 
 def folder_assignment(spark, sf) -> DataFrame:
@@ -214,7 +205,7 @@ def vector_top_k_blocks(spark, sf) -> DataFrame:
     """The way taken when the queries are too many to share."""
     return search.nearest(
         _all_queries(spark, sf), fx.vectors(spark, sf),
-        max_shared_bytes=0, queries_per_block=200, vectors_per_block=200,
+        max_shared_bytes=0, block_bytes=64 * 1024,
     )
 
 

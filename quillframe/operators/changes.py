@@ -62,5 +62,6 @@ def output_status(content: Column) -> Column:
 
 
 def attach_content(selected: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
-    """Bring the content back for the selected rows only."""
-    return selected.join(files.select(key, "content"), key)
+    """Bring the content back for the selected rows only; unreadable ones drop out."""
+    readable = files.select(key, "content").where(F.col("content").isNotNull())
+    return selected.join(readable, key)

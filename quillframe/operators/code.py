@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quillframe import schemas
 from quillframe.functions.text import first_line, strip
 from quillframe.operators.ordering import first_per_key
+from quillframe.session import bound_batches
 
 KINDS = {
     ast.Module: "module",
@@ -98,6 +99,7 @@ def parse_modules(files: DataFrame, key: str = "path") -> DataFrame:
 
     Read by several tables below: write it once.
     """
+    bound_batches(files.sparkSession)
     fields = T.StructType.fromDDL(schemas.PARSED).fields
     schema = T.StructType([files.schema[key], *fields])
     target = to_arrow_schema(schema)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quillframe import schemas
+from quillframe.session import bound_batches
 
 # Fixed values.
 MAX_RETRIES = 5
@@ -67,6 +68,7 @@ def complete_prompts(
     never ends up among the texts. Tasks can be repeated by Spark: write the
     result once and join on the hash.
     """
+    bound_batches(prompts.sparkSession)
     distinct = prompts.select(
         F.sha2(F.col(prompt), 256).alias("prompt_hash"), F.col(prompt).alias("prompt")
     ).distinct()

@@ -10,6 +10,8 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from quillframe.session import bound_batches
+
 BATCH_SIZE = 128
 WIDTH = 64
 
@@ -56,6 +58,7 @@ def embedder(make_predict: Callable | None = None, batch_size: int = BATCH_SIZE)
 
 def with_embedding(df: DataFrame, text: str = "document", make_predict: Callable | None = None) -> DataFrame:
     """Add ``embedding``; null texts count as empty."""
+    bound_batches(df.sparkSession)
     return df.withColumn("embedding", embedder(make_predict)(F.coalesce(F.col(text), F.lit(""))))
 
 

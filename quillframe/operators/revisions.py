@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 
 def paired(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
@@ -42,7 +43,7 @@ def line_changes(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Unified diff text; empty for equal texts."""
     import difflib

@@ -20,8 +20,8 @@ from quillframe.operators.ordering import top_k
 
 DEFAULT_K = 5  # fixed value: hits per query
 MAX_SHARED_BYTES = 64 * 1024 * 1024
-QUERIES_PER_BLOCK = 4_096
-VECTORS_PER_BLOCK = 50_000
+BLOCK_BYTES = 64 * 1024 * 1024
+FLOAT_BYTES = 4
 SCORED_QUERIES = 256
 SCORED_VECTORS = 8_192
 EXACT_PAIRS = 65_536
@@ -30,12 +30,12 @@ EXACT_PAIRS = 65_536
 DECIMALS = 9
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind=np.float64) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
-        return np.empty((0, 0))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        return np.empty((0, 0), kind)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
 def _estimate(vectors: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
@@ -70,10 +70,10 @@ class _Best:
         self.worst = np.full(len(queries), np.inf)
         self.table: pa.Table | None = None
 
-    def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
+    def add(self, ids: pa.Array, embeddings: pa.Array) -> None:
         for low in range(0, len(ids), SCORED_VECTORS):
-            high = min(low + SCORED_VECTORS, len(ids))
-            self._add_block(ids.slice(low, high - low), vectors[low:high])
+            block = embeddings.slice(low, SCORED_VECTORS)
+            self._add_block(ids.slice(low, SCORED_VECTORS), _matrix(block))
 
     def _add_block(self, ids: pa.Array, vectors: np.ndarray) -> None:
         by_id = pc.sort_indices(ids)
@@ -91,7 +91,7 @@ class _Best:
         self._keep_best(pa.concat_tables(parts) if parts else None)
 
     def _candidates(self, vectors: np.ndarray, start: int):
-        queries = self.queries[start:start + SCORED_QUERIES]
+        queries = self.queries[start:start + SCORED_QUERIES].astype(np.float64)
         near, error = _estimate(vectors, queries, self.metric)
         k = min(self.k, near.shape[1])
         limit = np.partition(near, k - 1, axis=1)[:, k - 1] if k else np.empty(len(queries))
@@ -151,14 +151,19 @@ def _hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
 def _shared_queries(queries: DataFrame, max_bytes: int) -> pa.Table | None:
     """The query set if it is proven to fit the bound, else None."""
     shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
-    if shape.n * (shape.width or 0) * 8 > max_bytes:
+    if shape.n * (shape.width or 0) * FLOAT_BYTES > max_bytes:
         return None
     return queries.toArrow()
 
 
+def _rows_per_block(rows: DataFrame, block_bytes: int) -> int:
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return max(1, block_bytes // (width * FLOAT_BYTES))
+
+
 def _with_shared_queries(table: pa.Table, vectors: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
     query_ids = table["query_id"].combine_chunks()
-    matrix = _matrix(table["embedding"])
+    matrix = _matrix(table["embedding"], np.float32)
     shared = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +171,7 @@ def _with_shared_queries(table: pa.Table, vectors: DataFrame, schema: T.StructTy
         best = _Best(ids, queries, k, metric)
         for batch in batches:
             if batch.num_rows and len(queries):
-                best.add(batch.column("id"), _matrix(batch.column("embedding")))
+                best.add(batch.column("id"), batch.column("embedding"))
         hits = best.hits()
         if hits is not None:
             yield from hits.to_batches()
@@ -174,15 +179,18 @@ def _with_shared_queries(table: pa.Table, vectors: DataFrame, schema: T.StructTy
     return vectors.mapInArrow(score, schema)
 
 
-def _in_blocks(queries: DataFrame, vectors: DataFrame, schema: T.StructType, k: int, metric: str,
-               queries_per_block: int, vectors_per_block: int) -> DataFrame:
+def _in_blocks(
+    queries: DataFrame, vectors: DataFrame, schema: T.StructType, k: int, metric: str, block_bytes: int
+) -> DataFrame:
     """Every block of queries meets every block of vectors in a task of its own.
 
-    Blocks come from hashes of unique ids, so they are even whatever the data.
-    Vectors are copied once per query block, queries once per vector block.
+    Blocks hold a fixed number of bytes and come from hashes of unique ids, so
+    they are even whatever the data. Vectors are copied once per query block,
+    queries once per vector block.
     """
-    query_blocks = max(1, math.ceil(queries.count() / queries_per_block))
-    vector_blocks = max(1, math.ceil(vectors.count() / vectors_per_block))
+    per_block = _rows_per_block(queries, block_bytes)
+    query_blocks = max(1, math.ceil(queries.count() / per_block))
+    vector_blocks = max(1, math.ceil(vectors.count() / per_block))
 
     def block(column: str, count: int):
         return F.pmod(F.xxhash64(column), F.lit(count))
@@ -198,9 +206,9 @@ def _in_blocks(queries: DataFrame, vectors: DataFrame, schema: T.StructType, k:
         if not query_table.num_rows or not vector_table.num_rows:
             return target.empty_table()
         best = _Best(
-            query_table["query_id"].combine_chunks(), _matrix(query_table["embedding"]), k, metric
+            query_table["query_id"].combine_chunks(), _matrix(query_table["embedding"], np.float32), k, metric
         )
-        best.add(vector_table["id"].combine_chunks(), _matrix(vector_table["embedding"]))
+        best.add(vector_table["id"].combine_chunks(), vector_table["embedding"].combine_chunks())
         return best.hits().cast(target)
 
     keys = [F.col("_q").cast("bigint"), F.col("_v").cast("bigint")]
@@ -219,8 +227,7 @@ def nearest(
     k: int = DEFAULT_K,
     metric: str = "l2",
     max_shared_bytes: int = MAX_SHARED_BYTES,
-    queries_per_block: int = QUERIES_PER_BLOCK,
-    vectors_per_block: int = VECTORS_PER_BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest vectors of every query.
 
@@ -231,14 +238,15 @@ def nearest(
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    queries = queries.select("query_id", "embedding")
-    vectors = vectors.select("id", "embedding")
+    present = F.col("embedding").isNotNull()
+    queries = queries.select("query_id", "embedding").where(present)
+    vectors = vectors.select("id", "embedding").where(present)
     schema = _hit_schema(queries, vectors)
     shared = _shared_queries(queries, max_shared_bytes)
     if shared is not None:
         partial = _with_shared_queries(shared, vectors, schema, k, metric)
     else:
-        partial = _in_blocks(queries, vectors, schema, k, metric, queries_per_block, vectors_per_block)
+        partial = _in_blocks(queries, vectors, schema, k, metric, block_bytes)
     return top_k(partial, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 

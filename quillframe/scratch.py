@@ -29,7 +29,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under one folder per application, which its owner can clear."""
+    run = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/quillframe-{run}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -28,8 +28,18 @@ def build_session(app: str = "quillframe", master: str | None = None, **conf) ->
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Apply the byte bound on Arrow batches to a session made elsewhere."""
+    """Bound Arrow batches by bytes in a session made elsewhere.
+
+    Called by the operators that send whole texts to Python workers: a batch of
+    10,000 large files would not fit a worker.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    current = int(spark.conf.get(key, "-1") or -1)
-    if current <= 0 or current > int(SETTINGS[key]):
+    current = _bytes(spark.conf.get(key))
+    if current <= 0 or current > _bytes(SETTINGS[key]):
         spark.conf.set(key, SETTINGS[key])
+
+
+def _bytes(setting: str) -> int:
+    digits = "".join(c for c in setting if c.isdigit() or c == "-")
+    unit = setting[len(digits):].strip().lower()[:1]
+    return int(digits) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit]

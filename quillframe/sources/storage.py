@@ -96,6 +96,8 @@ def get_or_create_collection(spark: SparkSession, name: str, location: str | Non
             f"CREATE TABLE IF NOT EXISTS {name} ({schemas.VECTORS}) USING parquet{where} "
             "PARTITIONED BY (file_type)"
         )
+        if location and path_exists(spark, location):
+            spark.catalog.recoverPartitions(name)  # rows an earlier session left there
     return spark.table(name)
 
 
