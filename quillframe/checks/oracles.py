@@ -195,7 +195,8 @@ def _bodies() -> dict[str, str]:
             SELECT {normalize('path')} AS path, 'data/' || {normalize('path')} AS out_path, description,
                    split_part({normalize('path')}, '/', 1) AS top_folder FROM summaries""",
         "snk4_vector_collection": """
-            SELECT id, document, file_path, file_type, round(list_sum(embedding), 6) AS embedding_sum FROM vectors""",
+            SELECT id, document, file_path, file_type, round(list_sum(embedding), 6) AS embedding_sum,
+                   {tokens} AS tokens FROM vectors""".replace("{tokens}", TOKENS.format("document")),
         "snk5_keep_history": f"""
             SELECT doc_id::VARCHAR AS path, old AS content, strftime(TIMESTAMP '{HISTORY_TIME}', '%Y%m%d%H%M%S') AS stamp
             FROM revisions WHERE old <> new""",

@@ -83,12 +83,12 @@ def vector_collection(spark, sf) -> DataFrame:
     """Create, fill, get again, fill again: nothing is stored twice."""
     name = f"vectors_{uuid.uuid4().hex}"
     location = scratch_path(spark, "collection")
-    rows = fx.vectors(spark, sf)
+    rows = fx.vectors(spark, sf).withColumn("tokens", text.token_count(F.col("document")))
     for _ in range(2):
         stored = storage.get_or_create_collection(spark, name, location)
         storage.append_to_collection(vec.absent_only(rows, stored), name)
     return spark.table(name).select(
-        "id", "document", F.col("metadata")["file_path"].alias("file_path"), "file_type",
+        "id", "document", F.col("metadata")["file_path"].alias("file_path"), "file_type", "tokens",
         F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("embedding_sum"),
     )
 

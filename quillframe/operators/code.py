@@ -18,6 +18,7 @@ from quillframe import schemas
 from quillframe.functions.text import first_line, strip
 from quillframe.operators.ordering import first_per_key
 from quillframe.session import bound_batches
+from quillframe.spreading import spread
 
 KINDS = {
     ast.Module: "module",
@@ -114,7 +115,7 @@ def parse_modules(files: DataFrame, key: str = "path") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    return files.select(key, "content").mapInArrow(parse, schema)
+    return spread(files.select(key, "content")).mapInArrow(parse, schema)
 
 
 def _ordered_symbols() -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillframe import schemas
 from quillframe.session import bound_batches
+from quillframe.spreading import spread
 
 # Fixed values.
 MAX_RETRIES = 5
@@ -81,7 +82,7 @@ def complete_prompts(
                 replies = _with_retries(complete, call["prompt"].tolist(), max_retries, backoff)
                 yield pd.concat([call[["prompt_hash"]], replies], axis=1)
 
-    return distinct.mapInPandas(apply, "prompt_hash string, " + schemas.COMPLETION)
+    return spread(distinct).mapInPandas(apply, "prompt_hash string, " + schemas.COMPLETION)
 
 
 def with_prompt_hash(df: DataFrame, prompt: str = "prompt") -> DataFrame:

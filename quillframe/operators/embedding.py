@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from quillframe.session import bound_batches
+from quillframe.spreading import spread
 
 BATCH_SIZE = 128
 WIDTH = 64
@@ -51,15 +52,21 @@ def hashed_words(width: int = WIDTH) -> Callable:
 
 
 def embedder(make_predict: Callable | None = None, batch_size: int = BATCH_SIZE) -> Callable[[Column], Column]:
-    return predict_batch_udf(
+    """The model as a column function.
+
+    Marked nondeterministic so that Catalyst runs it once: it would otherwise
+    copy the call into every filter it derives for the embedding.
+    """
+    model = predict_batch_udf(
         make_predict or hashed_words(), return_type=ArrayType(FloatType()), batch_size=batch_size
     )
+    return model.asNondeterministic()
 
 
 def with_embedding(df: DataFrame, text: str = "document", make_predict: Callable | None = None) -> DataFrame:
     """Add ``embedding``; null texts count as empty."""
     bound_batches(df.sparkSession)
-    return df.withColumn("embedding", embedder(make_predict)(F.coalesce(F.col(text), F.lit(""))))
+    return spread(df).withColumn("embedding", embedder(make_predict)(F.coalesce(F.col(text), F.lit(""))))
 
 
 def embed_distinct(df: DataFrame, text: str, make_predict: Callable | None = None) -> DataFrame:

@@ -16,14 +16,18 @@ def with_position(
     order: Sequence[Column],
     keys: Sequence[str] = (),
     position: str = "position",
+    is_table: bool = False,
 ) -> DataFrame:
     """Number the rows 1, 2, ... in ``order``, per ``keys`` if given.
 
     A range sort spreads the rows, however many one key has. Its result is
     written once, so slot sizes and row numbers come from the same sort; the
     start of each slot is a running sum over one row per slot. Pass narrow rows
-    and make ``order`` total.
+    and make ``order`` total. A range sort reads its input twice, to sample and
+    to sort, so anything that is not a stored table (``is_table``) is written
+    before.
     """
+    df = df if is_table else written(df, "unsorted")
     numbered = written(
         df.orderBy(*[F.col(key) for key in keys], *order).withColumn(
             "_at", F.monotonically_increasing_id()

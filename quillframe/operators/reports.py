@@ -39,5 +39,6 @@ def last_messages(messages: DataFrame, role: str | None = None) -> DataFrame:
 
 
 def messages_in_order(messages: DataFrame) -> DataFrame:
-    """Messages with their place in the conversation, oldest first."""
-    return with_position(messages, [F.col("turn"), F.col("role"), F.col("text")], ["conv_id"])
+    """Messages of a table with their place in the conversation, oldest first."""
+    order = [F.col("turn"), F.col("role"), F.col("text")]
+    return with_position(messages, order, ["conv_id"], is_table=True)

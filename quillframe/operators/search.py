@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillframe.operators.ordering import top_k
+from quillframe.spreading import spread
 
 DEFAULT_K = 5  # fixed value: hits per query
 MAX_SHARED_BYTES = 64 * 1024 * 1024
@@ -176,7 +177,7 @@ def _with_shared_queries(table: pa.Table, vectors: DataFrame, schema: T.StructTy
         if hits is not None:
             yield from hits.to_batches()
 
-    return vectors.mapInArrow(score, schema)
+    return spread(vectors).mapInArrow(score, schema)
 
 
 def _in_blocks(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillframe import schemas
 from quillframe.functions import paths, prompts
+from quillframe.functions.text import token_count
 from quillframe.operators import changes, completion, embedding, vectors
 from quillframe.operators.ordering import first_per_key
 from quillframe.scratch import written
@@ -64,7 +65,9 @@ def store_vectors(rows: DataFrame, collection: str, batch: str, make_predict: Ca
     if verdict is not None and verdict.accepted:
         stored = rows.sparkSession.table(collection)
         fresh = embedding.with_embedding(vectors.absent_only(rows, stored), "document", make_predict)
-        ready = fresh.withColumn("file_type", F.col("metadata")["file_type"])
+        ready = fresh.withColumn("file_type", F.col("metadata")["file_type"]).withColumn(
+            "tokens", token_count(F.col("document"))
+        )
         storage.append_to_collection(ready, collection)
     return rows.sparkSession.createDataFrame(
         [] if verdict is None else [tuple(verdict)],

@@ -12,32 +12,43 @@ from quillframe.operators import code, embedding, packing, search
 from quillframe.scratch import written
 
 
-def ranked_documents(queries: DataFrame, vectors: DataFrame, k: int = search.DEFAULT_K, metric: str = "l2") -> DataFrame:
-    """(query_id, rank, id, document, tokens) of the hits."""
-    hits = search.nearest(queries, vectors, k, metric)
-    return search.attach_documents(hits, vectors).select(
-        "query_id", "rank", "id", "document", token_count(F.col("document")).alias("tokens")
-    )
+def ranked_tokens(queries: DataFrame, vectors: DataFrame, k: int = search.DEFAULT_K, metric: str = "l2") -> DataFrame:
+    """(query_id, rank, id, tokens) of the hits, without their documents.
+
+    The hits are written, so the search runs once and the joins know how small
+    they are. Token counts come with the vector table; where it has none they
+    are counted once per document that was hit.
+    """
+    hits = written(search.nearest(queries, vectors, k, metric), "hits")
+    if "tokens" not in vectors.columns:
+        hit_ids = hits.select("id").distinct()
+        vectors = vectors.join(hit_ids, "id", "left_semi").withColumn("tokens", token_count(F.col("document")))
+    return hits.join(vectors.select("id", "tokens"), "id").select("query_id", "rank", "id", "tokens")
 
 
 def retrieved_context(queries: DataFrame, vectors: DataFrame, k: int = search.DEFAULT_K, metric: str = "l2") -> DataFrame:
-    """(query_id, context) for queries with a ``budget``; no hit is an empty context."""
-    ranked = ranked_documents(queries, vectors, k, metric).join(
+    """(query_id, context) for queries with a ``budget``; no hit is an empty context.
+
+    Hits are packed by their token counts; documents join the kept ones only.
+    """
+    ranked = ranked_tokens(queries, vectors, k, metric).join(
         queries.select("query_id", "budget"), "query_id"
     )
-    packed = packing.pack_ranked(ranked, ["query_id"], F.col("budget"))
+    kept = packing.pack_ranked(ranked, ["query_id"], F.col("budget"))
+    packed = search.attach_documents(kept, vectors)
     texts = packing.context_text(packed, ["query_id"])
     return queries.select("query_id").join(texts, "query_id", "left").select(
         "query_id", F.coalesce("context", F.lit("")).alias("context")
     )
 
 
-def hit_lists(ranked: DataFrame) -> DataFrame:
-    """(query_id, hits): at most k hits per query with their running tokens."""
+def hit_lists(ranked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, hits): at most k documents per query with their running tokens."""
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.struct("rank", F.sum("tokens").over(running).alias("running"), "document")
-    return ranked.select("query_id", hit.alias("hit")).groupBy("query_id").agg(
-        F.array_sort(F.collect_list("hit")).alias("hits")
+    summed = ranked.withColumn("running", F.sum("tokens").over(running))
+    hit = F.struct("rank", "running", "document")
+    return search.attach_documents(summed, vectors).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(hit)).alias("hits")
     )
 
 
@@ -68,7 +79,7 @@ def import_contexts(
     )
     distinct = written(embedding.embed_distinct(asked, "query", make_predict), "queries")
     queries = distinct.select(F.col("query").alias("query_id"), "embedding")
-    lists = hit_lists(ranked_documents(queries, vectors, k, metric)).withColumnRenamed("query_id", "query")
+    lists = hit_lists(ranked_tokens(queries, vectors, k, metric), vectors).withColumnRenamed("query_id", "query")
     return asked.join(lists, "query", "left").select(
         "path", "query", fitting(F.col("hits"), F.col("budget")).alias("context")
     )

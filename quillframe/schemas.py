@@ -7,7 +7,7 @@ SUMMARIES = "path string, description string"
 IGNORE_RULES = "dir string, pattern string"
 VECTORS = (
     "id string, document string, metadata map<string,string>, "
-    "embedding array<float>, file_type string"
+    "embedding array<float>, tokens bigint, file_type string"
 )
 HISTORY = "path string, content string, stamp string"
 COMPLETION = "text string, attempts int, status string, error string"

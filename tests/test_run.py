@@ -1,11 +1,15 @@
 import json
+import sys
 
 from conftest import rows
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from quillframe import schemas
 from quillframe.plans.run import RunSettings, run
 from quillframe.sources import storage
-from quillframe import schemas
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the models below run in tasks
 
 FILES = [
     ("top.py", "from lib import A\nx = 1\n"),

@@ -96,7 +96,7 @@ def test_collection_survives_the_catalog(spark, tmp_path):
     where = str(tmp_path / "c")
     empty = storage.get_or_create_collection(spark, "kept_vectors", where)
     assert empty.count() == 0
-    row = spark.createDataFrame([("i", "d", {"file_type": "x"}, [1.0], "x")], schemas.VECTORS)
+    row = spark.createDataFrame([("i", "d", {"file_type": "x"}, [1.0], 1, "x")], schemas.VECTORS)
     storage.append_to_collection(row, "kept_vectors")
     spark.sql("DROP TABLE kept_vectors")
     assert rows(storage.get_or_create_collection(spark, "kept_vectors", where), "id", "file_type") == [("i", "x")]
