@@ -60,6 +60,7 @@ def complete_prompts(
     max_retries: int = MAX_RETRIES,
     backoff: float = BACKOFF_SECONDS,
     call_size: int = CALL_SIZE,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Every distinct prompt once: (prompt_hash, text, attempts, status, error).
 
@@ -67,7 +68,8 @@ def complete_prompts(
     -> list of replies``; an exception in the list, or raised, is retried for
     the prompts concerned. A failure is a row with status ``failed``, so it
     never ends up among the texts. Tasks can be repeated by Spark: write the
-    result once and join on the hash.
+    result once and join on the hash. ``tasks`` sets how many calls run side by
+    side, for a model that is slow compared to the size of its prompts.
     """
     bound_batches(prompts.sparkSession)
     distinct = prompts.select(
@@ -82,7 +84,8 @@ def complete_prompts(
                 replies = _with_retries(complete, call["prompt"].tolist(), max_retries, backoff)
                 yield pd.concat([call[["prompt_hash"]], replies], axis=1)
 
-    return spread(distinct).mapInPandas(apply, "prompt_hash string, " + schemas.COMPLETION)
+    shared = distinct.repartition(tasks) if tasks else spread(distinct)
+    return shared.mapInPandas(apply, "prompt_hash string, " + schemas.COMPLETION)
 
 
 def with_prompt_hash(df: DataFrame, prompt: str = "prompt") -> DataFrame:

@@ -83,47 +83,42 @@ def compiled_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _folders(files: DataFrame) -> DataFrame:
-    """Distinct parents of the files, with the chain of folders above each."""
+def _folder_entries(files: DataFrame) -> DataFrame:
+    """(_parent, _entry): each distinct folder of the files, with every folder
+    on the way to it and itself."""
     parents = files.select(paths.parent(F.col("path")).alias("_parent")).distinct()
-    return parents.withColumn("_chain", paths.folders_down_to(F.col("_parent")))
-
-
-def _without_folders(files: DataFrame, dead: DataFrame) -> DataFrame:
-    return files.withColumn("_parent", paths.parent(F.col("path"))).join(
-        dead.select("_parent").distinct(), "_parent", "left_anti"
-    ).select(*files.columns)
+    return parents.select("_parent", F.explode(paths.folders_down_to(F.col("_parent"))).alias("_entry"))
 
 
 def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop entries matching a rule of the folder they are directly in.
 
     Rules are not inherited downward, but a dropped folder takes everything
-    below it along.
+    below it along. Dropped folders become rules without a pattern, so the files
+    meet both kinds in one anti-join.
     """
     compiled = compiled_rules(rules)
-    folders = _folders(files)
-    entries = folders.select(F.explode("_chain").alias("_entry")).where(F.col("_entry") != "").distinct()
-    matches = F.rlike("_entry", "_regex")
-    dropped = entries.withColumn("_rule_dir", paths.parent(F.col("_entry"))).join(
-        compiled, "_rule_dir"
-    ).where(matches).select("_entry").distinct()
-    dead = folders.select("_parent", F.explode("_chain").alias("_entry")).join(
-        dropped, "_entry", "left_semi"
-    )
-    in_folder = files.withColumn("_rule_dir", paths.parent(F.col("path")))
-    kept = in_folder.join(
+    entries = _folder_entries(files).where(F.col("_entry") != "")
+    dropped = entries.join(
         compiled,
-        (in_folder["_rule_dir"] == compiled["_rule_dir"]) & F.rlike(in_folder["path"], compiled["_regex"]),
+        (paths.parent(entries["_entry"]) == compiled["_rule_dir"])
+        & F.rlike(entries["_entry"], compiled["_regex"]),
+        "left_semi",
+    )
+    everything = dropped.select(
+        F.col("_parent").alias("_rule_dir"), F.lit(None).cast("string").alias("_regex")
+    ).distinct()
+    blocks = compiled.unionByName(everything)
+    return files.join(
+        blocks,
+        (paths.parent(files["path"]) == blocks["_rule_dir"])
+        & (blocks["_regex"].isNull() | F.rlike(files["path"], blocks["_regex"])),
         "left_anti",
-    ).select(*files.columns)
-    return _without_folders(kept, dead)
+    )
 
 
 def without_subtrees(files: DataFrame, ignored: DataFrame) -> DataFrame:
     """Drop everything under the listed folders; ``ignored`` has a ``folder`` column."""
     listed = ignored.select(paths.normalize(F.col("folder")).alias("_entry")).distinct()
-    dead = _folders(files).select("_parent", F.explode("_chain").alias("_entry")).join(
-        listed, "_entry", "left_semi"
-    )
-    return _without_folders(files, dead)
+    dead = _folder_entries(files).join(listed, "_entry", "left_semi").select("_parent").distinct()
+    return files.join(dead, paths.parent(files["path"]) == dead["_parent"], "left_anti")

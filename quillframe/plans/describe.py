@@ -22,16 +22,19 @@ def describe_pending(
     files: DataFrame,
     summaries: DataFrame,
     make_complete: Callable,
+    tree: str | None = None,
     **retry,
 ) -> DataFrame:
     """(path, description) of pending files that have no summary yet.
 
+    ``tree`` is a project tree for every prompt, if it is small enough for that.
+
     Model results are written once, so repeating a task never changes them. A
     failed call leaves its file without a description for the next run.
     """
     todo = changes.attach_content(vectors.not_described(pending.select("path"), summaries), files)
     asked = todo.select(
-        "path", prompts.describe_prompt(F.col("content"), F.col("path")).alias("prompt")
+        "path", prompts.describe_prompt(F.col("content"), F.col("path"), F.lit(tree)).alias("prompt")
     )
     replies = written(completion.complete_prompts(asked, make_complete, **retry), "descriptions")
     texts = completion.completed_texts(asked, replies)

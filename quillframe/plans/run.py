@@ -26,6 +26,7 @@ class RunSettings:
     tag: str = DEFAULT_TAG
     out_dir: str = "data"
     retrieve_type: str = describe.DESCRIPTION_TYPE
+    tree: str | None = None
     retry: tuple = ()
 
 
@@ -59,7 +60,8 @@ def run(
     summaries = storage.load_version(spark, f"{root}/summaries", schemas.SUMMARIES)
 
     pending = incremental.pending_files(files, root)
-    fresh = describe.describe_pending(pending, files, summaries, make_describe, **retry)
+    fresh = describe.describe_pending(pending, files, summaries, make_describe, settings.tree, **retry)
+    storage.save_descriptions(fresh, f"{root}/descriptions", settings.out_dir)
     rows = describe.vector_rows(fresh, settings.out_dir, {"file_type": describe.DESCRIPTION_TYPE})
     verdict = describe.store_vectors(rows, settings.collection, "descriptions", make_predict)
     known = describe.keep_summaries(summaries, fresh, root)

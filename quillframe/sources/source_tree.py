@@ -8,6 +8,7 @@ however uneven the folders are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillframe import schemas
 from quillframe.functions import paths
+from quillframe.scratch import written
 
 LISTED = pa.schema([("path", pa.string()), ("size_bytes", pa.int64())])
 OPENED = pa.schema(
@@ -29,6 +31,7 @@ OPENED = pa.schema(
 )
 ROWS_PER_BATCH = 20_000
 BYTES_PER_BATCH = 32 * 1024 * 1024
+BYTES_PER_TASK = 256 * 1024 * 1024
 
 
 def _open_root(root: str) -> tuple[pafs.FileSystem, str]:
@@ -146,10 +149,18 @@ def _opener(root: str):
 
 
 def open_tree(listing: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
-    """Attach contents to a filtered listing; an unreadable file keeps its row."""
-    keys = [F.col("path")]
-    spread = listing.repartition(tasks, *keys) if tasks else listing.repartition(*keys)
-    return spread.mapInArrow(_opener(root), schemas.FILES)
+    """Attach contents to a filtered listing; an unreadable file keeps its row.
+
+    The number of tasks follows the bytes to read, not the bytes of the listing,
+    which AQE would squeeze into a few tasks. The listing is written, so folders
+    are walked once.
+    """
+    if tasks is None:
+        listing = written(listing, "listing")
+        total = listing.agg(F.sum("size_bytes")).first()[0] or 0
+        cores = listing.sparkSession.sparkContext.defaultParallelism
+        tasks = max(cores, math.ceil(total / BYTES_PER_TASK))
+    return listing.repartition(tasks, "path").mapInArrow(_opener(root), schemas.FILES)
 
 
 def scan_tree(spark: SparkSession, root: str, file_suffix: str = ".py", tasks: int | None = None) -> DataFrame:
