@@ -6,7 +6,7 @@ import re
 
 from quillframe.checks import fixtures as fx
 from quillframe.checks.queries import FOLDER_DEPTH, HISTORY_TIME, KEPT_REPLY, PACKAGE, TAG
-from quillframe.functions import prompts, text
+from quillframe.functions import prompts
 from quillframe.operators import reports
 
 
@@ -15,7 +15,7 @@ def lit(value: str) -> str:
 
 
 NL = lit("\n")
-TOKENS = f"len(regexp_extract_all({{}}, {lit(text.TOKEN_PATTERN)}))"
+TOKENS = r"len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'))"
 
 
 def strip(c: str) -> str:

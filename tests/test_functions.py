@@ -56,8 +56,11 @@ def test_repository_names(spark):
 
 
 def test_token_count(spark):
-    values = ["def f(x):\n  return 'é'", "", " \t"]
-    assert column(spark, values, text.token_count) == [len(re.findall(text.TOKEN_PATTERN, v)) for v in values]
+    pattern = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
+    values = ["def f(x):\n  return 'é'", "", " \t", "a\u00a0b \U0001f600\U0001f600 c\x0b", "w ww_1 ...", "\r\n$\\"]
+    expected = [len(re.findall(pattern, v)) for v in values]
+    assert column(spark, values, text.token_count) == expected
+    assert column(spark, values, lambda c: text.token_count(c, pattern)) == expected
 
 
 def test_small_maps(spark):
