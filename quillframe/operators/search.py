@@ -40,17 +40,19 @@ def _matrix(column, kind=np.float64) -> np.ndarray:
 
 
 def _estimate(vectors: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
-    """Distances by one matrix product, with a bound on their rounding error."""
+    """Distances by one single-precision matrix product, with a bound on their
+    error: products of width w lose at most w rounding units of the norms."""
+    v_square, q_square = (vectors**2).sum(axis=1), (queries**2).sum(axis=1)
+    rounding = (vectors.shape[1] + 16) * float(np.finfo(np.float32).eps)
     if metric == "cosine":
-        v_norm = np.linalg.norm(vectors, axis=1)
-        q_norm = np.linalg.norm(queries, axis=1)
-        unit_v = vectors / np.where(v_norm == 0, 1, v_norm)[:, None]
-        unit_q = queries / np.where(q_norm == 0, 1, q_norm)[:, None]
-        return 1 - unit_q @ unit_v.T, 1e-9
-    v_square = (vectors**2).sum(axis=1)
-    q_square = (queries**2).sum(axis=1)
-    top = float(v_square.max(initial=0) + q_square.max(initial=0))
-    return q_square[:, None] + v_square[None, :] - 2 * (queries @ vectors.T), 1e-9 * (1 + top)
+        unit_v = vectors / np.sqrt(np.where(v_square == 0, 1, v_square))[:, None]
+        unit_q = queries / np.sqrt(np.where(q_square == 0, 1, q_square))[:, None]
+        return 1 - unit_q.astype(np.float32) @ unit_v.astype(np.float32).T, 2 * rounding
+    near = queries.astype(np.float32) @ vectors.astype(np.float32).T
+    near *= -2
+    near += v_square.astype(np.float32)[None, :]
+    near += q_square.astype(np.float32)[:, None]
+    return near, rounding * float(v_square.max(initial=0) + q_square.max(initial=0))
 
 
 def _exact(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -63,6 +65,20 @@ def _exact(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return np.round(distance, DECIMALS) + 0.0  # no negative zero
 
 
+def _place_in_group(groups: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run of a sorted array."""
+    return np.arange(len(groups)) - np.searchsorted(groups, groups, side="left")
+
+
+def _without_extra_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows left when equal vectors count with their first k rows only: further
+    copies tie with k smaller ids, so they are nobody's neighbours."""
+    whole = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1])))
+    _, group = np.unique(whole.ravel(), return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    return np.sort(by_group[_place_in_group(group[by_group]) < k])
+
+
 class _Best:
     """The k nearest so far per query, ties to the smaller id."""
 
@@ -77,8 +93,9 @@ class _Best:
             self._add_block(ids.slice(low, SCORED_VECTORS), _matrix(block))
 
     def _add_block(self, ids: pa.Array, vectors: np.ndarray) -> None:
-        by_id = pc.sort_indices(ids)
-        ids, vectors = ids.take(by_id), vectors[by_id.to_numpy()]
+        by_id = pc.sort_indices(ids).to_numpy()
+        kept = by_id[_without_extra_copies(vectors[by_id], self.k)]
+        ids, vectors = ids.take(pa.array(kept)), vectors[kept]
         parts = [] if self.table is None else [self.table]
         for start in range(0, len(self.queries), SCORED_QUERIES):
             found = self._candidates(vectors, start)
@@ -94,10 +111,11 @@ class _Best:
     def _candidates(self, vectors: np.ndarray, start: int):
         queries = self.queries[start:start + SCORED_QUERIES].astype(np.float64)
         near, error = _estimate(vectors, queries, self.metric)
-        k = min(self.k, near.shape[1])
-        limit = np.partition(near, k - 1, axis=1)[:, k - 1] if k else np.empty(len(queries))
-        limit = np.minimum(limit, self.worst[start:start + SCORED_QUERIES])
-        limit = limit + 2 * error + 10.0**-DECIMALS
+        limit = self.worst[start:start + SCORED_QUERIES]
+        if np.isinf(limit).any():
+            k = min(self.k, near.shape[1])
+            limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
+        limit = (limit + 3 * error + 10.0**-DECIMALS).astype(np.float32)
         row, column = np.nonzero(near <= limit[:, None])
         if not len(row):
             return None
@@ -110,8 +128,7 @@ class _Best:
         # Columns follow the ids, so they break ties. Equal copies are cut to k here.
         order = np.lexsort((column, distance, row))
         row, column, distance = row[order], column[order], distance[order]
-        first = np.searchsorted(row, row, side="left")
-        keep = np.arange(len(row)) - first < self.k
+        keep = _place_in_group(row) < self.k
         return row[keep] + start, column[keep], distance[keep]
 
     def _keep_best(self, table: pa.Table | None) -> None:
@@ -121,7 +138,7 @@ class _Best:
             pc.sort_indices(table, [("query", "ascending"), ("distance", "ascending"), ("id", "ascending")])
         )
         query = table["query"].to_numpy()
-        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        place = _place_in_group(query)
         self.table = table.filter(pa.array(place < self.k))
         query, place = query[place < self.k], place[place < self.k]
         full = place == self.k - 1
@@ -151,8 +168,8 @@ def _hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
 
 def _shared_queries(queries: DataFrame, max_bytes: int) -> pa.Table | None:
     """The query set if it is proven to fit the bound, else None."""
-    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
-    if shape.n * (shape.width or 0) * FLOAT_BYTES > max_bytes:
+    one = F.size("embedding") * FLOAT_BYTES + F.octet_length(F.col("query_id").cast("string"))
+    if (queries.agg(F.sum(one)).first()[0] or 0) > max_bytes:
         return None
     return queries.toArrow()
 
@@ -232,10 +249,11 @@ def nearest(
 ) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest vectors of every query.
 
-    ``queries`` has (query_id, embedding), ``vectors`` (id, embedding), ids
-    unique; filter ``vectors`` before, so the filter reaches its scan. Metrics:
-    squared ``l2`` and ``cosine``. Distances are computed in double precision
-    and rounded to nine decimals; ties go to the smaller id.
+    ``queries`` has (query_id, embedding) and is read twice, ``vectors`` has (id,
+    embedding); ids are unique. Filter ``vectors`` before, so that the filter
+    reaches its scan. Metrics: squared ``l2`` and ``cosine``. Candidates are
+    found in single precision with its error allowed for; their distances are
+    double precision, rounded to nine decimals, and ties go to the smaller id.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")

@@ -77,9 +77,10 @@ def import_contexts(
     asked = code.import_query(parsed, package).join(
         files.select("path", context_budget(F.col("content")).alias("budget")), "path"
     )
-    distinct = written(embedding.embed_distinct(asked, "query", make_predict), "queries")
-    queries = distinct.select(F.col("query").alias("query_id"), "embedding")
-    lists = hit_lists(ranked_tokens(queries, vectors, k, metric), vectors).withColumnRenamed("query_id", "query")
-    return asked.join(lists, "query", "left").select(
+    query_id = F.sha2("query", 256).alias("query_id")
+    distinct = embedding.embed_distinct(asked, "query", make_predict)
+    queries = written(distinct.select(query_id, "embedding"), "queries")
+    lists = hit_lists(ranked_tokens(queries, vectors, k, metric), vectors)
+    return asked.withColumn("query_id", query_id).join(lists, "query_id", "left").select(
         "path", "query", fitting(F.col("hits"), F.col("budget")).alias("context")
     )
