@@ -224,7 +224,7 @@ def class_docstring_lookup(spark, sf) -> DataFrame:
 
 def import_context(spark, sf) -> DataFrame:
     """Imported names retrieve other modules as context, per module."""
-    files = fx.code_files(spark, sf)
+    files = written(fx.code_files(spark, sf), "files")
     parsed = written(code.parse_modules(files), "parsed")
     stored = written(
         embedding.with_embedding(files.select(F.col("path").alias("id"), F.col("content").alias("document"))),

@@ -8,10 +8,16 @@ from pyspark.sql.types import StringType
 
 
 def paired(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
-    """(key, old, new) of two content tables; a side may be missing."""
-    return old.select(key, F.col("content").alias("old")).join(
-        new.select(key, F.col("content").alias("new")), key, "full_outer"
+    """(key, old, new) of two content tables with unique keys; a side may be missing.
+
+    A full outer join would lose the placement by key and make ``line_changes``
+    shuffle every line; both sides meet in one grouping instead.
+    """
+    none = F.lit(None).cast("string")
+    sides = old.select(key, F.col("content").alias("old"), none.alias("new")).unionByName(
+        new.select(key, none.alias("old"), F.col("content").alias("new"))
     )
+    return sides.repartition(key).groupBy(key).agg(F.max("old").alias("old"), F.max("new").alias("new"))
 
 
 def changed_pairs(pairs: DataFrame) -> DataFrame:
@@ -29,7 +35,7 @@ def line_changes(pairs: DataFrame, key: str) -> DataFrame:
     """(key, line, change, lines): lines added or removed, as multisets.
 
     Only changed pairs are taken apart. One grouping nets the two sides, and
-    pairs that come from a join on the key are already placed for it.
+    pairs from ``paired`` or an inner join on the key are already placed for it.
     """
     sides = F.concat(_lines(F.col("old"), 1, 0), _lines(F.col("new"), 0, 1))
     net = changed_pairs(pairs).select(key, F.inline(sides)).groupBy(key, "line").agg(
