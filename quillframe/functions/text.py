@@ -22,6 +22,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _OUTER_BLANKS, "")
 
 
+def universal_newlines(text: Column) -> Column:
+    """Text as read in text mode; hashes are taken of the raw content."""
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def content_hash(content: Column) -> Column:
     """SHA-256 hex; unreadable content hashes to the empty string."""
     return F.coalesce(F.sha2(content, 256), F.lit(""))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillframe.functions import paths
-from quillframe.functions.text import content_hash
+from quillframe.functions.text import content_hash, universal_newlines
 from quillframe.operators.ordering import with_position
 
 
@@ -62,6 +62,6 @@ def output_status(content: Column) -> Column:
 
 
 def attach_content(selected: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
-    """Bring the content back for the selected rows only; unreadable ones drop out."""
-    readable = files.select(key, "content").where(F.col("content").isNotNull())
-    return selected.join(readable, key)
+    """Bring the content back as text for the selected rows only; unreadable ones drop out."""
+    readable = files.where(F.col("content").isNotNull())
+    return selected.join(readable.select(key, universal_newlines(F.col("content")).alias("content")), key)

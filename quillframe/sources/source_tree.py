@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillframe import schemas
-from quillframe.functions import paths
 from quillframe.scratch import written
 
 LISTED = pa.schema([("path", pa.string()), ("size_bytes", pa.int64())])
@@ -193,6 +192,3 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
 
     return files.select("path", "content").mapInArrow(write_files, schemas.LISTING)
 
-
-def subtree_of(files: DataFrame, folder: str) -> DataFrame:
-    return files.where(paths.normalize(F.col("path")).startswith(folder + "/"))

@@ -1,5 +1,4 @@
 from conftest import rows
-from pyspark.sql import functions as F
 
 from quillframe.operators import code
 

@@ -18,6 +18,10 @@ def test_strip_takes_all_outer_white_space(spark):
     assert column(spark, values, text.strip) == ["a b", "", "x", "", None]
 
 
+def test_universal_newlines(spark):
+    assert column(spark, ["a\r\nb\rc\n", ""], text.universal_newlines) == ["a\nb\nc\n", ""]
+
+
 def test_unreadable_content_hashes_to_empty(spark):
     assert column(spark, [None], text.content_hash) == [""]
 

@@ -4,7 +4,6 @@ from collections import Counter
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from quillframe.operators import completion, postprocess, reports, revisions
 
