@@ -3,6 +3,17 @@
 from __future__ import annotations
 
 ORACLES = {
+    "op1_warc": """
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages
+), firsts AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM sized
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+""",
     "op5_chat_formatting": """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillframe.llm import chat, url_rules
+from quillframe.llm import chat, url_rules, warc
+from quillframe.scratch import scratch_path
 
 #: Fixed by the contract of the query.
 URL_RULES = [
@@ -21,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_archive(
+        warc.with_record_types(pages, "page_id", "html"), scratch_path(spark, "warc"))
+    return warc.read_archive(manifest, payloads=False).select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the extra one, formatted and read back."""
     extra = spark.createDataFrame(
@@ -51,6 +63,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_url_filters": op8_url_filters,
 }
