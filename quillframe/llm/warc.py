@@ -25,6 +25,8 @@ VERSION = b"WARC/1.1"
 FILE_BYTES = 1 << 30
 #: Bytes of an archive that one reading task owns.
 SPLIT_BYTES = 64 << 20
+#: Reading tasks at most; beyond it a task reads several ranges.
+MOST_TASKS = 100_000
 READ_BYTES = 1 << 20
 BATCH_BYTES = 16 << 20
 #: Equal payloads of fewer bytes are stored again instead of referred to.
@@ -258,5 +260,5 @@ def read_archive(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
     splits = manifest.where("bytes > 0").select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"),
     ).withColumn("end", F.col("start") + split_bytes)
-    # ranges are few and small rows; deal them out so that one task doesn't read them all
-    return splits.repartition("path", "start").mapInArrow(read, RECORDS)
+    # Ranges are small rows, which would be put into one task: ask for a number of tasks.
+    return splits.repartition(min(max(1, splits.count()), MOST_TASKS), "path", "start").mapInArrow(read, RECORDS)
