@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillframe.llm import chat, url_rules, warc
+from quillframe.llm import bpe, chat, url_rules, warc
 from quillframe.scratch import scratch_path
+from quillframe.session import bound_batches
 
 #: Fixed by the contract of the query.
 URL_RULES = [
@@ -18,6 +20,9 @@ URL_RULES = [
 CONTROL_SAMPLE = "</s>[INST] ok [/INST]"
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,6 +38,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded again from its ids."""
+    bound_batches(spark)
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    decoded = bpe.decode(encoded.select("doc_id", "n_tokens", "token_ids"), TOKENIZER)
+    return decoded.select(
+        "doc_id", "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the extra one, formatted and read back."""
     extra = spark.createDataFrame(
@@ -64,6 +81,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_bpe": op2_bpe,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_url_filters": op8_url_filters,
 }
