@@ -13,6 +13,33 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
 FROM firsts
+""",
+    "op4_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS words
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS p FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, p, size, array_to_string(w[p:p + size - 1], ' ') AS words
+  FROM (SELECT d.*, s.size, unnest(generate_series(1, len(w) - s.size + 1)) AS p
+        FROM d, (SELECT DISTINCT size FROM bw) s WHERE len(w) >= s.size)
+), hits AS (SELECT doc_id, p, dw.size, item_id FROM dw JOIN bw USING (size, words)),
+places AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(p, p + size - 1)) AS q FROM (SELECT DISTINCT doc_id, p, size FROM hits))
+  GROUP BY doc_id
+), ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
     "op5_chat_formatting": """
 WITH rows AS (

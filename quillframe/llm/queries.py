@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -50,6 +50,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all benchmark texts."""
+    bound_batches(spark)
+    found = decontaminate.find_contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the extra one, formatted and read back."""
     extra = spark.createDataFrame(
@@ -82,6 +95,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_url_filters": op8_url_filters,
 }
