@@ -75,5 +75,27 @@ WITH rest AS (
 )
 SELECT parts.page_id, parts.host, parts.path, hits.rule, coalesce(hits.verdict, 'allow') AS verdict
 FROM parts LEFT JOIN hits ON parts.page_id = hits.page_id AND place = 1
+""",
+    "op10_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(4, len(w)) - 1], ' ') AS shingle
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS p FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    GROUP BY ALL
+  ) JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id
+  WHERE 100 * common >= 80 * (na.n + nb.n - common)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS least FROM documents
+  UNION SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.node WHERE reach.least < links.b
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(least) AS component_id, w.doc_id = min(least) AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = w.doc_id
+GROUP BY w.doc_id, n.n
 """,
 }

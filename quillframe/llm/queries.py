@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, decontaminate, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, minhash, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -92,10 +92,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share 80 % of their 4-word shingles."""
+    bound_batches(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=4)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_url_filters": op8_url_filters,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
