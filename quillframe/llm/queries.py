@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, decontaminate, minhash, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, minhash, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -84,6 +84,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by cosine within a label."""
+    bound_batches(spark)
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules."""
     judged = url_rules.judge_urls(
@@ -103,6 +109,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
