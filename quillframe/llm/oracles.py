@@ -61,12 +61,12 @@ FROM marked GROUP BY conv_id
 """,
     "op7_embedding_near_dedup": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS norm
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, x -> isfinite(x)))
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))
 ), links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
-  WHERE x.norm > 0 AND y.norm > 0 AND list_sum(list_transform(generate_series(1, len(x.e)), i -> x.e[i] * y.e[i])) >= 0.98 * x.norm * y.norm
+  WHERE x.norm > 0 AND y.norm > 0 AND list_sum(list_transform(generate_series(1, len(x.e)), lambda i: x.e[i] * y.e[i])) >= 0.98 * x.norm * y.norm
 ), reach AS (
   SELECT vec_id AS node, vec_id AS least FROM embeddings
   UNION SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.node WHERE reach.least < links.b

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, minhash, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, language, minhash, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -84,6 +84,21 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(doc_id: str, divisor: int) -> Column:
+    """crc32 of the id as text, which deals rows out to folds."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that aren't held out."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    model = language.learn(docs, ~held_out)
+    return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors by cosine within a label."""
     bound_batches(spark)
@@ -109,6 +124,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_language_id": op6_language_id,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
