@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, language, minhash, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, language, minhash, quality, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -113,6 +113,21 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+PREDICTED_FROM = 0.3
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels that aren't held out."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    score = F.col("quality_score")
+    return quality.score_quality(docs, model).select(
+        "doc_id", held_out.alias("held_out"), score.alias("score"),
+        (score >= PREDICTED_FROM).cast("int").alias("predicted"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that share 80 % of their 4-word shingles."""
     bound_batches(spark)
@@ -127,5 +142,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_url_filters": op8_url_filters,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
