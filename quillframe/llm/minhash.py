@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +24,21 @@ SHINGLE_WORDS = 5
 #: Share of the union that two documents have in common, in hundredths.
 LEAST_PERCENT = 80
 
-BUCKET_BITS = 7
+BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
 #: 25 bands of 5 registers: of pairs with a similarity of 0.8, 5 in 100,000 share none.
 BANDS, BAND_REGISTERS = 25, 5
 #: A set is hashed so often that it has about this many hashes, 16 for a bucket.
-LEAST_HASHES = 2048
+LEAST_HASHES = 4096
 #: Standard deviations by which an estimate may fall short and is still verified.
 ESTIMATE_MARGIN = 4.0
 #: Documents that are verified against one in a group of rows.
 CHUNK = 64
 PIECE_BYTES = 4 << 20
-COMPARED_AT_ONCE = 1 << 16
+#: Members of a bucket in one block.
+BLOCK_ROWS = 1024
 
 _WHITE = frozenset(b" \t\n\r\x0b\x0c")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -127,12 +129,16 @@ class Estimator:
         share = least_percent / 100
         self.least = share - ESTIMATE_MARGIN * math.sqrt(share * (1 - share) / BUCKETS)
 
-    def similar(self, a: np.ndarray, b: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Which rows of registers may belong to sets that are similar enough."""
+    def share(self, a: np.ndarray, b: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Estimated similarity of rows of registers."""
         used = (a != EMPTY) | (b != EMPTY)
         equal = ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
         chance = np.array([self.chance[c] for c in range(LEAST_HASHES.bit_length())])[classes]
-        return (equal - chance) / (1 - chance) >= self.least
+        return (equal - chance) / (1 - chance)
+
+    def similar(self, a: np.ndarray, b: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Which rows of registers may belong to sets that are similar enough."""
+        return self.share(a, b, classes) >= self.least
 
 
 # Signatures ---------------------------------------------------------------
@@ -207,8 +213,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, least_perc
                 if not member:
                     pivot, base = (own, chunk), hashes
                 elif pivot == (own, chunk):
-                    both = len(np.intersect1d(base, hashes, assume_unique=True))
-                    if 100 * both >= least_percent * (len(base) + len(hashes) - both):
+                    if _alike(base, hashes, least_percent):
                         found.append((i, own))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=_LINKS)
@@ -241,80 +246,132 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least_percent: int) -> DataFra
     return columns.mapInArrow(run, "a long, b long")
 
 
-def _across(bands: DataFrame, found: DataFrame, reps: DataFrame, least_percent: int) -> DataFrame:
-    """Candidate pairs of one bucket that lie in different components so far.
-
-    Of each bucket the members outside its largest component meet all members.
-    These are dealt out in blocks of bounded size and the few others are repeated
-    for each block, so no bucket is gathered in one task; registers are compared
-    in blocks inside the task, and only pairs that may be similar become rows.
-    """
-    block_rows = 2048
+def _open_buckets(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components so far, with the largest one."""
     labelled = bands.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = labelled.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("shared", "id")).alias("center"))
     open_ = (
         sizes.groupBy("key")
         .agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"),
-             F.max_by("component", F.struct("n", "component")).alias("major"))
-        .where("parts > 1").drop("parts")
+             F.max(F.struct("n", "component", "center")).alias("most"))
+        .where("parts > 1")
+        .select("key", "n", F.col("most.component").alias("major"), F.col("most.center.id").alias("center"))
     )
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    rows = labelled.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    return labelled.join(open_, "key")
+
+
+_CANDIDATES = pa.schema([
+    ("key", pa.int64()), ("block", pa.int32()), ("side", pa.int32()), ("id", pa.int64()),
+    ("others", pa.list_(pa.int64())), ("components", pa.list_(pa.int64())),
+])
+
+
+def _lists(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, f.type) for x, f in zip(zip(*rows), _CANDIDATES)], schema=_CANDIDATES)
+
+
+def _across(rows: DataFrame, reps: DataFrame, texts: DataFrame, shingle_words: int, least_percent: int) -> DataFrame:
+    """Links between different components of a bucket.
+
+    Of each bucket the members outside its largest component meet all members.
+    These are dealt out in blocks of bounded size and the few others are repeated
+    for each block, so no bucket is gathered in one task. First registers are
+    compared in the task: a row for each such member lists the members that it
+    may be similar to, in the first band that they share. Then these meet with
+    their texts, and each is verified against its list, the likeliest first,
+    until it is linked with a component. So there are never more rows than
+    members, however many pairs are looked at.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    common = ["key", "band", "id", "size_class", "component"]
     probes = rows.where("component <> major").select(
-        "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", "size_class", "component",
-        F.lit(0).alias("side"))
-    dealt = probes.unionByName(rows.select("key", "block", "id", "size_class", "component", F.lit(1).alias("side")))
+        *common, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("side"))
+    dealt = probes.unionByName(rows.select(*common, "block", F.lit(1).alias("side")))
     registers_of = reps.select("id", "n_shingles", F.explode("sketches").alias("s")).select(
         "id", "n_shingles", F.col("s.size_class").alias("size_class"), F.col("s.registers").alias("registers"))
     full = dealt.join(registers_of, ["id", "size_class"]).select(
-        "key", "block", "side", "id", "component", "n_shingles", "size_class", "registers")
+        "key", "block", "side", "id", "component", "n_shingles", "size_class", "registers", "band")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         estimate = Estimator(least_percent)
-        at, probe, members = None, [], []
-
-        def compared() -> Iterator[pa.RecordBatch]:
-            if not probe or not members:
-                return
-            p_id, p_comp, p_n, p_class = (np.array([r[k] for r in probe]) for k in range(4))
-            p_reg = np.frombuffer(b"".join(r[4] for r in probe), "<u2").reshape(-1, BUCKETS)
-            m_id, m_comp, m_n = (np.array([r[k] for r in members]) for k in range(3))
-            m_reg = np.frombuffer(b"".join(r[4] for r in members), "<u2").reshape(-1, BUCKETS)
-            step = max(1, COMPARED_AT_ONCE // len(members))
-            for start in range(0, len(probe), step):
-                part = slice(start, start + step)
-                small = np.minimum(p_n[part, None], m_n[None, :])
-                large = np.maximum(p_n[part, None], m_n[None, :])
-                x, y = np.nonzero((p_comp[part, None] != m_comp[None, :]) & (100 * small >= least_percent * large))
-                if not len(x):
+        for (key, block), group in _grouped(batches, 2):
+            members, used, out = [], np.zeros(0, bool), []
+            for side, i, component, n, size_class, sketch, band in group:
+                own = np.frombuffer(sketch, "<u2")[None, :]
+                if side:
+                    members.append((i, component, n, own))
                     continue
-                keep = estimate.similar(p_reg[part][x], m_reg[y], p_class[part][x])
-                a, b = p_id[part][x[keep]], m_id[y[keep]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=_LINKS)
-
-        for batch in batches:
-            for key, block, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (key, block):
-                    yield from compared()
-                    at, probe, members = (key, block), [], []
+                if not len(used):  # the first that looks for links; all members are there
+                    ids, components, sizes = (np.array([m[k] for m in members]) for k in range(3))
+                    sketches = np.concatenate([m[3] for m in members]) if members else None
+                    used = np.zeros(max(1, len(members)), bool)
+                if not members:
+                    break
+                near = 100 * np.minimum(n, sizes) >= least_percent * np.maximum(n, sizes)
+                at = np.flatnonzero(near & (components != component))
+                likely = estimate.share(own, sketches[at], np.array([size_class]))
+                fit = (likely >= estimate.least) & ~_share_bands(own, sketches[at], band)
+                at = at[fit][np.argsort(-likely[fit], kind="stable")]
+                if len(at):
+                    used[at] = True
+                    out.append((key, block, 0, i, ids[at].tolist(), components[at].tolist()))
+                if len(out) >= 1000:
+                    yield _lists(out)
+                    out = []
+            out += [(key, block, 1, int(ids[k]), [], []) for k in np.flatnonzero(used)]
+            if out:
+                yield _lists(out)
+
+    lists = written(
+        # members come first, then those that look for links
+        full.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("side"), "id")
+        .mapInArrow(listed, "key long, block int, side int, id long, others array<long>, components array<long>"), "lists")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _grouped(batches, 2):
+            sets, found = {}, []
+            for side, i, others, components, text in group:
+                own = shingle_set(text or b"", shingle_words)
                 if side:
-                    members.append(row)
-                else:
-                    probe.append(row)
-                    if len(probe) >= 4 * block_rows and members:
-                        yield from compared()
-                        probe = []
-        yield from compared()
+                    sets[i] = own
+                    continue
+                done = set()
+                for other, component in zip(others, components):
+                    if component not in done and other in sets and _alike(own, sets[other], least_percent):
+                        done.add(component)
+                        found.append((i, other))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=_LINKS)
 
     return (
-        # members come first, so that probes needn't all be held
-        full.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("side"))
-        .mapInArrow(run, "a long, b long").distinct()
+        lists.join(texts, "id").select("key", "block", "side", "id", "others", "components", F.col("text").cast("binary"))
+        .repartition("key", "block").sortWithinPartitions("key", "block", F.desc("side"), "id")
+        .mapInArrow(linked, "a long, b long")
     )
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Runs of rows with equal first columns, as (key, rest of each row)."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for key, group in groupby(rows, lambda r: r[:keys]):
+        yield key, (r[keys:] for r in group)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least_percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= least_percent * (len(a) + len(b) - both)
+
+
+def _share_bands(a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
+    """Which rows of registers agree in one of the first ``number`` bands."""
+    width = number * BAND_REGISTERS
+    return (a[:, :width] == b[:, :width]).reshape(len(b), number, BAND_REGISTERS).all(axis=2).any(axis=1)
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     shingle_words: int = SHINGLE_WORDS, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs.
@@ -329,8 +386,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     empty table gives no rows. ``least_percent`` is over 50.
 
     1. Rows become signatures; equal sets are one class from here on.
-    2. The members of each band's bucket are paired with its smallest id,
-       estimated, verified on full sets, and joined into components.
+    2. The members of each band's bucket are paired with its center, the one
+       that shares most buckets; estimated, verified on full sets, and joined
+       into components. Members outside the largest component of their bucket
+       try its center too.
     3. Where a bucket still holds several components, members outside its
        largest one are compared with all others, and verified.
     """
@@ -343,23 +402,35 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")),
         "classes")
     bands = reps.select("id", F.explode("sketches").alias("s")).select(
-        "id", F.col("s.size_class").alias("size_class"), F.explode(_band_keys(F.col("s"))).alias("key"))
-    pivots = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
-    shared = written(bands.join(pivots, "key"), "buckets")
-
-    first = _estimated(
-        shared.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), reps, least_percent)
+        "id", F.col("s.size_class").alias("size_class"), F.posexplode(_band_keys(F.col("s"))).alias("band", "key"))
+    counts = bands.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = written(bands.join(counts, "key"), "buckets")
+    # the text in the middle of a group shares buckets with most others
+    shared = written(
+        shared.join(shared.groupBy("id").agg(F.sum("rows").alias("shared")), "id").drop("rows"), "buckets")
+    centers = shared.groupBy("key").agg(F.max(F.struct("shared", "id"))["id"].alias("center"))
     # only texts that share a bucket are needed, once for each class
     needed = written(
         docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
         .join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links = written(_verified(first, needed, shingle_words, least_percent), "links")
-    found = connected_components(links)
-    across = _across(shared.select("id", "size_class", "key"), found, reps, least_percent)
-    more = written(_verified(across, needed, shingle_words, least_percent), "links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return written(_verified(pairs, needed, shingle_words, least_percent), "links")
+
+    tried = written(
+        _estimated(shared.join(centers, "key").where("id <> center").select("id", "center").distinct()
+                   .select(F.col("id").alias("a"), F.col("center").alias("b")), reps, least_percent), "pairs")
+    links = confirmed(tried)
+    rows = _open_buckets(shared, connected_components(links))
+    again = written(
+        _estimated(rows.where("component <> major").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+                   .join(tried, ["a", "b"], "left_anti"), reps, least_percent), "pairs")
+    links = links.unionByName(confirmed(again))
+    rows = _open_buckets(shared, connected_components(links))
+    links = links.unionByName(written(_across(rows, reps, needed, shingle_words, least_percent), "links"))
     copies = with_set.join(reps.select("digest", F.col("id").alias("rep")), "digest").where("id <> rep").select(
         F.col("id").alias("a"), F.col("rep").alias("b"))
-    every = connected_components(links.unionByName(more).unionByName(copies))
+    every = connected_components(links.unionByName(copies))
     return (
         signed.join(every, signed["id"] == every["node"], "left")
         .select(
