@@ -438,3 +438,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             F.coalesce("component", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row for each group of near duplicates: that of the smallest id.
+
+    Repeated rows of one id are a group too; rows without an id all stay, and so
+    do rows of different ids without words.
+    """
+    found = near_duplicates(docs, id_column, text, **options)
+    gone = found.where("not kept").select(id_column).distinct()
+    left = docs.join(gone, id_column, "left_anti").withColumn(
+        "_own_row", F.when(F.col(id_column).isNull(), F.monotonically_increasing_id()))
+    return left.dropDuplicates([id_column, "_own_row"]).select(*docs.columns)

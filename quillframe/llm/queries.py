@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, language, minhash, quality, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, html_text, language, minhash, quality, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -50,6 +50,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    bound_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all benchmark texts."""
     bound_batches(spark)
@@ -89,13 +96,17 @@ def remainder(doc_id: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
+def language_model(docs: DataFrame) -> str:
+    """Trigram counts of the documents that aren't held out for language ID."""
+    return language.learn(docs, remainder("doc_id", 4) != 2)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that aren't held out."""
     bound_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder("doc_id", 4) == 2
-    model = language.learn(docs, ~held_out)
-    return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select(
+    return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), language_model(docs)).select(
         "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
@@ -116,12 +127,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTED_FROM = 0.3
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> str:
+    """Network trained on labels that aren't held out for the quality classifier."""
+    return quality.learn(docs, labels.where(remainder("doc_id", 5) != 0))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels that aren't held out."""
     bound_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 0
-    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
     score = F.col("quality_score")
     return quality.score_quality(docs, model).select(
         "doc_id", held_out.alias("held_out"), score.alias("score"),
@@ -137,6 +153,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
