@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -47,10 +48,11 @@ def timed(spark, name: str) -> float:
 
 
 def main() -> None:
+    shared = tempfile.mkdtemp(prefix="quillframe-bench-")  # one machine: every task reaches it
     spark = build_session(
         "quillframe-bench", f"local[{CPUS}]",
         spark__sql__shuffle__partitions=CPUS, spark__driver__memory="16g",
-        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=shared, spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

@@ -40,14 +40,14 @@ def load_manifest(spark, sf) -> DataFrame:
     entry = F.to_json(F.create_map("path", "sha256"))
     cut_short = F.when(F.col("sha256") == "stale", F.left(entry, F.length(entry) - 1)).otherwise(entry)
     fx.manifest(spark, sf).select(cut_short.alias("value")).write.text(path)
-    return state.load_manifest_json(spark, path, per_line=True)
+    return state.load_manifest_json(spark, path)
 
 
 def load_summaries(spark, sf) -> DataFrame:
     path = scratch_path(spark, "summaries-json")
     entry = F.struct(F.col("path").alias("file"), "description")
     fx.summaries(spark, sf).select(F.to_json(F.array(entry)).alias("value")).write.text(path)
-    return state.load_summaries_json(spark, path, per_line=True).select("path", "description")
+    return state.load_summaries_json(spark, path).select("path", "description")
 
 
 def parse_ignore_rules(spark, sf) -> DataFrame:
@@ -299,8 +299,9 @@ def token_budget_packing(spark, sf) -> DataFrame:
     budgets = docs.groupBy("source").agg(
         F.floor((F.lit(prompts.REQUEST_TOKEN_LIMIT) - F.max("n_chars")) / 2).alias("budget")
     )
-    joined = written(ranked.join(budgets, "source"), "ranked")
-    return packing.pack_ranked_any_size(joined, ["source"], F.col("budget"), block_rows=16).select(
+    of_source = budgets.select(F.col("source").alias("_source"), "budget")
+    joined = ranked.join(of_source, F.col("source").eqNullSafe(F.col("_source")))
+    return packing.pack_ranked_any_size(joined, ["source"], F.col("budget")).select(
         "source", "doc_id", "rank", "tokens", "running_tokens"
     )
 
@@ -357,7 +358,7 @@ def append_summaries(spark, sf) -> DataFrame:
     fresh = vec.not_described(fx.doc_files(spark, sf), old).select(
         "path", F.concat(F.lit("New text in "), "lang").alias("description")
     )
-    return old.unionByName(fresh)
+    return describe.keep_summaries(old, fresh, scratch_path(spark, "summaries-state"))
 
 
 def merge_metadata(spark, sf) -> DataFrame:
@@ -520,10 +521,6 @@ def named_post_processor(spark, sf) -> DataFrame:
     return postprocess.apply_named(fx.model_output(spark, sf), "write_new_content", '{"tag": "%s"}' % TAG)
 
 
-def unified_diff_text(spark, sf) -> DataFrame:
-    return revisions.diff_texts(fx.revisions(spark, sf), "doc_id")
-
-
 QUERIES = {
     "src1_scan_source_tree": scan_source_tree,
     "src2_load_manifest": load_manifest,
@@ -597,5 +594,4 @@ QUERIES = {
     "udf4_batch_embedding": batch_embedding,
     "udf5_batch_completion": batch_completion,
     "udf6_named_post_processor": named_post_processor,
-    "udf7_unified_diff_text": unified_diff_text,
 }

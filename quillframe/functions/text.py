@@ -61,10 +61,16 @@ def stable_suffix(key: Column) -> Column:
 
 def repository_owner_and_name(url: Column, host: str = "github.com") -> Column:
     """``struct<owner, name>`` from an https or ssh remote; nulls if no match."""
-    pattern = host.replace(".", r"\.") + r"[:/](.+?)/(.+?)(?:\.git)?\z"
+    # What follows the host and one separator; the owner ends at the first slash.
+    rest = F.substr(url, F.locate(host, url) + F.lit(len(host) + 1))
+    slash = F.locate("/", rest, 2)
+    name = F.substr(rest, slash + F.lit(1))
+    bare = F.when(name.endswith(".git") & (F.length(name) > 4), F.left(name, F.length(name) - 4)).otherwise(name)
+    separator = F.substr(url, F.locate(host, url) + F.lit(len(host)), F.lit(1))
+    found = url.contains(host) & separator.isin(":", "/") & (slash > 1) & (name != "")
     return F.struct(
-        F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")).alias("owner"),
-        F.nullif(F.regexp_extract(url, pattern, 2), F.lit("")).alias("name"),
+        F.when(found, F.left(rest, slash - 1)).alias("owner"),
+        F.when(found, bare).alias("name"),
     )
 
 

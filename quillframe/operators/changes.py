@@ -38,13 +38,24 @@ def run_counters(current: DataFrame, manifest: DataFrame, key: str = "path") ->
     )
 
 
-def merge_manifest(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
-    """New hashes replace old ones per path; other paths stay."""
-    return (
-        old.select(key, F.col("sha256").alias("_old"))
-        .join(new.select(key, F.col("sha256").alias("_new")), key, "full_outer")
-        .select(key, F.coalesce("_new", "_old").alias("sha256"))
-    )
+def merge_manifest(old: DataFrame, new: DataFrame, key: str = "path", order: str | None = None) -> DataFrame:
+    """New hashes replace old ones per path; other paths stay. One row per path.
+
+    A path that occurs again in ``new`` has the hash of its largest ``order``;
+    the largest hash decides between equal ones and without ``order``. A null
+    path is a path like any other.
+    """
+    place = F.col(order) if order else F.lit(0)
+    both = old.select(key, "sha256", F.lit(0).alias("_new"), F.lit(None).alias("_order")).unionByName(
+        new.select(key, "sha256", F.lit(1).alias("_new"), place.alias("_order")))
+    return both.groupBy(key).agg(F.max_by("sha256", F.struct("_new", "_order", "sha256")).alias("sha256"))
+
+
+def latest(files: DataFrame, order: str, key: str = "path") -> DataFrame:
+    """One row per path, that of the largest ``order``."""
+    rest = [c for c in files.columns if c != key]
+    newest = F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("_row")
+    return files.groupBy(key).agg(newest).select(key, "_row.*").select(*files.columns)
 
 
 def work_order(changed_files: DataFrame, key: str = "path") -> DataFrame:

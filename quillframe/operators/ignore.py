@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillframe.functions import paths
 
-DEFAULT_IGNORED_SUFFIXES = (".daicache",)  # fixed value
-
 
 def with_suffix_in_scope(files: DataFrame, file_suffix: str = ".py") -> DataFrame:
     return files.where(F.col("path").endswith(file_suffix))
@@ -24,7 +22,7 @@ def without_hidden_folders(files: DataFrame) -> DataFrame:
     return files.where(~paths.is_hidden(F.col("path")))
 
 
-def without_suffixes(files: DataFrame, suffixes: Sequence[str] = DEFAULT_IGNORED_SUFFIXES) -> DataFrame:
+def without_suffixes(files: DataFrame, suffixes: Sequence[str]) -> DataFrame:
     return files.where(~paths.suffix(F.col("path")).isin(*suffixes))
 
 

@@ -47,16 +47,20 @@ def pack_ranked_any_size(
     totals = blocked.groupBy(*keys, "_block").agg(F.sum(tokens).alias("_tokens"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *keys, "_block", F.coalesce(F.sum("_tokens").over(earlier), F.lit(0)).alias("_start")
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_block").alias("_of_block"),
+        F.coalesce(F.sum("_tokens").over(earlier), F.lit(0)).alias("_start"),
     )
+    same_block = F.col("_block").eqNullSafe(F.col("_of_block"))
+    for k in keys:  # a null key is a group like any other
+        same_block &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     inside = (
         Window.partitionBy(*keys, "_block").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        blocked.join(starts, [*keys, "_block"])
+        blocked.join(starts, same_block)
         .withColumn("running_tokens", F.col("_start") + F.sum(tokens).over(inside))
         .where(F.col("running_tokens") <= budget)
-        .drop("_block", "_start")
+        .drop("_block", "_start", "_of_block", *[f"_of_{k}" for k in keys])
     )
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 
 def paired(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
@@ -47,20 +45,3 @@ def line_changes(pairs: DataFrame, key: str) -> DataFrame:
         F.when(F.col("_net") > 0, F.lit("added")).otherwise(F.lit("removed")).alias("change"),
         F.abs("_net").alias("lines"),
     )
-
-
-@F.pandas_udf(StringType())
-def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Unified diff text; empty for equal texts."""
-    import difflib
-
-    def one(a, b) -> str:
-        before, after = (a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True)
-        return "".join(difflib.unified_diff(before, after, fromfile="original", tofile="modified"))
-
-    return pd.Series([one(a, b) for a, b in zip(old, new)], dtype=object)
-
-
-def diff_texts(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, diff) of the changed pairs."""
-    return changed_pairs(pairs).select(key, unified_diff("old", "new").alias("diff"))

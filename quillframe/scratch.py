@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_roots: dict[str, str] = {}
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster.
+    """The shared folder that the cluster names.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would lose data with its executor.
+    Without ``spark.checkpoint.dir`` it is a folder of the warehouse, which the
+    executors share too; a machine-local folder would lose data with its executor.
     """
     configured = spark.conf.get(CHECKPOINT_DIR, None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="quillframe-")
-    return _local_roots[context.applicationId]
+    return f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/_scratch"
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/quillframe-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under one folder per application, which its owner can clear."""
-    run = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/quillframe-{run}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,3 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch_owner(spark: SparkSession) -> Iterator[str]:
+    """Deletes the application's scratch tables at its end.
+
+    For the code that owns the session: results read lazily from scratch tables
+    have to be saved before the block ends.
+    """
+    folder = _application_folder(spark)
+    try:
+        yield folder
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

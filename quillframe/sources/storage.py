@@ -53,8 +53,15 @@ def load_version(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/v={done[-1]}")
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def export_manifest_json(manifest: DataFrame, path: str) -> None:
+    """One object path -> hash a line, as ``state.load_manifest_json`` reads it."""
+    manifest.select(F.to_json(F.create_map("path", "sha256")).alias("value")).write.mode("overwrite").text(path)
+
+
+def export_summaries_json(summaries: DataFrame, path: str) -> None:
+    """One array of one entry a line, as ``state.load_summaries_json`` reads it."""
+    entry = F.struct(F.col("path").alias("file"), "description")
+    summaries.select(F.to_json(F.array(entry)).alias("value")).write.mode("overwrite").text(path)
 
 
 def described(summaries: DataFrame, out_dir: str, new_suffix: str = ".txt") -> DataFrame:

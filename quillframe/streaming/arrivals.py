@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillframe.operators import changes
 from quillframe.plans import incremental
 
-ARRIVALS = "path string, content string"
+ARRIVALS = "path string, content string, arrived long"
 
 
 def process_arrivals(
@@ -26,11 +27,13 @@ def process_arrivals(
     """Work through what has landed, then stop.
 
     ``handle(pending, files)`` gets the changed rows of a batch and the batch.
+    ``arrived`` says which of two contents of a path is newer, within a batch.
     Hashes are recorded after it returns, so a batch replayed after a failure
     finds its files still pending: ``handle`` must be safe to repeat.
     """
 
     def one_batch(files: DataFrame, batch_id: int) -> None:
+        files = changes.latest(files, "arrived")
         pending = incremental.pending_files(files, state_root)
         handle(pending, files)
         incremental.record_hashes(files, state_root)

@@ -99,3 +99,11 @@ def test_insert_keeps_stored_rows(spark):
 def test_empty_outputs_are_rejected(spark):
     df = spark.createDataFrame([(1, ""), (2, "x"), (3, None)], "k int, new_content string")
     assert rows(changes.accepted(df), "k") == [(2,)]
+
+
+def test_a_path_that_occurs_again_has_its_newest_hash(spark):
+    old = spark.createDataFrame([("a", "v0"), (None, "n"), ("z", "1"), ("z", "2")], "path string, sha256 string")
+    new = spark.createDataFrame([("a", "v2", 2), ("a", "v1", 1), ("a", "v1", 1)], "path string, sha256 string, at int")
+    assert rows(changes.merge_manifest(old, new, order="at")) == [("a", "v2"), ("z", "2"), (None, "n")]
+    assert rows(changes.merge_manifest(old, new)) == [("a", "v2"), ("z", "2"), (None, "n")]
+    assert rows(changes.latest(new, "at")) == [("a", "v2", 2)]

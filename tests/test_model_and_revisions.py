@@ -1,4 +1,3 @@
-import difflib
 import json
 from collections import Counter
 
@@ -82,15 +81,6 @@ def test_line_changes_are_multiset_differences(spark):
     assert rows(revisions.line_changes(df, "k"), "k", "line", "change", "lines") == sorted(expected, key=repr)
 
 
-def test_unified_diff(spark):
-    df = spark.createDataFrame(PAIRS, "k int, old string, new string")
-    found = dict(rows(revisions.diff_texts(df, "k")))
-    assert set(found) == {1, 3, 4, 5}
-    assert found[1] == "".join(
-        difflib.unified_diff(PAIRS[0][1].splitlines(True), PAIRS[0][2].splitlines(True), "original", "modified")
-    )
-
-
 def test_paired_versions(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string")
     new = spark.createDataFrame([("b", "3"), ("c", "4")], "path string, content string")

@@ -57,8 +57,8 @@ def test_ignored_subtrees_are_whole_components(spark):
 
 
 def test_suffix_filters(spark):
-    df = spark.createDataFrame([("a.daicache",), (".daicache",), ("x/.daicache",), ("b.py",)], "path string")
-    assert [r[0] for r in rows(ignore.without_suffixes(df))] == [".daicache", "b.py", "x/.daicache"]
+    df = spark.createDataFrame([("a.cached",), (".cached",), ("x/.cached",), ("b.py",)], "path string")
+    assert [r[0] for r in rows(ignore.without_suffixes(df, [".cached"]))] == [".cached", "b.py", "x/.cached"]
     assert [r[0] for r in rows(ignore.with_suffix_in_scope(df))] == ["b.py"]
 
 

@@ -112,3 +112,14 @@ def test_import_contexts_pack_per_file(spark):
     assert found["a.py"] == ("A B", "A B\n\nzz yy\n\n")
     assert found["b.py"] == ("A B", "")
     assert found["c.py"][0] == found["d.py"][0] == "" and found["c.py"][1] == "A B\n\nzz yy\n\n"
+
+
+def test_null_keys_are_packed_like_others(spark):
+    df = spark.createDataFrame(
+        [(None, 1, 5), (None, 2, 5), (None, 3, 5), ("a", 1, 5), ("a", 2, 90)], "k string, rank int, tokens int")
+    kept = [("a", 1), (None, 1), (None, 2)]
+    assert rows(packing.pack_ranked(df, ["k"], F.lit(10)), "k", "rank") == sorted(kept, key=repr)
+    for block_rows in (1, 2, 100):
+        packed = packing.pack_ranked_any_size(df, ["k"], F.lit(10), block_rows=block_rows)
+        assert packed.columns == [*df.columns, "running_tokens"]
+        assert rows(packed, "k", "rank") == sorted(kept, key=repr)

@@ -47,19 +47,37 @@ def test_empty_and_missing_tree(spark, tmp_path):
 def test_manifest_json(spark, tmp_path):
     path = tmp_path / "m.json"
     assert state.load_manifest_json(spark, str(path)).count() == 0
+    assert state.load_manifest_document(spark, str(path)).count() == 0
     path.write_text(json.dumps({"a.py": "1", "b/c.py": "2"}, indent=2))
-    assert rows(state.load_manifest_json(spark, str(path))) == [("a.py", "1"), ("b/c.py", "2")]
+    assert rows(state.load_manifest_document(spark, str(path))) == [("a.py", "1"), ("b/c.py", "2")]
+    path.write_text('{"a.py": "1"}\n{"b }\\n{ x": "2"}\n')
+    both = [("a.py", "1"), ("b }\n{ x", "2")]
+    assert rows(state.load_manifest_json(spark, str(path))) == both
+    assert rows(state.load_manifest_document(spark, str(path))) == both
     path.write_text('{"a.py": "1", ')
     assert state.load_manifest_json(spark, str(path)).count() == 0
+    assert state.load_manifest_document(spark, str(path)).count() == 0
+
+
+def test_exports_are_read_back(spark, tmp_path):
+    manifest = spark.createDataFrame([("a.py", "h1"), ('b "x".py', "h2")], "path string, sha256 string")
+    storage.export_manifest_json(manifest, str(tmp_path / "m"))
+    assert rows(state.load_manifest_json(spark, str(tmp_path / "m"))) == rows(manifest)
+    summaries = spark.createDataFrame([("a", "A\nB"), ("b", "C")], "path string, description string")
+    storage.export_summaries_json(summaries, str(tmp_path / "s"))
+    assert rows(state.load_summaries_json(spark, str(tmp_path / "s")), "path", "description") == rows(summaries)
 
 
 def test_summaries_json(spark, tmp_path):
     path = tmp_path / "s.json"
     entries = [{"file": "b", "description": "B"}, {"file": "a", "description": "A"}]
     path.write_text(json.dumps(entries, indent=2))
+    assert rows(state.load_summaries_document(spark, str(path))) == [(0, "b", "B"), (1, "a", "A")]
+    path.write_text(json.dumps(entries))
     assert rows(state.load_summaries_json(spark, str(path))) == [(0, "b", "B"), (1, "a", "A")]
     path.write_text(json.dumps(entries)[:-9])
     assert state.load_summaries_json(spark, str(path)).count() == 0
+    assert state.load_summaries_document(spark, str(path)).count() == 0
 
 
 def test_rule_lines(spark):

@@ -16,7 +16,7 @@ def test_only_new_contents_are_handled(spark, tmp_path):
         )
         query.awaitTermination()
 
-    arrive(("a.py", "1"), ("b.py", "2"))
-    arrive(("a.py", "1"), ("b.py", "3"), ("c.py", "4"))
+    arrive(("a.py", "0", 1), ("a.py", "1", 2), ("b.py", "2", 1))
+    arrive(("a.py", "1", 3), ("b.py", "3", 3), ("c.py", "4", 3), ("b.py", "2", 2))
     assert seen == [[("a.py",), ("b.py",)], [("b.py",), ("c.py",)]]
     assert storage.load_version(spark, f"{state}/manifest", schemas.MANIFEST).count() == 3
