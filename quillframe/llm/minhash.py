@@ -28,8 +28,8 @@ BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
-#: 25 bands of 5 registers: of pairs with a similarity of 0.8, 5 in 100,000 share none.
-BANDS, BAND_REGISTERS = 25, 5
+#: 36 bands of 7 registers: of pairs with a similarity of 0.8, 2 in 10,000 share none.
+BANDS, BAND_REGISTERS = 36, 7
 #: A set is hashed so often that it has about this many hashes, 16 for a bucket.
 LEAST_HASHES = 4096
 #: Standard deviations by which an estimate may fall short and is still verified.
@@ -250,14 +250,12 @@ def _open_buckets(bands: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components so far, with the largest one."""
     labelled = bands.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    sizes = labelled.groupBy("key", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("shared", "id")).alias("center"))
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = (
         sizes.groupBy("key")
         .agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"),
-             F.max(F.struct("n", "component", "center")).alias("most"))
-        .where("parts > 1")
-        .select("key", "n", F.col("most.component").alias("major"), F.col("most.center.id").alias("center"))
+             F.max_by("component", F.struct("n", "component")).alias("major"))
+        .where("parts > 1").drop("parts")
     )
     return labelled.join(open_, "key")
 
@@ -388,8 +386,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     1. Rows become signatures; equal sets are one class from here on.
     2. The members of each band's bucket are paired with its center, the one
        that shares most buckets; estimated, verified on full sets, and joined
-       into components. Members outside the largest component of their bucket
-       try its center too.
+       into components.
     3. Where a bucket still holds several components, members outside its
        largest one are compared with all others, and verified.
     """
@@ -414,18 +411,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
         .join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_verified(pairs, needed, shingle_words, least_percent), "links")
-
-    tried = written(
-        _estimated(shared.join(centers, "key").where("id <> center").select("id", "center").distinct()
-                   .select(F.col("id").alias("a"), F.col("center").alias("b")), reps, least_percent), "pairs")
-    links = confirmed(tried)
-    rows = _open_buckets(shared, connected_components(links))
-    again = written(
-        _estimated(rows.where("component <> major").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-                   .join(tried, ["a", "b"], "left_anti"), reps, least_percent), "pairs")
-    links = links.unionByName(confirmed(again))
+    tried = _estimated(
+        shared.join(centers, "key").where("id <> center").select("id", "center").distinct()
+        .select(F.col("id").alias("a"), F.col("center").alias("b")), reps, least_percent)
+    links = written(_verified(tried, needed, shingle_words, least_percent), "links")
     rows = _open_buckets(shared, connected_components(links))
     links = links.unionByName(written(_across(rows, reps, needed, shingle_words, least_percent), "links"))
     copies = with_set.join(reps.select("digest", F.col("id").alias("rep")), "digest").where("id <> rep").select(
