@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillframe import schemas
 from quillframe.session import bound_batches
+from quillframe.sources.storage import path_exists
 from quillframe.spreading import spread
 
 # Fixed values.
@@ -72,9 +73,7 @@ def complete_prompts(
     side, for a model that is slow compared to the size of its prompts.
     """
     bound_batches(prompts.sparkSession)
-    distinct = prompts.select(
-        F.sha2(F.col(prompt), 256).alias("prompt_hash"), F.col(prompt).alias("prompt")
-    ).distinct()
+    distinct = with_prompt_hash(prompts, prompt).groupBy("prompt_hash").agg(F.first(prompt).alias("prompt"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = make_complete()
@@ -88,6 +87,34 @@ def complete_prompts(
     return shared.mapInPandas(apply, "prompt_hash string, " + schemas.COMPLETION)
 
 
+def complete_durably(
+    prompts: DataFrame, make_complete: Callable, root: str, prompt: str = "prompt", **options
+) -> DataFrame:
+    """``complete_prompts`` with a table of all replies so far, kept in ``root``.
+
+    Only prompts without a completed reply there are sent. New replies are
+    appended before anything is made of them, so a run that dies afterwards
+    finds them and calls the model for none of them again. A reply appended
+    twice, by runs side by side, counts once: the first by text.
+    """
+    spark = prompts.sparkSession
+    known = _replies(spark, root)
+    complete_prompts(not_completed(prompts, known, prompt), make_complete, prompt, **options).write.mode(
+        "append").parquet(root)
+    best = F.struct((F.col("status") != "completed").alias("open"), "text", "attempts", "status", "error")
+    latest = _replies(spark, root).groupBy("prompt_hash").agg(F.min(best).alias("_best"))
+    asked = with_prompt_hash(prompts, prompt).select("prompt_hash").distinct()
+    return latest.join(asked, "prompt_hash", "left_semi").select(
+        "prompt_hash", "_best.text", "_best.attempts", "_best.status", "_best.error")
+
+
+def _replies(spark: SparkSession, root: str) -> DataFrame:
+    schema = "prompt_hash string, " + schemas.COMPLETION
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(root)
+
+
 def with_prompt_hash(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     return df.withColumn("prompt_hash", F.sha2(F.col(prompt), 256))
 

@@ -22,6 +22,7 @@ def describe_pending(
     files: DataFrame,
     summaries: DataFrame,
     make_complete: Callable,
+    replies_root: str,
     tree: str | None = None,
     **retry,
 ) -> DataFrame:
@@ -29,14 +30,14 @@ def describe_pending(
 
     ``tree`` is a project tree for every prompt, if it is small enough for that.
 
-    Model results are written once, so repeating a task never changes them. A
-    failed call leaves its file without a description for the next run.
+    Replies are kept in ``replies_root``, so a later run never pays for them
+    again. A failed call leaves its file without a description for the next run.
     """
     todo = changes.attach_content(vectors.not_described(pending.select("path"), summaries), files)
-    asked = todo.select(
+    asked = written(todo.select(
         "path", prompts.describe_prompt(F.col("content"), F.col("path"), F.lit(tree)).alias("prompt")
-    )
-    replies = written(completion.complete_prompts(asked, make_complete, **retry), "descriptions")
+    ), "prompts")
+    replies = completion.complete_durably(asked, make_complete, replies_root, **retry)
     texts = completion.completed_texts(asked, replies)
     return written(texts.select("path", F.col("text").alias("description")), "described")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillframe.functions import prompts
-from quillframe.operators import code, completion, postprocess, reports, revisions
+from quillframe.operators import code, completion, postprocess, reports
 from quillframe.plans.retrieval import import_contexts
 from quillframe.scratch import written
 from quillframe.sources import storage
@@ -30,9 +30,12 @@ def document_prompts(
     return joined.select("path", prompts.document_prompt(F.col("content"), section).alias("prompt"))
 
 
-def new_contents(asked: DataFrame, make_complete: Callable, tag: str, processor: str = "write_new_content", **retry) -> DataFrame:
-    """(path, new_content) of the accepted model outputs."""
-    replies = written(completion.complete_prompts(asked, make_complete, **retry), "outputs")
+def new_contents(
+    asked: DataFrame, make_complete: Callable, tag: str, replies_root: str,
+    processor: str = "write_new_content", **retry,
+) -> DataFrame:
+    """(path, new_content) of the accepted model outputs, whose replies ``replies_root`` keeps."""
+    replies = completion.complete_durably(asked, make_complete, replies_root, **retry)
     outputs = completion.completed_texts(asked, replies).withColumnRenamed("text", "args")
     return postprocess.apply_named(outputs, processor, json.dumps({"tag": tag}))
 
@@ -57,12 +60,3 @@ def updated_files(files: DataFrame, contents: DataFrame) -> DataFrame:
     return files.join(new, "path", "left").select(
         *rest, F.coalesce("new_content", "content").alias("content")
     )
-
-
-def change_pairs(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """(path, old, new) of the files that got new contents."""
-    return revisions.changed_pairs(
-        files.select("path", F.col("content").alias("old")).join(
-            contents.select("path", F.col("new_content").alias("new")), "path"
-        )
-    )

@@ -60,7 +60,7 @@ def run(
     summaries = storage.load_version(spark, f"{root}/summaries", schemas.SUMMARIES)
 
     pending = incremental.pending_files(files, root)
-    fresh = describe.describe_pending(pending, files, summaries, make_describe, settings.tree, **retry)
+    fresh = describe.describe_pending(pending, files, summaries, make_describe, f"{root}/replies/describe", settings.tree, **retry)
     storage.save_descriptions(fresh, f"{root}/descriptions", settings.out_dir)
     rows = describe.vector_rows(fresh, settings.out_dir, {"file_type": describe.DESCRIPTION_TYPE})
     verdict = describe.store_vectors(rows, settings.collection, "descriptions", make_predict)
@@ -70,7 +70,7 @@ def run(
     stored = spark.table(settings.collection).where(F.col("file_type") == settings.retrieve_type)
     lookup = describe.first_descriptions(todo, known.withColumn("ordinal", F.lit(0)))
     asked = written(document.document_prompts(todo, stored, lookup, settings.package, make_predict), "prompts")
-    outputs = document.new_contents(asked, make_document, settings.tag, **retry)
+    outputs = document.new_contents(asked, make_document, settings.tag, f"{root}/replies/document", **retry)
     contents = written(document.approved_contents(outputs, decisions), "contents")
 
     document.keep_versions(todo, contents, settings.at, root)

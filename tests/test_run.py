@@ -73,3 +73,38 @@ def test_only_approved_files_are_written(spark, tmp_path):
     assert rows(done.contents, "path") == [("top.py",)]
     assert rows(done.manifest, "path") == [("top.py",)]
     assert done.files.where("path = 'gone.py' AND content IS NULL").count() == 1
+
+
+def test_a_run_that_dies_pays_for_no_reply_again(spark, tmp_path, monkeypatch):
+    """Killed between the model and what is made of its replies: no second call."""
+    from quillframe.plans import document
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(make):
+        def factory():
+            complete = make()
+
+            def run_batch(batch):
+                calls.add(len(batch))
+                return complete(batch)
+            return run_batch
+        return factory
+
+    files = spark.createDataFrame(FILES[:3], "path string, content string")
+    chosen = RunSettings(**{**settings(tmp_path, 1).__dict__, "collection": "run_vectors_3"})
+    real = document.keep_versions
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(document, "keep_versions", dies)
+    try:
+        run(files, chosen, counted(describer), counted(documenter))
+    except RuntimeError as error:
+        assert str(error) == "lost"
+    paid = calls.value
+    assert paid == 6
+    monkeypatch.setattr(document, "keep_versions", real)
+    done = run(files, chosen, counted(describer), counted(documenter))
+    assert done.contents.count() == 3 and calls.value == paid
