@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillframe.operators.ordering import top_k
 from quillframe.spreading import spread
@@ -168,7 +168,8 @@ def _hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
 
 def _shared_queries(queries: DataFrame, max_bytes: int) -> pa.Table | None:
     """The query set if it is proven to fit the bound, else None."""
-    one = F.size("embedding") * FLOAT_BYTES + F.octet_length(F.col("query_id").cast("string"))
+    each = 8 if isinstance(queries.schema["embedding"].dataType.elementType, T.DoubleType) else FLOAT_BYTES
+    one = F.size("embedding") * each + F.octet_length(F.col("query_id").cast("string"))
     if (queries.agg(F.sum(one)).first()[0] or 0) > max_bytes:
         return None
     return queries.toArrow()
@@ -239,6 +240,32 @@ def _arrow_type(spark_type: T.DataType) -> pa.DataType:
     return to_arrow_type(spark_type)
 
 
+def has_distance(width: int) -> Column:
+    """Whether an embedding has ``width`` finite numbers, so that distances to it exist."""
+    return (F.size("embedding") == width) & F.forall(
+        "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+
+
+def _without_distance(queries: DataFrame, vectors: DataFrame, width: int, k: int) -> DataFrame:
+    """Hits whose distance is NaN: they come last, as in an SQL order, by id.
+
+    A query without distances gets the first k ids; another one is filled up to
+    k if fewer than k vectors have a distance. At most k ids of each kind are
+    looked at.
+    """
+    def first_ids(rows: DataFrame, n: int) -> list:
+        return [r.id for r in rows.orderBy("id").limit(n).collect()] if n > 0 else []
+
+    def paired(rows: DataFrame, ids: list) -> DataFrame:
+        listed = F.array(*map(F.lit, ids)) if ids else F.array().cast(T.ArrayType(vectors.schema["id"].dataType))
+        return rows.select("query_id", F.explode(listed).alias("id"), F.lit(float("nan")).alias("distance"))
+
+    sound = has_distance(width)
+    missing = k - vectors.where(sound).limit(k).count()
+    return paired(queries.where(~sound), first_ids(vectors, k)).unionByName(
+        paired(queries.where(sound), first_ids(vectors.where(~sound), missing)))
+
+
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
@@ -254,6 +281,10 @@ def nearest(
     reaches its scan. Metrics: squared ``l2`` and ``cosine``. Candidates are
     found in single precision with its error allowed for; their distances are
     double precision, rounded to nine decimals, and ties go to the smaller id.
+
+    Null embeddings are absent ones. The queries' most frequent width counts: an
+    embedding of another width, or with a null, NaN or infinite number, has the
+    distance NaN to all others. Such hits come last, by id, and can be told by it.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -261,11 +292,16 @@ def nearest(
     queries = queries.select("query_id", "embedding").where(present)
     vectors = vectors.select("id", "embedding").where(present)
     schema = _hit_schema(queries, vectors)
+    widths = queries.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    width = widths.width if widths else 0
+    odd = _without_distance(queries, vectors, width, k)
+    queries, vectors = queries.where(has_distance(width)), vectors.where(has_distance(width))
     shared = _shared_queries(queries, max_shared_bytes)
     if shared is not None:
         partial = _with_shared_queries(shared, vectors, schema, k, metric)
     else:
         partial = _in_blocks(queries, vectors, schema, k, metric, block_bytes)
+    partial = partial.unionByName(odd)
     return top_k(partial, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 

@@ -123,3 +123,19 @@ def test_null_keys_are_packed_like_others(spark):
         packed = packing.pack_ranked_any_size(df, ["k"], F.lit(10), block_rows=block_rows)
         assert packed.columns == [*df.columns, "running_tokens"]
         assert rows(packed, "k", "rank") == sorted(kept, key=repr)
+
+
+def test_embeddings_without_a_distance_come_last(spark):
+    nan = float("nan")
+    vectors = spark.createDataFrame(
+        [(1, [nan, 0.0]), (2, [1.0, 0.0]), (3, []), (4, [0.0, 1.0, 2.0]), (5, [9.0, 9.0]), (6, None), (7, [None, 1.0])],
+        "id int, embedding array<float>")
+    queries = spark.createDataFrame(
+        [("q", [1.0, 0.0]), ("r", [9.0, 8.0]), ("odd", [1.0]), ("nan", [nan, 1.0]), ("none", None)], "query_id string, embedding array<float>")
+    for options in ({}, {"max_shared_bytes": 0, "block_bytes": 8}):
+        got = {}
+        for r in search.nearest(queries, vectors, 4, **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, str(r.distance)))
+        assert got == {
+            "q": [(2, "0.0"), (5, "145.0"), (1, "nan"), (3, "nan")], "r": [(5, "1.0"), (2, "128.0"), (1, "nan"), (3, "nan")],
+            "odd": [(i, "nan") for i in (1, 2, 3, 4)], "nan": [(i, "nan") for i in (1, 2, 3, 4)]}
