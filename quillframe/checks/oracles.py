@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from quillframe.checks import fixtures as fx
-from quillframe.checks.queries import FOLDER_DEPTH, HISTORY_TIME, KEPT_REPLY, PACKAGE, TAG
+from quillframe.checks.queries import FOLDER_DEPTH, HISTORY_TIME, KEPT_REPLY, PACKAGE, RUN_DOCSTRING, TAG
 from quillframe.functions import prompts
 from quillframe.operators import reports
 
@@ -184,6 +184,11 @@ def _bodies() -> dict[str, str]:
     escaped = "'` ``'"
     pages = "SELECT page_id, path FROM page_parts WHERE "
     return {
+        "run_first": f"""
+            SELECT path, sha256('{TAG}' || {NL} || {lit(RUN_DOCSTRING)} || rtrim(content, {NL}) || {NL}) AS sha256 FROM code_files""",
+        "run_second": """
+            SELECT name AS "table", CASE WHEN name IN ('manifest', 'files') THEN (SELECT count(*) FROM code_files) ELSE 0 END AS rows
+            FROM (SELECT unnest(['pending', 'descriptions', 'contents', 'reports', 'manifest', 'files']) AS name)""",
         "src1_scan_source_tree": "SELECT path, strlen(content) AS size_bytes, sha256(content) AS sha256, NULL::VARCHAR AS error FROM code_files",
         "src2_load_manifest": "SELECT path, sha256 FROM manifest WHERE sha256 <> 'stale'",
         "src3_load_summaries": "SELECT path, description FROM summaries",
@@ -375,10 +380,7 @@ def _bodies() -> dict[str, str]:
         "udf2_class_table": "SELECT path, position, class_name, array_to_string(parents, ',') AS parents, docstring FROM code_classes",
         "udf3_import_listing": "SELECT path, ordinal, module, name FROM code_imports",
         "udf5_batch_completion": f"""
-            SELECT digest AS prompt_hash, CASE WHEN digest NOT LIKE 'f%' THEN '{KEPT_REPLY}' || digest END AS text,
-                   CASE WHEN digest LIKE 'f%' THEN 6 WHEN digest LIKE '0%' OR digest LIKE '1%' THEN 3 ELSE 1 END AS attempts,
-                   CASE WHEN digest LIKE 'f%' THEN 'failed' ELSE 'completed' END AS status,
-                   CASE WHEN digest LIKE 'f%' THEN 'refused' END AS error
+            SELECT digest AS prompt_hash, '{KEPT_REPLY}' || digest AS text, 1 AS attempts, 'completed' AS status, NULL::VARCHAR AS error
             FROM (SELECT DISTINCT sha256({lit(prompts.DESCRIBE_PREAMBLE + prompts.DESCRIBE_CONTENT)} || content || {lit(prompts.CLOSING_FENCE)}) AS digest
                   FROM doc_files)""",
         "udf6_named_post_processor": f"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,7 +16,7 @@ from quillframe.operators import (
     changes, code, completion, embedding, folders, ignore, ordering, packing, postprocess,
     reports, revisions, search, vectors as vec,
 )
-from quillframe.plans import describe, retrieval
+from quillframe.plans import describe, retrieval, run
 from quillframe.scratch import scratch_path, written
 from quillframe.sources import source_tree, state, storage
 
@@ -22,6 +25,7 @@ PACKAGE = "shop"
 TAG = "# tagged"
 HISTORY_TIME = "2024-03-05 06:07:08"
 KEPT_REPLY = "reply "
+RUN_DOCSTRING = '"""Doc."""\n'
 
 
 # Sources ------------------------------------------------------------------
@@ -98,7 +102,7 @@ def keep_history(spark, sf) -> DataFrame:
     prior = fx.revisions(spark, sf).where(F.col("old") != F.col("new"))
     rows = prior.select(F.col("doc_id").cast("string").alias("path"), F.col("old").alias("content"))
     storage.keep_history(rows, F.to_timestamp(F.lit(HISTORY_TIME)), root)
-    return spark.read.schema(schemas.HISTORY).parquet(root)
+    return spark.read.schema(schemas.HISTORY).parquet(root).drop("run")
 
 
 # Filters ------------------------------------------------------------------
@@ -490,38 +494,69 @@ def batch_embedding(spark, sf) -> DataFrame:
     )
 
 
-def local_model():
-    """A model that fails now and then, by the hash of the prompt."""
-    from hashlib import sha256
-
-    seen: dict[str, int] = {}
-
-    def complete(batch: list[str]) -> list:
-        replies = []
-        for prompt in batch:
-            digest = sha256(prompt.encode()).hexdigest()
-            seen[digest] = seen.get(digest, 0) + 1
-            if digest[0] == "f":
-                replies.append(RuntimeError("refused"))
-            elif digest[0] in "01" and seen[digest] < 3:
-                replies.append(RuntimeError("busy"))
-            else:
-                replies.append(KEPT_REPLY + digest)
-        return replies
-
-    return complete
+def echoing_model():
+    """The reply follows from the prompt alone."""
+    return lambda batch: [KEPT_REPLY + sha256(prompt.encode()).hexdigest() for prompt in batch]
 
 
 def batch_completion(spark, sf) -> DataFrame:
     asked = fx.doc_files(spark, sf).select(prompts.describe_prompt(F.col("content")).alias("prompt"))
-    return completion.complete_prompts(asked, local_model, backoff=0)
+    return completion.complete_prompts(asked, echoing_model, backoff=0)
 
 
 def named_post_processor(spark, sf) -> DataFrame:
     return postprocess.apply_named(fx.model_output(spark, sf), "write_new_content", '{"tag": "%s"}' % TAG)
 
 
+# Whole runs -----------------------------------------------------------------
+
+def describing_model():
+    """Stands for a hosted model: the reply follows from the prompt alone."""
+    return lambda batch: [f"About {sha256(p.encode()).hexdigest()}" for p in batch]
+
+
+def documenting_model():
+    """Replies as asked: a JSON object with the file's new content."""
+    def reply(prompt: str) -> str:
+        code_block = prompt.rsplit("python\n", 1)[1][:-4]
+        return json.dumps({"new_file_content": RUN_DOCSTRING + code_block.rstrip("\n")})
+
+    return lambda batch: [reply(p) for p in batch]
+
+
+def _run_twice(spark, sf, times: int):
+    """Runs over all modules, the next one on the files that the last one left."""
+    root, name = scratch_path(spark, "run-state"), f"run_{uuid.uuid4().hex}"
+    files = fx.code_files(spark, sf)
+    for _ in range(times):
+        done = run.run(
+            files,
+            run.RunSettings(state_root=root, collection=name, package=PACKAGE, tag=TAG,
+                            at=F.lit(HISTORY_TIME).cast("timestamp"), retry=(("backoff", 0),)),
+            describing_model, documenting_model)
+        files = written(done.files, "files-after-run")
+    spark.sql(f"DROP TABLE {name}")
+    return done
+
+
+def first_run(spark, sf) -> DataFrame:
+    """Detect, describe, store, retrieve, document and version: the hash of every new content."""
+    return _run_twice(spark, sf, 1).manifest
+
+
+def second_run(spark, sf) -> DataFrame:
+    """Nothing has changed since the first run: nothing is done, the state stays."""
+    done = _run_twice(spark, sf, 2)
+    counted = [
+        getattr(done, name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        for name in ("pending", "descriptions", "contents", "reports", "manifest", "files")
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 QUERIES = {
+    "run_first": first_run,
+    "run_second": second_run,
     "src1_scan_source_tree": scan_source_tree,
     "src2_load_manifest": load_manifest,
     "src3_load_summaries": load_summaries,

@@ -44,10 +44,10 @@ def approved_contents(contents: DataFrame, decisions: DataFrame | None) -> DataF
     return contents if decisions is None else reports.approved_only(contents, decisions, "path")
 
 
-def keep_versions(files: DataFrame, contents: DataFrame, at: Column, state_root: str) -> None:
+def keep_versions(files: DataFrame, contents: DataFrame, at: Column, state_root: str, run: int = 1) -> None:
     """Append what is about to be replaced to the history, then save the new contents."""
     prior = files.select("path", "content").join(contents.select("path"), "path", "left_semi")
-    storage.keep_history(prior, at, f"{state_root}/history")
+    storage.keep_history(prior, at, f"{state_root}/history", run)
     storage.save_version(
         contents.select("path", F.col("new_content").alias("content")), f"{state_root}/contents"
     )

@@ -50,18 +50,23 @@ def run(
     make_document: Callable,
     make_predict: Callable | None = None,
     decisions: DataFrame | None = None,
+    folder_decisions: DataFrame | None = None,
 ) -> RunTables:
     """Detect, describe, store, retrieve, document, approve, version, report.
 
+    ``decisions`` (path, answer) gate files, ``folder_decisions`` (folder,
+    answer) the changes of a report's folder; without a table all pass.
     ``files`` has (path, content) and is read more than once: pass a table.
     """
     spark, root, retry = files.sparkSession, settings.state_root, dict(settings.retry)
+    # a run counts once its manifest is there; until then it has the same number
+    number = 1 + max(storage.versions(spark, f"{root}/manifest"), default=0)
     storage.get_or_create_collection(spark, settings.collection, f"{root}/vectors")
     summaries = storage.load_version(spark, f"{root}/summaries", schemas.SUMMARIES)
 
     pending = incremental.pending_files(files, root)
     fresh = describe.describe_pending(pending, files, summaries, make_describe, f"{root}/replies/describe", settings.tree, **retry)
-    storage.save_descriptions(fresh, f"{root}/descriptions", settings.out_dir)
+    storage.save_descriptions(fresh, f"{root}/descriptions", settings.out_dir, number)
     rows = describe.vector_rows(fresh, settings.out_dir, {"file_type": describe.DESCRIPTION_TYPE})
     verdict = describe.store_vectors(rows, settings.collection, "descriptions", make_predict)
     known = describe.keep_summaries(summaries, fresh, root)
@@ -71,13 +76,16 @@ def run(
     lookup = describe.first_descriptions(todo, known.withColumn("ordinal", F.lit(0)))
     asked = written(document.document_prompts(todo, stored, lookup, settings.package, make_predict), "prompts")
     outputs = document.new_contents(asked, make_document, settings.tag, f"{root}/replies/document", **retry)
-    contents = written(document.approved_contents(outputs, decisions), "contents")
+    changeset = written(folders.assign_by_depth(
+        document.approved_contents(outputs, decisions), settings.report_depth, settings.report_per_file), "changeset")
+    if folder_decisions is not None:
+        changeset = reports.approved_only(changeset, folder_decisions, "folder")
+    contents = changeset.drop("folder")
 
-    document.keep_versions(todo, contents, settings.at, root)
+    document.keep_versions(todo, contents, settings.at, root, number)
     manifest = incremental.record_hashes(
         contents.select("path", F.col("new_content").alias("content")), root
     )
-    changeset = folders.assign_by_depth(contents.select("path"), settings.report_depth, settings.report_per_file)
     return RunTables(
         pending=pending,
         descriptions=fresh,

@@ -9,7 +9,7 @@ VECTORS = (
     "id string, document string, metadata map<string,string>, "
     "embedding array<float>, tokens bigint, file_type string"
 )
-HISTORY = "path string, content string, stamp string"
+HISTORY = "path string, content string, run int, stamp string"
 COMPLETION = "text string, attempts int, status string, error string"
 TOOL_ARGUMENTS = "new_file_content string"
 

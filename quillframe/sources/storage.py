@@ -75,15 +75,17 @@ def described(summaries: DataFrame, out_dir: str, new_suffix: str = ".txt") -> D
     )
 
 
-def save_descriptions(summaries: DataFrame, root: str, out_dir: str) -> None:
-    """One table partitioned by top folder.
+def save_descriptions(summaries: DataFrame, root: str, out_dir: str, run: int = 1) -> None:
+    """One table partitioned by run and top folder.
+
+    A run that is repeated after a failure overwrites what it left before.
 
     The rebalance hint lets AQE split a folder that holds most rows and join
     small ones, instead of one writer per folder.
     """
-    described(summaries, out_dir).hint("rebalance", "top_folder").write.mode("append").partitionBy(
+    described(summaries, out_dir).hint("rebalance", "top_folder").write.mode("overwrite").partitionBy(
         "top_folder"
-    ).parquet(root)
+    ).parquet(f"{root}/run={run}")
 
 
 def backup_rows(prior: DataFrame, at: Column) -> DataFrame:
@@ -91,8 +93,9 @@ def backup_rows(prior: DataFrame, at: Column) -> DataFrame:
     return prior.select("path", "content", F.date_format(at, "yyyyMMddHHmmss").alias("stamp"))
 
 
-def keep_history(prior: DataFrame, at: Column, root: str) -> None:
-    backup_rows(prior, at).write.mode("append").partitionBy("stamp").parquet(root)
+def keep_history(prior: DataFrame, at: Column, root: str, run: int = 1) -> None:
+    """Prior contents by run and time; a repeated run overwrites what it left before."""
+    backup_rows(prior, at).write.mode("overwrite").partitionBy("stamp").parquet(f"{root}/run={run}")
 
 
 def get_or_create_collection(spark: SparkSession, name: str, location: str | None = None) -> DataFrame:

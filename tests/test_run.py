@@ -108,3 +108,12 @@ def test_a_run_that_dies_pays_for_no_reply_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(document, "keep_versions", real)
     done = run(files, chosen, counted(describer), counted(documenter))
     assert done.contents.count() == 3 and calls.value == paid
+
+
+def test_only_approved_folders_are_written(spark, tmp_path):
+    files = spark.createDataFrame(FILES[:3], "path string, content string")
+    answers = spark.createDataFrame([("pkg", "yes"), ("pkg/sub", "no")], "folder string, answer string")
+    chosen = RunSettings(**{**settings(tmp_path, 1).__dict__, "collection": "run_vectors_4"})
+    done = run(files, chosen, describer, documenter, folder_decisions=answers)
+    assert rows(done.contents, "path") == [("pkg/a.py",)]
+    assert rows(done.manifest, "path") == [("pkg/a.py",)] and rows(done.reports, "folder") == [("pkg",)]
