@@ -53,6 +53,31 @@ def load_version(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/v={done[-1]}")
 
 
+def load_log(spark: SparkSession, root: str, schema: str, key: str, value: str) -> DataFrame:
+    """Newest value per key over all finished versions, each of which holds only its own rows."""
+    done = versions(spark, root)
+    if not done:
+        return spark.createDataFrame([], schema)
+    parts = [f"{root}/v={n}" for n in done]
+    rows = spark.read.option("basePath", root).schema(f"{schema}, v long").parquet(*parts)
+    return rows.groupBy(key).agg(F.max_by(value, "v").alias(value))
+
+
+def compact_log(spark: SparkSession, root: str, schema: str, key: str, value: str) -> None:
+    """Writes the newest values as one version, then deletes the older ones.
+
+    For the owner of the table, between runs. A failure half way changes no
+    result: the new version counts once complete, and it says what all older
+    ones together say.
+    """
+    old = versions(spark, root)
+    if len(old) > 1:
+        save_version(load_log(spark, root, schema, key, value), root)
+        for n in old:
+            filesystem, target = _hadoop(spark, f"{root}/v={n}")
+            filesystem.delete(target, True)
+
+
 def export_manifest_json(manifest: DataFrame, path: str) -> None:
     """One object path -> hash a line, as ``state.load_manifest_json`` reads it."""
     manifest.select(F.to_json(F.create_map("path", "sha256")).alias("value")).write.mode("overwrite").text(path)

@@ -1,6 +1,6 @@
 from conftest import rows
 
-from quillframe import schemas
+from quillframe.plans import incremental
 from quillframe.sources import storage
 from quillframe.streaming.arrivals import ARRIVALS, process_arrivals
 
@@ -19,4 +19,12 @@ def test_only_new_contents_are_handled(spark, tmp_path):
     arrive(("a.py", "0", 1), ("a.py", "1", 2), ("b.py", "2", 1))
     arrive(("a.py", "1", 3), ("b.py", "3", 3), ("c.py", "4", 3), ("b.py", "2", 2))
     assert seen == [[("a.py",), ("b.py",)], [("b.py",), ("c.py",)]]
-    assert storage.load_version(spark, f"{state}/manifest", schemas.MANIFEST).count() == 3
+    known = [("a.py",), ("b.py",), ("c.py",)]
+    assert rows(incremental.known_hashes(spark, state), "path") == known
+    arrive(("d.py", "9", 4))
+    # a batch writes its own arrivals only
+    assert spark.read.parquet(f"{state}/manifest/v=3").count() == 1
+    before = rows(incremental.known_hashes(spark, state))
+    incremental.compact_hashes(spark, state)
+    assert storage.versions(spark, f"{state}/manifest") == [4]
+    assert rows(incremental.known_hashes(spark, state)) == before and len(before) == 4
