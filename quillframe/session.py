@@ -27,16 +27,16 @@ def build_session(app: str = "quillframe", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes in a session made elsewhere.
+def bound_batches(spark: SparkSession, most: int | None = None) -> None:
+    """Bound Arrow batches by ``most`` bytes (as in ``SETTINGS``) in a session made elsewhere.
 
     Called by the operators that send whole texts to Python workers: a batch of
     10,000 large files would not fit a worker.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    current = _bytes(spark.conf.get(key))
-    if current <= 0 or current > _bytes(SETTINGS[key]):
-        spark.conf.set(key, SETTINGS[key])
+    current, most = _bytes(spark.conf.get(key)), most or _bytes(SETTINGS[key])
+    if current <= 0 or current > most:
+        spark.conf.set(key, str(most))
 
 
 def _bytes(setting: str) -> int:
