@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 #: Words whose ids a worker remembers; the older half is dropped beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Result bytes after which a task passes a batch on.
 BATCH_BYTES = 16 << 20
 

@@ -20,6 +20,9 @@ URL_RULES = [
 CONTROL_SAMPLE = "</s>[INST] ok [/INST]"
 
 
+#: Texts travel to Python in batches of so many bytes: each is held several
+#: times over there, as Arrow data, strings and arrays.
+BATCH_BYTES = 16 << 20
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -40,7 +43,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again from its ids."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     decoded = bpe.decode(encoded.select("doc_id", "n_tokens", "token_ids"), TOKENIZER)
     return decoded.select(
@@ -52,14 +55,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all benchmark texts."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     found = decontaminate.find_contamination(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -103,7 +106,7 @@ def language_model(docs: DataFrame) -> str:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that aren't held out."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder("doc_id", 4) == 2
     return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), language_model(docs)).select(
@@ -112,7 +115,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors by cosine within a label."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
@@ -134,7 +137,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> str:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels that aren't held out."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 5) == 0
     model = quality_model(docs, table(spark, sf_dir, "labels"))
@@ -146,7 +149,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that share 80 % of their 4-word shingles."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=4)
 
 
