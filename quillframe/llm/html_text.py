@@ -8,28 +8,32 @@ for regions whose markup names them as menus, adverts, forms or comments.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 from itertools import groupby
 from string import ascii_letters
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from quillframe.llm.url_rules import url_host
 from quillframe.scratch import written
 
-#: Pages of a host that are aligned together, and their bytes, about.
+#: Distinct pages of a host that are aligned together, and their bytes, about.
 GROUP_PAGES, GROUP_BYTES = 32, 8 << 20
+#: Bytes never split a host into groups of fewer distinct pages than this, on average.
+LEAST_PAGES = 10
+#: A page whose copies on a host have more bytes together is taken once.
+COPIES_BYTES = GROUP_BYTES // GROUP_PAGES
 #: A node is template if it has one text on this share of at least so many pages.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 5
 #: Sibling lists whose table would be larger are aligned by labels alone.
 TABLE_CELLS = 40_000
 #: Nesting beyond which further elements are siblings; trees are walked recursively.
 DEPTH = 200
-#: The chunk counts of large hosts are sent to every task up to this size.
+#: Lists of large hosts and copied pages are sent to every task up to this size.
 SHARED_BYTES = 8 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -217,20 +221,28 @@ def template_nodes(pages: list[Node]) -> set[int]:
     if len(pages) < TEMPLATE_PAGES:
         return set()
     wrapper = sorted(pages, key=lambda p: p.size)[len(pages) // 2]
-    said: dict[int, Counter] = {}
-    slots: dict[int, list[tuple[Node, str]]] = {}
-    for page in pages:
-        for own, slot in align(page, wrapper):
-            text = own.text()
-            if text:
-                said.setdefault(id(slot), Counter())[text] += 1
-                slots.setdefault(id(slot), []).append((own, text))
-    found = set()
-    for slot, texts in said.items():
-        text, times = texts.most_common(1)[0]
-        if times >= TEMPLATE_SHARE * len(pages):
-            found.update(id(own) for own, t in slots[slot] if t == text)
-    return found
+    aligned = [_said(page, wrapper) for page in pages]
+    constant = _constant(aligned, len(pages))
+    return set().union(*(_constant_nodes(said, constant) for said in aligned))
+
+
+def _said(page: Node, wrapper: Node) -> list[tuple[int, int, str]]:
+    """(id of a node of the page, id of its slot in the wrapper, text) of nodes with a text."""
+    return [(id(own), id(slot), text) for own, slot in align(page, wrapper) if (text := own.text())]
+
+
+def _constant(aligned: Iterable[list[tuple[int, int, str]]], pages: int) -> dict[int, str]:
+    """The slots that have one text on nearly all pages, with it."""
+    texts: dict[int, Counter] = {}
+    for said in aligned:
+        for _, slot, text in said:
+            texts.setdefault(slot, Counter())[text] += 1
+    common = ((slot, *counts.most_common(1)[0]) for slot, counts in texts.items())
+    return {slot: text for slot, text, times in common if times >= TEMPLATE_SHARE * pages}
+
+
+def _constant_nodes(said: list[tuple[int, int, str]], constant: dict[int, str]) -> set[int]:
+    return {own for own, slot, text in said if constant.get(slot) == text}
 
 
 # Text ---------------------------------------------------------------------
@@ -301,12 +313,58 @@ def text_of(page: Node, template: set[int] = frozenset()) -> str:
 
 def texts_of_pages(pages: list[str | None]) -> list[str]:
     """Texts of pages of one host, aligned with each other; equal pages count once."""
-    trees = {html: parse(html) for html in dict.fromkeys(p or "" for p in pages)}
-    template = template_nodes(list(trees.values()))
-    found = {html: text_of(tree, template) for html, tree in trees.items()}
+    distinct = list(dict.fromkeys(p or "" for p in pages))
+    if len(distinct) >= TEMPLATE_PAGES and sum(map(len, distinct)) > GROUP_BYTES:
+        texts = _texts_of_long_pages(distinct)
+    else:
+        trees = [parse(html) for html in distinct]
+        template = template_nodes(trees)
+        texts = [text_of(tree, template) for tree in trees]
+    found = dict(zip(distinct, texts))
     return [found[p or ""] for p in pages]
 
 
+def _texts_of_long_pages(pages: list[str]) -> list[str]:
+    """The same texts with two trees in memory at a time; pages are parsed again instead."""
+    sizes = [parse(html).size for html in pages]
+    wrapper = parse(pages[sorted(range(len(pages)), key=sizes.__getitem__)[len(pages) // 2]])
+    constant = _constant((_said(parse(html), wrapper) for html in pages), len(pages))
+
+    def text(html: str) -> str:
+        page = parse(html)
+        return text_of(page, _constant_nodes(_said(page, wrapper), constant))
+
+    return [text(html) for html in pages]
+
+
+def _groups_of_hosts(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many cells the distinct pages of large hosts are dealt to, and the cells that join another.
+
+    A cell with fewer than ``TEMPLATE_PAGES`` pages joins the one before it that
+    has as many, or the first such one.
+    """
+    pages, size = F.count(F.lit(1)), F.sum("_bytes")
+    wanted = F.least(F.ceil(F.greatest(pages / GROUP_PAGES, size / GROUP_BYTES)), F.floor(pages / LEAST_PAGES))
+    large = written(
+        distinct.groupBy("_host").agg(wanted.cast("int").alias("_cells")).where("_cells > 1"), "large-hosts")
+    cells = distinct.join(_shared(large), "_host").groupBy("_host", _cell()).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("_host")
+    enough = F.when(F.col("n") >= TEMPLATE_PAGES, F.col("_cell"))
+    target = F.coalesce(F.last(enough, True).over(own.orderBy("_cell")), F.min(enough).over(own))
+    moved = cells.select("_host", "_cell", target.alias("_to")).where("_cell <> _to")
+    return large, written(moved, "moved-cells")
+
+
+def _cell() -> Column:
+    return F.pmod(F.xxhash64("_page"), F.coalesce("_cells", F.lit(1))).cast("int").alias("_cell")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Sent to every task if it is small."""
+    size = rows.agg(F.sum(F.octet_length("_host") + 56)).first()[0] or 0
+    return F.broadcast(rows) if size <= SHARED_BYTES else rows
+
+
 def extract_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Adds text (empty if there is none) and n_chars to every row of pages.
 
@@ -314,35 +372,66 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url: str = "url",
     Repeated rows get the same text; columns of the added names are replaced; an
     empty table gives no rows.
 
-    The pages of a host are dealt out to groups of about ``GROUP_PAGES`` pages
-    and ``GROUP_BYTES`` by a hash of id and url, so a large host is many small
-    groups. Pages are shuffled once. Only hosts with several groups need to be
-    known beforehand; that list is sent to the tasks if it is small, and joined
-    otherwise.
+    The distinct pages of a host are dealt out by their digests to groups of
+    about ``GROUP_PAGES`` pages and ``GROUP_BYTES``, so a large host is many
+    small groups. Bytes don't split a host below about ``LEAST_PAGES`` pages a
+    group, and every group of a host with ``TEMPLATE_PAGES`` pages has as many;
+    groups of more bytes are aligned with two trees in memory at a time. Pages
+    are shuffled once. A page with many copies takes part once, and the copies
+    get its text by a join. Only hosts with several groups, cells that join
+    others and pages with many copies need to be known beforehand; these lists
+    are sent to the tasks if they are small, and joined otherwise.
     """
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(*kept, url_host(F.col(url)).alias("_host"))
-    bytes_ = F.coalesce(F.octet_length(F.col(html)), F.lit(0))
-    wanted = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_PAGES, F.sum(bytes_) / GROUP_BYTES)).cast("int")
-    large = written(
-        rows.groupBy("_host").agg(wanted.alias("_groups")).where("_groups > 1"), "large-hosts")
-    size = large.agg(F.sum(F.octet_length("_host") + 16)).first()[0] or 0
-    side = F.broadcast(large) if size <= SHARED_BYTES else large
-    group = F.pmod(F.xxhash64(F.col(id_column), F.col(url)), F.coalesce("_groups", F.lit(1))).cast("int")
-    dealt = rows.join(side, "_host", "left").select("_host", group.alias("_group"), *kept)
-    schema = StructType([*(pages.schema[c] for c in kept), StructField("text", StringType()), StructField("n_chars", LongType())])
-    place = 2 + kept.index(html)
+    body = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(
+        F.coalesce(url_host(F.col(url)), F.lit("")).alias("_host"), F.unhex(F.md5(body)).alias("_page"), *kept)
+    distinct = written(
+        rows.select("_host", "_page", F.octet_length(body).cast("long").alias("_bytes"))
+        .groupBy("_host", "_page").agg(F.first("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("n")), "distinct-pages")
+    large, moved = _groups_of_hosts(distinct)
+    copied = written(distinct.where(F.expr(f"n > 1 and n * _bytes > {COPIES_BYTES}")).select("_host", "_page"), "copied-pages")
+    schema = StructType([
+        StructField("_host", StringType()), StructField("_page", BinaryType()),
+        StructField("_copied", BooleanType()), *(pages.schema[c] for c in kept),
+        StructField("text", StringType()), StructField("n_chars", LongType())])
+    place = 4 + kept.index(html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             texts = texts_of_pages(group.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*group.columns[2:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                [group.column(0), *group.columns[2:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=schema.names)
 
+    def extracted(own: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+        dealt = (
+            own.join(_shared(large), "_host", "left").withColumn("_cell", _cell())
+            .join(_shared(moved), ["_host", "_cell"], "left").withColumn("_group", F.coalesce("_to", "_cell")))
+        if cells is not None:
+            dealt = dealt.join(_shared(cells), ["_host", "_group"], "left_semi")
+        return (
+            dealt.select("_host", "_group", "_page", "_copied", *kept)
+            .repartition("_host", "_group").sortWithinPartitions("_host", "_group", "_page", id_column, url)
+            .mapInArrow(run, schema)
+        )
+
+    if copied.isEmpty():
+        return extracted(rows.withColumn("_copied", F.lit(False))).select(*kept, "text", "n_chars")
+    single = rows.join(_shared(copied), ["_host", "_page"], "left_anti").withColumn("_copied", F.lit(False))
+    copies = rows.join(_shared(copied), ["_host", "_page"])
+    once = copies.groupBy("_host", "_page").agg(F.first(html).alias(html)).select(
+        "_host", "_page", *(F.col(c) if c == html else F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in kept),
+        F.lit(True).alias("_copied"))
+    own = single.unionByName(once)
+    cells = (
+        copied.join(_shared(large), "_host", "left").withColumn("_cell", _cell())
+        .join(_shared(moved), ["_host", "_cell"], "left").select("_host", F.coalesce("_to", "_cell").alias("_group")).distinct())
+    texts = written(
+        extracted(own, written(cells, "copied-cells")).where("_copied").select("_host", "_page", "text", "n_chars"), "copied-texts")
     return (
-        dealt.repartition("_host", "_group").sortWithinPartitions("_host", "_group", id_column, url)
-        .mapInArrow(run, schema)
+        extracted(own).where("not _copied").select(*kept, "text", "n_chars")
+        .unionByName(copies.join(texts, ["_host", "_page"]).select(*kept, "text", "n_chars"))
     )
 
 

@@ -104,3 +104,33 @@ def test_rows_of_every_kind(spark, monkeypatch):
         assert all(got[i] == f"{i}\n{i * 7}" for i in range(90)) and got[200] == "x" and got[None] == got[201] == ""
     assert results[0] == results[1]
     assert h.extract_text(df.limit(0)).count() == 0
+
+
+def with_template_dropped(spark, rows):
+    got = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    return {r.page_id: r.text for r in got}
+
+
+def test_a_long_page_leaves_its_host_whole(spark, monkeypatch):
+    monkeypatch.setattr(h, "GROUP_BYTES", 20_000)
+    pages = [SITE.format(f"first {i}", "long " * 40_000 if i == 3 else i) for i in range(31)]
+    got = with_template_dropped(spark, [(i, f"http://a/{i}", p) for i, p in enumerate(pages)])
+    assert all(got[i].startswith(f"first {i}\n") and "Imprint" not in got[i] for i in range(31))
+    assert got[3].count("long") == 40_000
+
+
+@pytest.mark.parametrize("copies_bytes", [0, 1 << 20])
+def test_copies_take_no_places_of_other_pages(spark, monkeypatch, copies_bytes):
+    monkeypatch.setattr(h, "COPIES_BYTES", copies_bytes)
+    rows = [(i, f"http://a/{i}", SITE.format("copy", 7)) for i in range(900)]
+    rows += [(i, f"http://a/{i}", SITE.format(i, i * 7)) for i in range(900, 1000)]
+    got = with_template_dropped(spark, rows)
+    assert all(got[i] == (f"{i}\n{i * 7}" if i >= 900 else "copy\n7") for i in range(1000))
+
+
+def test_every_group_can_learn(spark, monkeypatch):
+    monkeypatch.setattr(h, "GROUP_BYTES", 1)
+    for n in range(5, 60, 9):
+        got = with_template_dropped(spark, [(i, f"http://a{n}/{i}", SITE.format(i, -i)) for i in range(n)])
+        assert got == {i: f"{i}\n{-i}" for i in range(n)}
