@@ -31,8 +31,6 @@ COPIES_BYTES = GROUP_BYTES // GROUP_PAGES
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 5
 #: Sibling lists whose table would be larger are aligned by labels alone.
 TABLE_CELLS = 40_000
-#: Nesting beyond which further elements are siblings; trees are walked recursively.
-DEPTH = 200
 #: Lists of large hosts and copied pages are sent to every task up to this size.
 SHARED_BYTES = 8 << 20
 
@@ -62,7 +60,7 @@ ENDS_P = BLOCKS - {"body", "html", "option", "title", "caption", "tbody", "thead
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parts", "number", "shape", "size")
+    __slots__ = ("tag", "names", "role", "hidden", "parts", "number", "shape", "size", "titled")
 
     def __init__(self, tag: str, attributes: list[tuple[str, str | None]] = ()):
         self.tag, self.parts = tag, []
@@ -86,47 +84,63 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    """Builds a tree from tags, closing what the markup leaves open."""
+    """Builds a tree from tags, closing what the markup leaves open.
+
+    Places in the stack are kept by tag, so that a tag finds what it closes at
+    any depth at once.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#page")
         self.stack = [self.root]
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.stack):
+        if tag in ("html", "body") and self.open.get(tag):
             return
-        self._close_open(CLOSES.get(tag, ()), SCOPES)
+        if tag in CLOSES:
+            self._close_open(CLOSES[tag], SCOPES)
         if tag in ENDS_P:
             self._close_open(("p",), SCOPES)
         node = Node(tag, attrs)
         self.stack[-1].parts.append(node)
-        if tag not in VOID and len(self.stack) < DEPTH:
+        if tag not in VOID:
+            self.open.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCKS:
+                self.blocks.append(len(self.stack))
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "path") and self.stack[-1].tag == tag:
-            self.stack.pop()
+            self._close_from(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCKS and self.stack[i].tag in BLOCKS:
-                return  # an inline element doesn't end a block
+        place = self._last((tag,))
+        # an inline element doesn't end a block
+        if place and (tag in BLOCKS or not self.blocks or self.blocks[-1] < place):
+            self._close_from(place)
 
     def handle_data(self, data):
         self.stack[-1].parts.append(data)
 
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags, or 0."""
+        return max((places[-1] for tag in tags if (places := self.open.get(tag))), default=0)
+
     def _close_open(self, tags, scopes):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in scopes:
-                return
+        place = self._last(tags)
+        if place and place >= self._last(scopes):
+            self._close_from(place)
+
+    def _close_from(self, place):
+        for node in reversed(self.stack[place:]):
+            self.open[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+        del self.stack[place:]
 
 
 def parse(html: str | None) -> Node:
@@ -142,12 +156,21 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def _measure(node: Node) -> None:
-    kids = node.children()
-    for kid in kids:
-        _measure(kid)
-    node.shape = hash((node.tag, node.names, tuple(k.shape for k in kids)))
-    node.size = 1 + sum(k.size for k in kids)
+def _inside_out(root: Node) -> list[Node]:
+    """All nodes of a tree, children before their parents."""
+    nodes = [root]
+    for node in nodes:
+        nodes += node.children()
+    nodes.reverse()
+    return nodes
+
+
+def _measure(root: Node) -> None:
+    for node in _inside_out(root):
+        kids = node.children()
+        node.shape = hash((node.tag, node.names, tuple(k.shape for k in kids)))
+        node.size = 1 + sum(k.size for k in kids)
+        node.titled = any(k.titled or k.tag in ("h1", "h2") for k in kids)
 
 
 # Simple tree matching -----------------------------------------------------
@@ -157,17 +180,38 @@ def _label(node: Node) -> tuple[str, str]:
 
 
 def matched(a: Node, b: Node, memory: dict) -> int:
-    """Largest number of node pairs of an alignment of two trees that keeps order and parents."""
-    if a.tag != b.tag or a.names != b.names:
-        return 0
+    """Largest number of node pairs of an alignment of two trees that keeps order and parents.
+
+    ``memory`` has the numbers of all pairs of shapes met inside.
+    """
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        key = x.shape, y.shape
+        if _known(x, y, memory) is not None:
+            todo.pop()
+            continue
+        left, right = x.children(), y.children()
+        exact = len(left) * len(right) <= TABLE_CELLS
+        if key not in memory:
+            memory[key] = None  # opened: what it needs comes first
+            wanted = ((p, q) for p in left for q in right) if exact else _by_label(left, right)
+            needed = [(p, q) for p, q in wanted if _known(p, q, memory) is None]
+            if needed:
+                todo += needed
+                continue
+        memory[key] = 1 + (_table(left, right, memory)[-1][-1] if exact else
+                           sum(_known(p, q, memory) for p, q in _by_label(left, right)))
+        todo.pop()
+    return _known(a, b, memory)
+
+
+def _known(a: Node, b: Node, memory: dict) -> int | None:
     if a.shape == b.shape:
         return a.size
-    key = (id(a), id(b))
-    if key not in memory:
-        memory[key] = 1 + (_table(a.children(), b.children(), memory)[-1][-1]
-                           if (n := len(a.children()) * len(b.children())) and n <= TABLE_CELLS
-                           else sum(matched(x, y, memory) for x, y in _by_label(a.children(), b.children())) if n else 0)
-    return memory[key]
+    if a.tag != b.tag or a.names != b.names:
+        return 0
+    return memory.get((a.shape, b.shape))
 
 
 def _table(left: list[Node], right: list[Node], memory: dict) -> list[list[int]]:
@@ -175,7 +219,7 @@ def _table(left: list[Node], right: list[Node], memory: dict) -> list[list[int]]
     for x in left:
         before, row = rows[-1], [0]
         for j, y in enumerate(right):
-            w = matched(x, y, memory)
+            w = _known(x, y, memory)
             row.append(max(before[j + 1], row[j], before[j] + w))
         rows.append(row)
     return rows
@@ -189,28 +233,31 @@ def _by_label(left: list[Node], right: list[Node]) -> Iterator[tuple[Node, Node]
 def align(a: Node, b: Node, memory: dict | None = None) -> Iterator[tuple[Node, Node]]:
     """The pairs of nodes of a best alignment."""
     memory = {} if memory is None else memory
-    if not matched(a, b, memory):
-        return
-    yield a, b
-    left, right = a.children(), b.children()
-    if a.shape == b.shape:
-        pairs = zip(left, right)
-    elif len(left) * len(right) > TABLE_CELLS:
-        pairs = _by_label(left, right)
-    else:
-        rows, pairs = _table(left, right, memory), []
-        i, j = len(left), len(right)
-        while i and j:
-            w = matched(left[i - 1], right[j - 1], memory)
-            if w and rows[i][j] == rows[i - 1][j - 1] + w:
-                i, j = i - 1, j - 1
-                pairs.append((left[i], right[j]))
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    for x, y in pairs:
-        yield from align(x, y, memory)
+    todo = [(a, b)] if matched(a, b, memory) else []
+    while todo:
+        x, y = todo.pop()
+        yield x, y
+        left, right = x.children(), y.children()
+        if x.shape == y.shape:
+            todo += zip(left, right)
+        elif len(left) * len(right) > TABLE_CELLS:
+            todo += ((p, q) for p, q in _by_label(left, right) if _known(p, q, memory))
+        else:
+            todo += _pairs(left, right, memory)
+
+
+def _pairs(left: list[Node], right: list[Node], memory: dict) -> Iterator[tuple[Node, Node]]:
+    rows = _table(left, right, memory)
+    i, j = len(left), len(right)
+    while i and j:
+        w = _known(left[i - 1], right[j - 1], memory)
+        if w and rows[i][j] == rows[i - 1][j - 1] + w:
+            i, j = i - 1, j - 1
+            yield left[i], right[j]
+        elif rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
 
 
 def template_nodes(pages: list[Node]) -> set[int]:
@@ -252,29 +299,24 @@ def _dropped(node: Node, inside: bool) -> bool:
     if node.hidden or node.tag in DROPPED or node.role in DROPPED_ROLES:
         return True
     if node.tag == "header":
-        return not inside or not any(k.tag in ("h1", "h2") for k in _all(node))
+        return not inside or not node.titled
     if node.tag in ("html", "body", "article", "main") and not node.names:
         return False
     words = node.names.replace("-", " ").replace("_", " ").split()
     return node.tag not in ("html", "body") and any(w in DROPPED_NAMES for w in words)
 
 
-def _all(node: Node) -> Iterator[Node]:
-    for kid in node.children():
-        yield kid
-        yield from _all(kid)
-
-
-def _regions(node: Node) -> list[Node]:
+def _regions(page: Node) -> list[Node]:
     """The outermost elements that markup calls article or main content."""
-    out = []
-    for kid in node.children():
-        if _dropped(kid, False):
+    out, todo = [], page.children()[::-1]
+    while todo:
+        node = todo.pop()
+        if _dropped(node, False):
             continue
-        if kid.tag in ("article", "main") or kid.role in ("main", "article"):
-            out.append(kid)
+        if node.tag in ("article", "main") or node.role in ("main", "article"):
+            out.append(node)
         else:
-            out += _regions(kid)
+            todo += node.children()[::-1]
     return out
 
 
@@ -288,22 +330,32 @@ def text_of(page: Node, template: set[int] = frozenset()) -> str:
             lines.append(line)
         held.clear()
 
-    def walk(node: Node) -> None:
-        block = node.tag in BLOCKS
-        if block:
-            end()
-        for part in node.parts:
-            if isinstance(part, str):
-                if id(node) not in template:
-                    held.append(part)
-            elif part.tag == "br":
-                held.append(" ")
-            elif not _dropped(part, True):
-                walk(part)
-            elif part.tag in BLOCKS:
+    def walk(region: Node) -> None:
+        todo: list[tuple[Node, Iterator[str | Node]]] = []
+
+        def enter(node: Node) -> None:
+            if node.tag in BLOCKS:
                 end()
-        if block:
-            end()
+            todo.append((node, iter(node.parts)))
+
+        enter(region)
+        while todo:
+            node, parts = todo[-1]
+            for part in parts:
+                if isinstance(part, str):
+                    if id(node) not in template:
+                        held.append(part)
+                elif part.tag == "br":
+                    held.append(" ")
+                elif not _dropped(part, True):
+                    enter(part)
+                    break
+                elif part.tag in BLOCKS:
+                    end()
+            else:
+                todo.pop()
+                if node.tag in BLOCKS:
+                    end()
 
     for region in _regions(page) or [page]:
         walk(region)

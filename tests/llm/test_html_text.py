@@ -134,3 +134,18 @@ def test_every_group_can_learn(spark, monkeypatch):
     for n in range(5, 60, 9):
         got = with_template_dropped(spark, [(i, f"http://a{n}/{i}", SITE.format(i, -i)) for i in range(n)])
         assert got == {i: f"{i}\n{-i}" for i in range(n)}
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div><article><p>a</p>" + "<font>x" * 300 + "<div>in</div>rest</article></div>after", "a\n" + "x" * 300 + "\nin\nrest"),
+    ("<div>" * 250 + "<script>code</script><aside>side</aside><p hidden>no</p><div class=comments><p>reader</p></div>text", "text"),
+    ("<article>" + "<span>" * 100_000 + "deep<form>f</form>" + "</span>" * 100_000 + "<p>end</article>", "deep\nend"),
+    ("<article>" + "<font>line<br>" * 20_000 + "</article>tail", " ".join(["line"] * 20_000)),
+])
+def test_any_depth(page, want):
+    assert h.texts_of_pages([page]) == [want]
+
+
+def test_deep_pages_are_aligned():
+    pages = [SITE.format(i, "<b>" * 5000 + f"deep {i}") for i in range(6)]
+    assert h.texts_of_pages(pages) == [f"{i}\ndeep {i}" for i in range(6)]
