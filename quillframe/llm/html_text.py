@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
 from html.parser import HTMLParser
 from itertools import groupby
+from math import isqrt
 from string import ascii_letters
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
@@ -29,8 +30,10 @@ LEAST_PAGES = 10
 COPIES_BYTES = GROUP_BYTES // GROUP_PAGES
 #: A node is template if it has one text on this share of at least so many pages.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.9, 5
-#: Sibling lists whose table would be larger are aligned by labels alone.
-TABLE_CELLS = 40_000
+#: Numbers of pairs of shapes are kept from page to page up to so many.
+MEMORY_PAIRS = 200_000
+#: Rows of a table that are longer are computed by numpy.
+LONG_ROW = 32
 #: Lists of large hosts and copied pages are sent to every task up to this size.
 SHARED_BYTES = 8 << 20
 
@@ -175,10 +178,6 @@ def _measure(root: Node) -> None:
 
 # Simple tree matching -----------------------------------------------------
 
-def _label(node: Node) -> tuple[str, str]:
-    return node.tag, node.names
-
-
 def matched(a: Node, b: Node, memory: dict) -> int:
     """Largest number of node pairs of an alignment of two trees that keeps order and parents.
 
@@ -191,17 +190,16 @@ def matched(a: Node, b: Node, memory: dict) -> int:
         if _known(x, y, memory) is not None:
             todo.pop()
             continue
-        left, right = x.children(), y.children()
-        exact = len(left) * len(right) <= TABLE_CELLS
+        left, right = _unlike(x.children(), y.children())
         if key not in memory:
             memory[key] = None  # opened: what it needs comes first
-            wanted = ((p, q) for p in left for q in right) if exact else _by_label(left, right)
-            needed = [(p, q) for p, q in wanted if _known(p, q, memory) is None]
+            kinds = [{k.shape: k for k in kids}.values() for kids in (left, right)]
+            needed = [(p, q) for p in kinds[0] for q in kinds[1] if _known(p, q, memory) is None]
             if needed:
                 todo += needed
                 continue
-        memory[key] = 1 + (_table(left, right, memory)[-1][-1] if exact else
-                           sum(_known(p, q, memory) for p, q in _by_label(left, right)))
+        alike = sum(k.size for k in x.children()[len(left):])
+        memory[key] = 1 + alike + (_best(left, right, memory) if left and right else 0)
         todo.pop()
     return _known(a, b, memory)
 
@@ -214,20 +212,95 @@ def _known(a: Node, b: Node, memory: dict) -> int | None:
     return memory.get((a.shape, b.shape))
 
 
-def _table(left: list[Node], right: list[Node], memory: dict) -> list[list[int]]:
-    rows = [[0] * (len(right) + 1)]
-    for x in left:
-        before, row = rows[-1], [0]
-        for j, y in enumerate(right):
-            w = _known(x, y, memory)
-            row.append(max(before[j + 1], row[j], before[j] + w))
-        rows.append(row)
-    return rows
+def _unlike(left: list[Node], right: list[Node]) -> tuple[list[Node], list[Node]]:
+    """Two lists without their equal ends; a best alignment pairs these."""
+    n = 0
+    while n < min(len(left), len(right)) and left[-1 - n].shape == right[-1 - n].shape:
+        n += 1
+    return left[:len(left) - n], right[:len(right) - n]
 
 
-def _by_label(left: list[Node], right: list[Node]) -> Iterator[tuple[Node, Node]]:
-    for i, j, n in SequenceMatcher(None, [*map(_label, left)], [*map(_label, right)], False).get_matching_blocks():
-        yield from zip(left[i:i + n], right[j:j + n])
+class _Table:
+    """Rows of the dynamic program over two lists of siblings, one at a time.
+
+    Cell j of row i is the best of the first i and the first j siblings.
+    """
+
+    def __init__(self, left: list[Node], right: list[Node], memory: dict):
+        self.left, self.memory, self.weights = left, memory, {}
+        self.kinds = {}
+        self.places = [self.kinds.setdefault(y.shape, len(self.kinds)) for y in right]
+        self.of_kind = list({y.shape: y for y in right}.values())
+        self.long = len(right) > LONG_ROW
+        if self.long:
+            self.places = np.array(self.places)
+
+    def first(self) -> list[int] | np.ndarray:
+        return np.zeros(len(self.places) + 1, np.int64) if self.long else [0] * (len(self.places) + 1)
+
+    def weight(self, i: int) -> list[int] | np.ndarray:
+        """Numbers of pairs of sibling i of the left with each kind of the right."""
+        x = self.left[i]
+        if x.shape not in self.weights:
+            own = [_known(x, y, self.memory) for y in self.of_kind]
+            self.weights[x.shape] = np.array(own, np.int64) if self.long else own
+        return self.weights[x.shape]
+
+    def after(self, before: list[int] | np.ndarray, i: int) -> list[int] | np.ndarray:
+        """Row i + 1 from row i."""
+        weight = self.weight(i)
+        if self.long:
+            row = before.copy()
+            np.maximum(row[1:], before[:-1] + weight[self.places], out=row[1:])
+            return np.maximum.accumulate(row)
+        row = [0]
+        for j, kind in enumerate(self.places):
+            row.append(max(before[j + 1], row[j], before[j] + weight[kind]))
+        return row
+
+
+def _best(left: list[Node], right: list[Node], memory: dict) -> int:
+    table = _Table(left, right, memory)
+    row = table.first()
+    for i in range(len(left)):
+        row = table.after(row, i)
+    return int(row[-1])
+
+
+def _pairs(left: list[Node], right: list[Node], memory: dict) -> Iterator[tuple[Node, Node]]:
+    """The pairs of siblings of a best alignment, from the last.
+
+    Of a table of n rows every one after sqrt(n) is kept, and those between are
+    computed again on the way back.
+    """
+    every, others = left, right
+    left, right = _unlike(left, right)
+    yield from zip(every[len(left):], others[len(right):])
+    if not left or not right:
+        return
+    table = _Table(left, right, memory)
+    step = isqrt(len(left) - 1) + 1
+    row, kept = table.first(), []
+    for i in range(len(left)):
+        if i % step == 0:
+            kept.append(row)
+        row = table.after(row, i)
+    i, j = len(left), len(right)
+    while i and j:
+        start = (i - 1) // step * step
+        rows = [kept[start // step]]
+        for k in range(start, i):
+            rows.append(table.after(rows[-1], k))
+        while i > start and j:
+            w = table.weight(i - 1)[table.places[j - 1]]
+            own, above = rows[i - start], rows[i - 1 - start]
+            if w and own[j] == above[j - 1] + w:
+                i, j = i - 1, j - 1
+                yield left[i], right[j]
+            elif own[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
 
 
 def align(a: Node, b: Node, memory: dict | None = None) -> Iterator[tuple[Node, Node]]:
@@ -238,26 +311,7 @@ def align(a: Node, b: Node, memory: dict | None = None) -> Iterator[tuple[Node,
         x, y = todo.pop()
         yield x, y
         left, right = x.children(), y.children()
-        if x.shape == y.shape:
-            todo += zip(left, right)
-        elif len(left) * len(right) > TABLE_CELLS:
-            todo += ((p, q) for p, q in _by_label(left, right) if _known(p, q, memory))
-        else:
-            todo += _pairs(left, right, memory)
-
-
-def _pairs(left: list[Node], right: list[Node], memory: dict) -> Iterator[tuple[Node, Node]]:
-    rows = _table(left, right, memory)
-    i, j = len(left), len(right)
-    while i and j:
-        w = _known(left[i - 1], right[j - 1], memory)
-        if w and rows[i][j] == rows[i - 1][j - 1] + w:
-            i, j = i - 1, j - 1
-            yield left[i], right[j]
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
+        todo += zip(left, right) if x.shape == y.shape else _pairs(left, right, memory)
 
 
 def template_nodes(pages: list[Node]) -> set[int]:
@@ -268,14 +322,17 @@ def template_nodes(pages: list[Node]) -> set[int]:
     if len(pages) < TEMPLATE_PAGES:
         return set()
     wrapper = sorted(pages, key=lambda p: p.size)[len(pages) // 2]
-    aligned = [_said(page, wrapper) for page in pages]
+    memory: dict = {}
+    aligned = [_said(page, wrapper, memory) for page in pages]
     constant = _constant(aligned, len(pages))
     return set().union(*(_constant_nodes(said, constant) for said in aligned))
 
 
-def _said(page: Node, wrapper: Node) -> list[tuple[int, int, str]]:
+def _said(page: Node, wrapper: Node, memory: dict) -> list[tuple[int, int, str]]:
     """(id of a node of the page, id of its slot in the wrapper, text) of nodes with a text."""
-    return [(id(own), id(slot), text) for own, slot in align(page, wrapper) if (text := own.text())]
+    if len(memory) > MEMORY_PAIRS:
+        memory.clear()
+    return [(id(own), id(slot), text) for own, slot in align(page, wrapper, memory) if (text := own.text())]
 
 
 def _constant(aligned: Iterable[list[tuple[int, int, str]]], pages: int) -> dict[int, str]:
@@ -380,11 +437,12 @@ def _texts_of_long_pages(pages: list[str]) -> list[str]:
     """The same texts with two trees in memory at a time; pages are parsed again instead."""
     sizes = [parse(html).size for html in pages]
     wrapper = parse(pages[sorted(range(len(pages)), key=sizes.__getitem__)[len(pages) // 2]])
-    constant = _constant((_said(parse(html), wrapper) for html in pages), len(pages))
+    memory: dict = {}
+    constant = _constant((_said(parse(html), wrapper, memory) for html in pages), len(pages))
 
     def text(html: str) -> str:
         page = parse(html)
-        return text_of(page, _constant_nodes(_said(page, wrapper), constant))
+        return text_of(page, _constant_nodes(_said(page, wrapper, memory), constant))
 
     return [text(html) for html in pages]
 

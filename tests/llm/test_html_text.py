@@ -149,3 +149,19 @@ def test_any_depth(page, want):
 def test_deep_pages_are_aligned():
     pages = [SITE.format(i, "<b>" * 5000 + f"deep {i}") for i in range(6)]
     assert h.texts_of_pages(pages) == [f"{i}\ndeep {i}" for i in range(6)]
+
+
+def test_long_lists_as_short_ones(monkeypatch):
+    """Weights decide: the large sections are paired, not the longest run of labels."""
+    rows = "<i>x</i>" * 10
+    a = h.parse("<div>" + "<p></p>" * 250 + f"<section>{rows}</section>" * 40 + "</div>")
+    b = h.parse("<div>" + f"<section>{rows}<b></b></section>" * 40 + "<p></p>" * 240 + "</div>")
+    assert h.matched(a, b, {}) == len(list(h.align(a, b))) == 2 + 40 * 11
+    rng = random.Random(3)
+    for _ in range(10):
+        x, y = (h.parse("".join(some_tree(rng, 1) for _ in range(60))) for _ in range(2))
+        found = []
+        for long_row in (0, 1 << 30):
+            monkeypatch.setattr(h, "LONG_ROW", long_row)
+            found.append([(id(p), id(q)) for p, q in h.align(x, y)])
+        assert found[0] == found[1]
