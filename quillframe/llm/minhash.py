@@ -28,8 +28,8 @@ BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
-#: 36 bands of 7 registers: of pairs with a similarity of 0.8, 2 in 10,000 share none.
-BANDS, BAND_REGISTERS = 36, 7
+#: 42 bands of 6 registers: of pairs with a similarity of 0.8, 3 in a million share none.
+BANDS, BAND_REGISTERS = 42, 6
 #: A set is hashed so often that it has about this many hashes, 16 for a bucket.
 LEAST_HASHES = 4096
 #: Standard deviations by which an estimate may fall short and is still verified.

@@ -144,3 +144,8 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in parent}
     assert components.connected_components(df.limit(0)).count() == 0
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    assert minhash.BANDS * minhash.BAND_REGISTERS <= minhash.BUCKETS
+    assert (1 - (minhash.LEAST_PERCENT / 100) ** minhash.BAND_REGISTERS) ** minhash.BANDS < 1e-5
