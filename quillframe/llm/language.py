@@ -98,12 +98,19 @@ def mixtures(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     document = np.repeat(np.arange(len(first)), size)
 
     def fitted(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each document stops by its own change, so it doesn't matter which others are there."""
+        live, own, of, starts, count = np.arange(len(first)), chance, document, first, size
         for _ in range(ITERATIONS):
-            each = chance * share[document]
+            before = share[live]
+            each = own * before[of]
             total = each.sum(axis=1, keepdims=True)
-            before, share = share, np.add.reduceat(each / np.maximum(total, 1e-30), first) / size[:, None]
-            if np.abs(share - before).max() < TOLERANCE:
+            share[live] = np.add.reduceat(each / np.maximum(total, 1e-30), starts) / count[:, None]
+            moved = np.abs(share[live] - before).max(axis=1) >= TOLERANCE
+            if not moved.any():
                 break
+            if not moved.all():
+                live, own, count = live[moved], own[moved[of]], count[moved]
+                of, starts = np.repeat(np.arange(len(live)), count), np.cumsum(count) - count
         total = np.maximum((chance * share[document]).sum(axis=1), 1e-30)
         return share, np.add.reduceat(np.log(total), first)
 
@@ -120,8 +127,6 @@ def mixtures(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
             best, worth = share, penalised
             continue
         better = penalised > worth
-        if not better.any():
-            break
         best[better], worth[better] = share[better], penalised[better]
     return best, worth
 

@@ -71,3 +71,20 @@ def test_proportions_are_found(share):
     words = np.where(own[:, None], [[-1.0, -6.0, -6.0]], [[-6.0, -1.0, -6.0]]) + rng.normal(0, 0.1, (600, 3))
     found, _ = language.mixtures(words.astype(np.float32), np.array([0]))
     assert abs(found[0, 0] - own.mean()) < 0.05 and found[0, 2] == 0
+
+
+def test_documents_of_a_batch_dont_change_each_other():
+    rng = np.random.default_rng(5)
+    parts = [rng.normal(0, rng.choice([0.3, 1, 3]), (int(n), 5)).astype(np.float32) for n in rng.integers(1, 60, 300)]
+    first = np.cumsum([0, *map(len, parts[:-1])])
+    shares, worths = language.mixtures(np.concatenate(parts), first)
+    for part, share, worth in zip(parts, shares, worths):
+        alone, value = language.mixtures(part, np.array([0]))
+        assert np.array_equal(alone[0], share) and value[0] == worth
+
+
+def test_a_larger_set_is_found_behind_a_worse_one():
+    """A larger set of languages wins here, though one more than the best so far doesn't pay."""
+    words = np.random.default_rng(738194061).choice([0, -1, -2, -4], (20, 5)).astype(np.float32)
+    share, worth = language.mixtures(words, np.array([0]))
+    assert (share[0] > 0.1).sum() == 4 and worth[0] > -22
