@@ -64,9 +64,12 @@ def run(
     storage.get_or_create_collection(spark, settings.collection, f"{root}/vectors")
     summaries = storage.load_version(spark, f"{root}/summaries", schemas.SUMMARIES)
 
+    # descriptions have the number of the summaries they become part of: a repeat adds to what is kept there
+    described_as = 1 + max(storage.versions(spark, f"{root}/summaries"), default=0)
+
     pending = incremental.pending_files(files, root)
     fresh = describe.describe_pending(pending, files, summaries, make_describe, f"{root}/replies/describe", settings.tree, **retry)
-    storage.save_descriptions(fresh, f"{root}/descriptions", settings.out_dir, number)
+    storage.save_descriptions(fresh, f"{root}/descriptions", settings.out_dir, described_as)
     rows = describe.vector_rows(fresh, settings.out_dir, {"file_type": describe.DESCRIPTION_TYPE})
     verdict = describe.store_vectors(rows, settings.collection, "descriptions", make_predict)
     known = describe.keep_summaries(summaries, fresh, root)

@@ -103,7 +103,8 @@ def described(summaries: DataFrame, out_dir: str, new_suffix: str = ".txt") -> D
 def save_descriptions(summaries: DataFrame, root: str, out_dir: str, run: int = 1) -> None:
     """One table partitioned by run and top folder.
 
-    A run that is repeated after a failure overwrites what it left before.
+    A repeat with the same number overwrites what was left before, so the number
+    changes once these summaries are kept and no longer fresh.
 
     The rebalance hint lets AQE split a folder that holds most rows and join
     small ones, instead of one writer per folder.

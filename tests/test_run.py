@@ -117,3 +117,24 @@ def test_only_approved_folders_are_written(spark, tmp_path):
     done = run(files, chosen, describer, documenter, folder_decisions=answers)
     assert rows(done.contents, "path") == [("pkg/a.py",)]
     assert rows(done.manifest, "path") == [("pkg/a.py",)] and rows(done.reports, "folder") == [("pkg",)]
+
+
+def test_a_repeated_run_keeps_its_descriptions(spark, tmp_path, monkeypatch):
+    from quillframe.plans import document
+
+    files = spark.createDataFrame(FILES[:3], "path string, content string")
+    chosen = RunSettings(**{**settings(tmp_path, 1).__dict__, "collection": "run_vectors_5"})
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(document, "keep_versions", dies)
+        try:
+            run(files, chosen, describer, documenter)
+        except RuntimeError as error:
+            assert str(error) == "lost"
+    more = spark.createDataFrame([*FILES[:3], ("new.py", "y = 2\n")], "path string, content string")
+    run(more, chosen, describer, documenter)
+    kept = spark.read.parquet(str(tmp_path / "state/descriptions"))
+    assert rows(kept, "path") == sorted((p,) for p in ("top.py", "pkg/a.py", "pkg/sub/deep/b.py", "new.py"))
