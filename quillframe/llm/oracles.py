@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+#: A list c of the remainders of all bytes, and crc32 of a text of ASCII characters.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY n) AS c
+  FROM range(256) AS bytes(n)
+)"""
+CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT),
+    lambda x, byte: xor(x >> 8, c[(xor(x, byte) & 255) + 1])), 4294967295)"""
+
 ORACLES = {
     "op1_warc": """
 WITH sized AS (
@@ -112,5 +121,51 @@ links AS (
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(least) AS component_id, w.doc_id = min(least) AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = w.doc_id
 GROUP BY w.doc_id, n.n
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE {CRC_TABLE}, fields AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+    n_chars + CASE WHEN doc_id IS NOT NULL AND {CRC32.format(text="doc_id::VARCHAR")} % 7 = 0 THEN 1 ELSE 0 END AS again
+  FROM documents, crc_table
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM (
+    SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+      sha256(head || coalesce(octet_length(encode(again::VARCHAR)) || ':' || again, '-') || tail) AS seen
+    FROM fields)
+), nodes AS (
+  SELECT lang, 0 AS level, place, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), any_value((n + 1) // 2)
+  FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM nodes WHERE n = 1
+), forest AS (
+  SELECT 0 AS level, place, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), any_value((n + 1) // 2)
+  FROM forest WHERE n > 1 GROUP BY level, place // 2
+), steps AS (
+  SELECT l.lang, l.place, x.level, (l.place >> x.level) & 1 AS side, y.h
+  FROM leaves l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) x ON l.lang IS NOT DISTINCT FROM x.lang
+  LEFT JOIN nodes y ON y.lang IS NOT DISTINCT FROM l.lang AND y.level = x.level AND y.place = xor(l.place >> x.level, 1)
+  UNION ALL
+  SELECT l.lang, l.place, 100 + x.level, (s.place >> x.level) & 1, y.h
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT DISTINCT level FROM forest WHERE n > 1) x
+  LEFT JOIN forest y ON y.level = x.level AND y.place = xor(s.place >> x.level, 1)
+), paths AS (
+  SELECT lang, place, string_agg(h, '' ORDER BY level) AS siblings,
+    list(CASE WHEN h IS NULL THEN '' WHEN side = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY level) AS path
+  FROM steps GROUP BY lang, place
+), folded AS (
+  SELECT l.*, s.subroot, (SELECT h FROM forest WHERE n = 1) AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+    list_reduce([l.seen] || coalesce(p.path, []::VARCHAR[]), lambda h, step: sha256(
+      CASE step[1] WHEN 'L' THEN step[2:] || h WHEN 'R' THEN h || step[2:] ELSE h END)) AS folded_root
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.place = l.place
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """,
 }

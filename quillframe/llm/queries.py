@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, html_text, language, minhash, quality, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, html_text, language, merkle, minhash, quality, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -153,6 +153,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=4)
 
 
+def manifest_of(docs: DataFrame, **options) -> DataFrame:
+    """Manifest of documents, of which some have a changed length when they are read again."""
+    changed = remainder("doc_id", 7) == 0
+    longer = F.when(F.col("doc_id").isNotNull() & changed, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(
+        docs, "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": longer}, **options)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, and whether it still leads to the root."""
+    return manifest_of(table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -164,4 +178,5 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
