@@ -167,5 +167,23 @@ WITH RECURSIVE {CRC_TABLE}, fields AS (
   LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.place = l.place
 )
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+""",
+    "op13_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY words ORDER BY doc_id, p) AS place
+  FROM (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS words
+        FROM (SELECT *, unnest(generate_series(1, len(w) - 19)) AS p FROM w WHERE len(w) >= 20))
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + 19)) AS q FROM windows WHERE place > 1
+), removed AS (SELECT doc_id, list(q) AS q FROM covered GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM w) w
+  ANTI JOIN covered ON covered.doc_id = w.doc_id AND covered.q = w.place GROUP BY w.doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(removed.q), 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
