@@ -121,6 +121,69 @@ links AS (
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(least) AS component_id, w.doc_id = min(least) AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.node = w.doc_id
 GROUP BY w.doc_id, n.n
+""",
+    "op11_conversation_repair": fr"""
+WITH RECURSIVE {CRC_TABLE}, raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32.format(text="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE fault WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM raw WHERE fault <> 0
+), numbered AS (
+  SELECT *, left(role, 1) AS initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM damaged
+), rows AS (
+  SELECT *, ending = '' AS blank, ending <> '' AND again AS duplicate,
+    ending <> '' AND NOT again AND ending NOT IN ('.', '!', '?') AS truncated,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM numbered
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, max(i) AS n
+  FROM rows GROUP BY conv_id
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, v.q, {{'cost': v.cost::BIGINT, 'audit': v.audit}} AS way
+  FROM counts, (VALUES (0, 0, ''), (2, 3, 'I'), (3, 6, 'II')) v(q, cost, audit)
+  UNION ALL
+  SELECT conv_id, i, q, min({{'cost': cost, 'audit': audit}}) FROM (
+    SELECT conv_id, i, unnest([{{'q': q, 'cost': cost, 'audit': audit}},
+      {{'q': CASE q WHEN 2 THEN 3 ELSE 2 END, 'cost': cost + 3, 'audit': audit || 'I'}},
+      {{'q': CASE q WHEN 2 THEN 2 ELSE 3 END, 'cost': cost + 6, 'audit': audit || 'II'}}], recursive := true) FROM (
+      SELECT b.conv_id, r.i, e.q, b.way.cost + e.cost + CASE WHEN r.truncated AND e.edit <> 'D' THEN 3 ELSE 0 END AS cost,
+        b.way.audit || e.edit AS audit
+      FROM best b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1
+      JOIN (VALUES ('D', '*', 0, 0, 4), ('D', '*', 1, 1, 4), ('D', '*', 2, 2, 4), ('D', '*', 3, 3, 4),
+        ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+        ('R', '*', 0, 2, 3), ('R', '*', 1, 2, 3), ('R', '*', 2, 3, 3), ('R', '*', 3, 2, 3)) e(edit, initial, was, q, cost)
+      ON e.was = b.q AND (e.initial = '*' OR e.initial = r.initial) AND (e.edit = 'D' OR NOT (r.blank OR r.duplicate))))
+  GROUP BY conv_id, i, q
+), chosen AS (
+  SELECT b.conv_id, min(b.way) AS way FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i
+  WHERE b.q IN (0, 3) GROUP BY b.conv_id
+), edits AS (
+  SELECT conv_id, place, audit[place] AS edit, length(replace(left(audit, place), 'I', '')) AS i,
+    length(replace(left(audit, place), 'D', '')) AS out
+  FROM (SELECT conv_id, way.audit AS audit, unnest(generate_series(1, length(way.audit))) AS place FROM chosen)
+), turns AS (
+  SELECT e.*, r.role, CASE WHEN e.edit = 'I' THEN '' ELSE r.text END AS text,
+    max(CASE WHEN e.out = 1 AND e.edit = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system
+  FROM edits e LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i WHERE e.edit <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+    chr(10) ORDER BY place) AS text FROM turns GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.way.cost, 0) AS cost,
+  coalesce(w.way.audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
     "op12_merkle_manifest": f"""
 WITH RECURSIVE {CRC_TABLE}, fields AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, html_text, language, merkle, minhash, quality, substrings, url_rules, warc
+from quillframe.llm import bpe, chat, decontaminate, embedding_dedup, html_text, language, merkle, minhash, quality, repair, substrings, url_rules, warc
 from quillframe.scratch import scratch_path
 from quillframe.session import bound_batches
 
@@ -153,6 +153,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=4)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by the crc32 of ``conv_id:turn``; dropped rows aren't ``there``."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    fault = F.pmod(F.crc32(key.cast("binary")), F.lit(20))
+    text = F.coalesce("text", space)
+    return rows.select(
+        "conv_id", "turn", F.when(fault == 4, F.lit("user")).otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fault == 1, F.lit("")).when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (fault != 0).alias("there"),
+        F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    bound_batches(spark, BATCH_BYTES)
+    return repair.repair_conversations(damaged(table(spark, sf_dir, "conversations")), present=F.col("there"))
+
+
 def manifest_of(docs: DataFrame, **options) -> DataFrame:
     """Manifest of documents, of which some have a changed length when they are read again."""
     changed = remainder("doc_id", 7) == 0
@@ -187,6 +206,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_substring_dedup": op13_substring_dedup,
 }
