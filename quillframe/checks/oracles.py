@@ -238,6 +238,8 @@ def _bodies() -> dict[str, str]:
             SELECT id, document, file_type FROM vectors ANTI JOIN (SELECT doc_id::VARCHAR AS id FROM labels) USING (id)""",
         "jon6_vector_top_k": NEAREST.format(distance=L2, where="true"),
         "jon6_vector_top_k_blocks": NEAREST.format(distance=L2, where="true"),
+        "jon6_indexed_top_k": NEAREST.format(distance=L2, where="true"),
+        "jon6_indexed_top_k_cosine_visits": NEAREST.format(distance=COSINE, where="true"),
         "jon6_vector_top_k_cosine": NEAREST.format(distance=COSINE, where="true"),
         "jon7_approval_gate": f"""
             SELECT doc_id, old <> new AS changed FROM revisions

@@ -13,7 +13,7 @@ from quillframe import schemas
 from quillframe.checks import fixtures as fx
 from quillframe.functions import paths, prompts, text
 from quillframe.operators import (
-    changes, code, completion, embedding, folders, ignore, ordering, packing, postprocess,
+    changes, code, completion, embedding, folders, ignore, metric_index, ordering, packing, postprocess,
     reports, revisions, search, vectors as vec,
 )
 from quillframe.plans import describe, retrieval, run
@@ -213,6 +213,18 @@ def vector_top_k_blocks(spark, sf) -> DataFrame:
     )
 
 
+def indexed_top_k(spark, sf) -> DataFrame:
+    index = metric_index.write_index(fx.vectors(spark, sf), scratch_path(spark, "index"))
+    return metric_index.nearest_indexed(_all_queries(spark, sf), index)
+
+
+def indexed_top_k_cosine_visits(spark, sf) -> DataFrame:
+    """The way taken when the queries are too many to share."""
+    index = metric_index.write_index(fx.vectors(spark, sf), scratch_path(spark, "index"), "cosine")
+    return metric_index.nearest_indexed(
+        _all_queries(spark, sf), index, max_shared_bytes=0, block_bytes=64 * 1024)
+
+
 def approval_gate(spark, sf) -> DataFrame:
     changed = fx.revisions(spark, sf).select("doc_id", (F.col("old") != F.col("new")).alias("changed"))
     return reports.approved_only(changed, fx.decisions(spark, sf), "doc_id")
@@ -585,6 +597,8 @@ QUERIES = {
     "jon6_vector_top_k": vector_top_k,
     "jon6_vector_top_k_cosine": vector_top_k_cosine,
     "jon6_vector_top_k_blocks": vector_top_k_blocks,
+    "jon6_indexed_top_k": indexed_top_k,
+    "jon6_indexed_top_k_cosine_visits": indexed_top_k_cosine_visits,
     "jon7_approval_gate": approval_gate,
     "jon8_class_docstring_lookup": class_docstring_lookup,
     "jon9_import_context": import_context,

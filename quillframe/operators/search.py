@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillframe.operators.ordering import top_k
 from quillframe.spreading import spread
@@ -31,7 +31,7 @@ EXACT_PAIRS = 65_536
 DECIMALS = 9
 
 
-def _matrix(column, kind=np.float64) -> np.ndarray:
+def matrix_of(column, kind=np.float64) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
@@ -80,25 +80,31 @@ def _without_extra_copies(vectors: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Best:
-    """The k nearest so far per query, ties to the smaller id."""
+    """The k nearest so far per query of one width, ties to the smaller id.
 
-    def __init__(self, query_ids: pa.Array, queries: np.ndarray, k: int, metric: str):
+    ``bound`` is an upper bound on each query's k-th distance, if one is known.
+    """
+
+    def __init__(self, query_ids: pa.Array, queries: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None):
         self.query_ids, self.queries, self.k, self.metric = query_ids, queries, k, metric
-        self.worst = np.full(len(queries), np.inf)
+        self.worst = np.full(len(queries), np.inf) if bound is None else bound.copy()
         self.table: pa.Table | None = None
+        self.scored = 0
 
-    def add(self, ids: pa.Array, embeddings: pa.Array) -> None:
+    def add(self, ids: pa.Array, vectors: np.ndarray, chosen: np.ndarray | None = None) -> None:
+        """Scores vectors against the chosen queries, or all."""
+        chosen = np.arange(len(self.queries)) if chosen is None else chosen
         for low in range(0, len(ids), SCORED_VECTORS):
-            block = embeddings.slice(low, SCORED_VECTORS)
-            self._add_block(ids.slice(low, SCORED_VECTORS), _matrix(block))
+            self._add_block(ids.slice(low, SCORED_VECTORS), vectors[low:low + SCORED_VECTORS], chosen)
 
-    def _add_block(self, ids: pa.Array, vectors: np.ndarray) -> None:
+    def _add_block(self, ids: pa.Array, vectors: np.ndarray, chosen: np.ndarray) -> None:
         by_id = pc.sort_indices(ids).to_numpy()
         kept = by_id[_without_extra_copies(vectors[by_id], self.k)]
         ids, vectors = ids.take(pa.array(kept)), vectors[kept]
+        self.scored += len(vectors) * len(chosen)
         parts = [] if self.table is None else [self.table]
-        for start in range(0, len(self.queries), SCORED_QUERIES):
-            found = self._candidates(vectors, start)
+        for start in range(0, len(chosen), SCORED_QUERIES):
+            found = self._candidates(vectors, chosen[start:start + SCORED_QUERIES])
             if found is not None:
                 query, vector, distance = found
                 parts.append(
@@ -108,15 +114,18 @@ class _Best:
                 )
         self._keep_best(pa.concat_tables(parts) if parts else None)
 
-    def _candidates(self, vectors: np.ndarray, start: int):
-        queries = self.queries[start:start + SCORED_QUERIES].astype(np.float64)
+    def _candidates(self, vectors: np.ndarray, chosen: np.ndarray):
+        queries = self.queries[chosen].astype(np.float64)
         near, error = _estimate(vectors, queries, self.metric)
-        limit = self.worst[start:start + SCORED_QUERIES]
+        limit = self.worst[chosen]
         if np.isinf(limit).any():
             k = min(self.k, near.shape[1])
             limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
         limit = (limit + 3 * error + 10.0**-DECIMALS).astype(np.float32)
         row, column = np.nonzero(near <= limit[:, None])
+        if len(row) > 8 * self.k * len(chosen):  # a loose bound: of these only the nearest can count
+            tight = np.partition(near, self.k - 1, axis=1)[:, self.k - 1] + 3 * error + 10.0**-DECIMALS
+            row, column = np.nonzero(near <= np.minimum(limit, tight.astype(np.float32))[:, None])
         if not len(row):
             return None
         distance = np.concatenate(
@@ -129,7 +138,7 @@ class _Best:
         order = np.lexsort((column, distance, row))
         row, column, distance = row[order], column[order], distance[order]
         keep = _place_in_group(row) < self.k
-        return row[keep] + start, column[keep], distance[keep]
+        return chosen[row[keep]], column[keep], distance[keep]
 
     def _keep_best(self, table: pa.Table | None) -> None:
         if table is None:
@@ -142,21 +151,79 @@ class _Best:
         self.table = table.filter(pa.array(place < self.k))
         query, place = query[place < self.k], place[place < self.k]
         full = place == self.k - 1
-        self.worst[query[full]] = self.table["distance"].to_numpy()[full]
+        self.worst[query[full]] = np.minimum(self.worst[query[full]], self.table["distance"].to_numpy()[full])
 
-    def hits(self) -> pa.Table | None:
+    def hits(self) -> list[pa.Table]:
         if self.table is None:
-            return None
-        return pa.table(
-            {
-                "query_id": self.query_ids.take(self.table["query"].combine_chunks()),
-                "id": self.table["id"],
-                "distance": self.table["distance"],
-            }
-        )
+            return []
+        return [
+            pa.table(
+                {
+                    "query_id": self.query_ids.take(self.table["query"].combine_chunks()),
+                    "id": self.table["id"],
+                    "distance": self.table["distance"],
+                }
+            )
+        ]
+
+
+def shape_of(embeddings: pa.Array) -> np.ndarray:
+    """Width of every embedding that has distances, 0 of one that is empty or
+    holds a null, NaN or infinite number."""
+    widths = pc.list_value_length(embeddings).to_numpy(zero_copy_only=False).astype(np.int64)
+    odd = ~np.isfinite(embeddings.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    if odd.any():
+        widths[np.repeat(np.arange(len(widths)), widths)[odd]] = 0
+    return widths
+
+
+class Scorer:
+    """Hits of a set of queries among the vectors that pass by.
+
+    Queries of each width are searched among vectors of that width. Other
+    vectors have no distance to them; the k smallest of their ids are kept as
+    hits of distance NaN, which come last.
+    """
+
+    def __init__(self, query_ids: pa.Array, embeddings: pa.Array, k: int, metric: str):
+        self.k, widths = k, shape_of(embeddings)
+        self.best: dict[int, _Best | None] = {}
+        self.queries: dict[int, pa.Array] = {}
+        self.first: dict[int, pa.Array] = {}
+        for width in np.unique(widths).tolist():
+            own = pa.array(widths == width)
+            self.queries[width] = query_ids.filter(own)
+            matrix = matrix_of(embeddings.filter(own), np.float32) if width else None
+            self.best[width] = _Best(self.queries[width], matrix, k, metric) if width else None
 
+    def add(self, ids: pa.Array, embeddings: pa.Array) -> None:
+        widths = shape_of(embeddings)
+        for width, best in self.best.items():
+            own = (widths == width) & (width > 0)
+            if own.any():
+                every = own.all()
+                best.add(ids if every else ids.filter(pa.array(own)), matrix_of(embeddings if every else embeddings.filter(pa.array(own))))
+            if not own.all():
+                self._without_distance(width, ids.filter(pa.array(~own)))
+
+    def _without_distance(self, width: int, ids: pa.Array) -> None:
+        if width in self.first:
+            ids = pa.concat_arrays([self.first[width], ids])
+        self.first[width] = ids.take(pc.sort_indices(ids)[:self.k])
 
-def _hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
+    def hits(self) -> pa.Table | None:
+        found = [table for best in self.best.values() if best for table in best.hits()]
+        for width, ids in self.first.items():
+            queries = self.queries[width]
+            found.append(pa.table({
+                "query_id": queries.take(pa.array(np.repeat(np.arange(len(queries)), len(ids)))),
+                "id": ids.take(pa.array(np.tile(np.arange(len(ids)), len(queries)))),
+                "distance": pa.array(np.full(len(queries) * len(ids), np.nan)),
+            }))
+        return pa.concat_tables(found) if found else None
+
+
+def hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -166,13 +233,10 @@ def _hit_schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
     )
 
 
-def _shared_queries(queries: DataFrame, max_bytes: int) -> pa.Table | None:
-    """The query set if it is proven to fit the bound, else None."""
+def _proven_small(queries: DataFrame, max_bytes: int) -> bool:
     each = 8 if isinstance(queries.schema["embedding"].dataType.elementType, T.DoubleType) else FLOAT_BYTES
     one = F.size("embedding") * each + F.octet_length(F.col("query_id").cast("string"))
-    if (queries.agg(F.sum(one)).first()[0] or 0) > max_bytes:
-        return None
-    return queries.toArrow()
+    return (queries.agg(F.sum(one)).first()[0] or 0) <= max_bytes
 
 
 def _rows_per_block(rows: DataFrame, block_bytes: int) -> int:
@@ -180,16 +244,19 @@ def _rows_per_block(rows: DataFrame, block_bytes: int) -> int:
     return max(1, block_bytes // (width * FLOAT_BYTES))
 
 
-def _with_shared_queries(table: pa.Table, vectors: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
-    query_ids = table["query_id"].combine_chunks()
-    matrix = _matrix(table["embedding"], np.float32)
-    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)
+
+
+def _with_shared_queries(queries: DataFrame, vectors: DataFrame, schema: T.StructType, k: int, metric: str) -> DataFrame:
+    table = queries.toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((one_array(table["query_id"]), one_array(table["embedding"])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
-        best = _Best(ids, queries, k, metric)
+        best = Scorer(*shared.value, k, metric)
         for batch in batches:
-            if batch.num_rows and len(queries):
+            if batch.num_rows:
                 best.add(batch.column("id"), batch.column("embedding"))
         hits = best.hits()
         if hits is not None:
@@ -219,53 +286,26 @@ def _in_blocks(
 
     left = queries.select("*", block("query_id", query_blocks).alias("_q"), all_blocks(vector_blocks).alias("_v"))
     right = vectors.select("*", block("id", vector_blocks).alias("_v"), all_blocks(query_blocks).alias("_q"))
-    target = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema])
+    target = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
     def score(query_table: pa.Table, vector_table: pa.Table) -> pa.Table:
         if not query_table.num_rows or not vector_table.num_rows:
             return target.empty_table()
-        best = _Best(
-            query_table["query_id"].combine_chunks(), _matrix(query_table["embedding"], np.float32), k, metric
-        )
-        best.add(vector_table["id"].combine_chunks(), vector_table["embedding"].combine_chunks())
-        return best.hits().cast(target)
+        best = Scorer(one_array(query_table["query_id"]), one_array(query_table["embedding"]), k, metric)
+        best.add(one_array(vector_table["id"]), one_array(vector_table["embedding"]))
+        hits = best.hits()
+        return target.empty_table() if hits is None else hits.cast(target)
 
     keys = [F.col("_q").cast("bigint"), F.col("_v").cast("bigint")]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
-def _arrow_type(spark_type: T.DataType) -> pa.DataType:
+def arrow_type(spark_type: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(spark_type)
 
 
-def has_distance(width: int) -> Column:
-    """Whether an embedding has ``width`` finite numbers, so that distances to it exist."""
-    return (F.size("embedding") == width) & F.forall(
-        "embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-
-
-def _without_distance(queries: DataFrame, vectors: DataFrame, width: int, k: int) -> DataFrame:
-    """Hits whose distance is NaN: they come last, as in an SQL order, by id.
-
-    A query without distances gets the first k ids; another one is filled up to
-    k if fewer than k vectors have a distance. At most k ids of each kind are
-    looked at.
-    """
-    def first_ids(rows: DataFrame, n: int) -> list:
-        return [r.id for r in rows.orderBy("id").limit(n).collect()] if n > 0 else []
-
-    def paired(rows: DataFrame, ids: list) -> DataFrame:
-        listed = F.array(*map(F.lit, ids)) if ids else F.array().cast(T.ArrayType(vectors.schema["id"].dataType))
-        return rows.select("query_id", F.explode(listed).alias("id"), F.lit(float("nan")).alias("distance"))
-
-    sound = has_distance(width)
-    missing = k - vectors.where(sound).limit(k).count()
-    return paired(queries.where(~sound), first_ids(vectors, k)).unionByName(
-        paired(queries.where(sound), first_ids(vectors.where(~sound), missing)))
-
-
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
@@ -282,26 +322,21 @@ def nearest(
     found in single precision with its error allowed for; their distances are
     double precision, rounded to nine decimals, and ties go to the smaller id.
 
-    Null embeddings are absent ones. The queries' most frequent width counts: an
-    embedding of another width, or with a null, NaN or infinite number, has the
-    distance NaN to all others. Such hits come last, by id, and can be told by it.
+    Null embeddings are absent ones. Every query is searched among the vectors
+    of its own width. An embedding of another width has the distance NaN to it,
+    and one that is empty or holds a null, NaN or infinite number has it to all
+    others. Such hits come last, by id, and can be told by it.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     present = F.col("embedding").isNotNull()
     queries = queries.select("query_id", "embedding").where(present)
     vectors = vectors.select("id", "embedding").where(present)
-    schema = _hit_schema(queries, vectors)
-    widths = queries.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = widths.width if widths else 0
-    odd = _without_distance(queries, vectors, width, k)
-    queries, vectors = queries.where(has_distance(width)), vectors.where(has_distance(width))
-    shared = _shared_queries(queries, max_shared_bytes)
-    if shared is not None:
-        partial = _with_shared_queries(shared, vectors, schema, k, metric)
+    schema = hit_schema(queries, vectors)
+    if _proven_small(queries, max_shared_bytes):
+        partial = _with_shared_queries(queries, vectors, schema, k, metric)
     else:
         partial = _in_blocks(queries, vectors, schema, k, metric, block_bytes)
-    partial = partial.unionByName(odd)
     return top_k(partial, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
