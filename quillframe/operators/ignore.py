@@ -8,6 +8,7 @@ on their own folder, which AQE splits when one folder holds most of them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -72,13 +73,64 @@ def _in_class(char: Column) -> Column:
     return F.regexp_replace(char, r"[\\\[\]^&\-]", r"\\$0")
 
 
+#: Characters that make a pattern more than a name.
+WILD = r"[*?\[]"
+
+
 def compiled_rules(rules: DataFrame) -> DataFrame:
-    """(dir, pattern) -> (dir, regex). A rooted pattern never meets a relative path."""
+    """(dir, pattern) -> (dir, kind, key, regex), by what a rule needs to be found.
+
+    A ``name`` without wildcards is looked up by folder and name, ``*.suffix`` by
+    folder and last extension with ``key`` as the whole ending, and the ``rest``
+    has a regular expression. A pattern of several components only ever meets
+    one folder, its own, so whether the folder ends like the pattern's front is
+    settled here. A rooted pattern never meets a relative path.
+    """
     pattern = F.col("pattern")
-    usable = (F.size(paths.components(pattern)) > 0) & ~pattern.startswith("/")
-    return rules.where(usable).select(
-        paths.normalize(F.col("dir")).alias("_rule_dir"), glob_regex(pattern).alias("_regex")
-    )
+    parts = paths.components(pattern)
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    front = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    folder = paths.normalize(F.col("dir"))
+    plain = ~last.rlike(WILD)
+    ending = last.rlike(r"(?s)\A\*(\.[^*?\[.]+)+\z")
+    known_front = ~front.rlike(WILD)
+    # the folder of the rule must end with the components before the last one
+    fits = (front == "") | (folder == front) | folder.endswith(F.concat(F.lit("/"), front))
+    usable = rules.where((F.size(parts) > 0) & ~pattern.startswith("/")).select(
+        folder.alias("_rule_dir"),
+        F.when(known_front & plain, F.lit("name")).when(known_front & ending, F.lit("suffix")).otherwise(F.lit("rest")).alias("_kind"),
+        F.when(plain, last).otherwise(F.substring(last, 2, 1 << 30)).alias("_key"),
+        glob_regex(pattern).alias("_regex"), (~known_front | fits).alias("_fits"))
+    return usable.where("_fits").drop("_fits").distinct()
+
+
+def _rule_tables(compiled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rules by name, by ending, and one alternation of all others per folder."""
+    names = compiled.where("_kind = 'name'").select("_rule_dir", "_key")
+    endings = compiled.where("_kind = 'suffix'").select(
+        "_rule_dir", "_key", F.concat(F.lit("."), F.substring_index("_key", ".", -1)).alias("_suffix"))
+    rest = compiled.where("_kind = 'rest'").groupBy("_rule_dir").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("(?:"), "_regex", F.lit(")")))), "|").alias("_regex"))
+    return names, endings, rest
+
+
+def _met(entries: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], how: str) -> list[DataFrame]:
+    """``entries`` joined with the rules of each kind, one after the other for anti joins."""
+    names, endings, rest = tables
+    at, last = F.col("_at"), paths.base_name(F.col("_entry"))
+    dotted = F.concat(F.lit("."), F.substring_index(last, ".", -1))
+    # regexp_instr keeps the last compiled pattern, so neighbours of one folder share it
+    joins = [
+        (names, lambda t: (at == t["_rule_dir"]) & (last == t["_key"])),
+        (endings, lambda t: (at == t["_rule_dir"]) & (dotted == t["_suffix"]) & last.endswith(t["_key"])),
+        (rest, lambda t: (at == t["_rule_dir"]) & (
+            t["_regex"].isNull() | (F.regexp_instr(F.col("_entry"), F.coalesce(t["_regex"], F.lit(""))) > 0))),
+    ]
+    if how == "left_semi":
+        return [entries.join(table, condition(table), how) for table, condition in joins]
+    for table, condition in joins:
+        entries = entries.join(table, condition(table), how)
+    return [entries]
 
 
 def _folder_entries(files: DataFrame) -> DataFrame:
@@ -92,27 +144,22 @@ def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop entries matching a rule of the folder they are directly in.
 
     Rules are not inherited downward, but a dropped folder takes everything
-    below it along. Dropped folders become rules without a pattern, so the files
-    meet both kinds in one anti-join.
+    below it along. Rules are found by equi-joins on folder and name, on folder
+    and extension, and on folder for the few that need a regular expression, of
+    which a folder has one. Rules are tried on each distinct folder once; dropped
+    folders become rules without a pattern, so files meet them in the last join.
     """
-    compiled = compiled_rules(rules)
+    names, endings, rest = _rule_tables(compiled_rules(rules))
     entries = _folder_entries(files).where(F.col("_entry") != "")
-    dropped = entries.join(
-        compiled,
-        (paths.parent(entries["_entry"]) == compiled["_rule_dir"])
-        & F.rlike(entries["_entry"], compiled["_regex"]),
-        "left_semi",
-    )
-    everything = dropped.select(
-        F.col("_parent").alias("_rule_dir"), F.lit(None).cast("string").alias("_regex")
-    ).distinct()
-    blocks = compiled.unionByName(everything)
-    return files.join(
-        blocks,
-        (paths.parent(files["path"]) == blocks["_rule_dir"])
-        & (blocks["_regex"].isNull() | F.rlike(files["path"], blocks["_regex"])),
-        "left_anti",
-    )
+    distinct = entries.select("_entry").distinct().withColumn("_at", paths.parent(F.col("_entry")))
+    hit = reduce(DataFrame.unionByName, _met(distinct, (names, endings, rest), "left_semi")).select("_entry").distinct()
+    dead = entries.join(hit, "_entry", "left_semi").select(
+        F.col("_parent").alias("_rule_dir"), F.lit(None).cast("string").alias("_regex")).distinct()
+    # a folder's one row: without a pattern if the folder is dropped
+    by_folder = rest.unionByName(dead).groupBy("_rule_dir").agg(
+        F.when(F.count_if(F.col("_regex").isNull()) == 0, F.max("_regex")).alias("_regex"))
+    placed = files.withColumn("_entry", F.col("path")).withColumn("_at", paths.parent(F.col("path")))
+    return _met(placed, (names, endings, by_folder), "left_anti")[0].select(*files.columns)
 
 
 def without_subtrees(files: DataFrame, ignored: DataFrame) -> DataFrame:

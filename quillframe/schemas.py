@@ -2,6 +2,7 @@
 
 FILES = "path string, size_bytes bigint, content string, error string"
 LISTING = "path string, size_bytes bigint"
+ENTRIES = f"{LISTING}, is_folder boolean, opened boolean"
 MANIFEST = "path string, sha256 string"
 SUMMARIES = "path string, description string"
 IGNORE_RULES = "dir string, pattern string"

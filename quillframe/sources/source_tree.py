@@ -1,7 +1,11 @@
 """A source tree as a table.
 
-Spark's own file sources leave out names that start with ``_`` or ``.``, so the
-listing is a Python data source. It lists names only; path filters run on the
+Spark's own file sources leave out names that start with ``_`` or ``.``, so
+folders are listed by Python tasks. The folders still to be listed are a table,
+the frontier: in each round it is dealt out evenly, every task goes down from
+its folders until it has opened its share, and hands on what it found below. So
+a deep chain takes few rounds, a wide level is spread over all tasks, and no
+names pass through the driver. Names only are listed; path filters run on the
 listing, and contents are opened afterwards, spread evenly over the tasks
 however uneven the folders are.
 """
@@ -9,17 +13,18 @@ however uneven the folders are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillframe import schemas
-from quillframe.scratch import written
+from quillframe.scratch import scratch_path
 
 LISTED = pa.schema([("path", pa.string()), ("size_bytes", pa.int64())])
+#: A folder has no size; ``opened`` tells those that have been listed.
+ENTRIES = pa.schema([*LISTED, ("is_folder", pa.bool_()), ("opened", pa.bool_())])
 OPENED = pa.schema(
     [
         ("path", pa.string()),
@@ -31,6 +36,8 @@ OPENED = pa.schema(
 ROWS_PER_BATCH = 20_000
 BYTES_PER_BATCH = 32 * 1024 * 1024
 BYTES_PER_TASK = 256 * 1024 * 1024
+#: Folders that a task opens in the first round, and in any round at most.
+FIRST_SHARE, MOST_SHARE = 8, 1024
 
 
 def _open_root(root: str) -> tuple[pafs.FileSystem, str]:
@@ -43,85 +50,87 @@ def _open_root(root: str) -> tuple[pafs.FileSystem, str]:
     return filesystem, base.rstrip("/")
 
 
-def _entries(filesystem, base: str, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
-    """Visible sub-folders and files of one folder, relative to the base."""
+def _entries(filesystem, base: str, folder: str) -> Iterator[tuple[str, int | None]]:
+    """Entries of one folder, relative to the base; folders have no size."""
     where = f"{base}/{folder}" if folder else base
-    folders, files = [], []
     for info in filesystem.get_file_info(pafs.FileSelector(where, allow_not_found=True)):
         path = f"{folder}/{info.base_name}" if folder else info.base_name
         if info.type == pafs.FileType.Directory:
-            if not info.base_name.startswith("."):
-                folders.append(path)
+            yield path, None
         elif info.type == pafs.FileType.File:
-            files.append((path, info.size))
-    return folders, files
+            yield path, info.size
 
 
-class FolderUnit(InputPartition):
-    """One folder to list, alone or with everything under it."""
+def open_folders(folders: Iterator[str], entries: Callable[[str], Iterator[tuple[str, int | None]]], share: int,
+                 hidden: bool) -> Iterator[tuple[str, int | None, bool, bool]]:
+    """(path, size, is_folder, opened) of what is found when at most ``share`` folders are opened.
 
-    def __init__(self, folder: str, whole_subtree: bool):
-        self.folder = folder
-        self.whole_subtree = whole_subtree
-
-
-class SourceTreeReader(DataSourceReader):
-    def __init__(self, root: str, units: int):
-        self.root = root
-        self.units = units
-
-    def partitions(self) -> list[FolderUnit]:
-        """Open folder levels until there is enough to share out."""
-        filesystem, base = _open_root(self.root)
-        opened: list[FolderUnit] = []
-        level = [""]
-        while level and len(level) < self.units and len(opened) < self.units:
-            below: list[str] = []
-            for folder in level:
-                opened.append(FolderUnit(folder, whole_subtree=False))
-                below.extend(_entries(filesystem, base, folder)[0])
-            level = below
-        return opened + [FolderUnit(folder, whole_subtree=True) for folder in level]
-
-    def read(self, partition: FolderUnit) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _open_root(self.root)
-        pending, found = [partition.folder], []
-        while pending:
-            folders, files = _entries(filesystem, base, pending.pop())
-            if partition.whole_subtree:
-                pending.extend(folders)
-            found.extend(files)
-            while len(found) >= ROWS_PER_BATCH:
-                yield _listed(found[:ROWS_PER_BATCH])
-                found = found[ROWS_PER_BATCH:]
-        if found:
-            yield _listed(found)
-
-
-def _listed(found: list[tuple[str, int]]) -> pa.RecordBatch:
-    names, sizes = zip(*found)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=LISTED
-    )
-
-
-class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(root)``: (path, size_bytes)."""
+    The next folder is always the last one found, so a task goes down one branch
+    at a time and holds the siblings on its way only. Folders that aren't opened
+    are handed on.
+    """
+    count = 0
+    for given in folders:
+        pending = [given]
+        while pending and count < share:
+            folder = pending.pop()
+            count += 1
+            yield folder, None, True, True
+            for path, size in entries(folder):
+                if size is not None:
+                    yield path, size, False, True
+                elif hidden or not path.rsplit("/", 1)[-1].startswith("."):
+                    pending.append(path)
+        for folder in pending:
+            yield folder, None, True, False
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == ROWS_PER_BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def list_entries(spark: SparkSession, root: str, hidden: bool = False, tasks: int | None = None,
+                 first_share: int = FIRST_SHARE, most_share: int = MOST_SHARE) -> DataFrame:
+    """(path, size_bytes, is_folder) of everything below the root.
+
+    The root itself isn't listed. Folders with a leading dot are left out with
+    all below them unless ``hidden``; such files are kept. A missing root has no
+    entries. Every round is written, and its frontier is read back as the next
+    round's input, so a lost task lists its own folders again and nothing else.
+    """
+    where = scratch_path(spark, "listing")
+    tasks = tasks or max(2 * spark.sparkContext.defaultParallelism, 1)
 
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
+    def lister(share: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filesystem, base = _open_root(root)
+            given = (path for batch in batches for path in batch.column(0).to_pylist())
+            yield from _batched(open_folders(given, lambda f: _entries(filesystem, base, f), share, hidden), ENTRIES)
 
-    def schema(self) -> str:
-        return schemas.LISTING
+        return run
 
-    def reader(self, schema) -> SourceTreeReader:
-        return SourceTreeReader(self.options["path"], int(self.options.get("units", "256")))
+    frontier, share, number = spark.createDataFrame([("",)], "path string"), first_share, 0
+    while True:
+        path = f"{where}/round={number}"
+        frontier.repartition(tasks).mapInArrow(lister(share), schemas.ENTRIES).write.parquet(path)
+        frontier = spark.read.schema(schemas.ENTRIES).parquet(path).where("NOT opened").select("path")
+        if frontier.isEmpty():
+            break
+        share, number = min(4 * share, most_share), number + 1
+    return spark.read.schema(schemas.ENTRIES).parquet(*[f"{where}/round={n}" for n in range(number + 1)]).where(
+        "opened AND path <> ''").drop("opened")
 
 
-def list_tree(spark: SparkSession, root: str, units: int = 256) -> DataFrame:
-    spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").option("units", units).load(root)
+def list_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """(path, size_bytes) of all files outside hidden folders."""
+    return list_entries(spark, root, tasks=tasks).where("NOT is_folder").select("path", "size_bytes")
 
 
 def _opener(root: str):
@@ -151,11 +160,10 @@ def open_tree(listing: DataFrame, root: str, tasks: int | None = None) -> DataFr
     """Attach contents to a filtered listing; an unreadable file keeps its row.
 
     The number of tasks follows the bytes to read, not the bytes of the listing,
-    which AQE would squeeze into a few tasks. The listing is written, so folders
-    are walked once.
+    which AQE would squeeze into a few tasks. The listing is read for their sum
+    first; ``list_tree`` gives a stored one.
     """
     if tasks is None:
-        listing = written(listing, "listing")
         total = listing.agg(F.sum("size_bytes")).first()[0] or 0
         cores = listing.sparkSession.sparkContext.defaultParallelism
         tasks = max(cores, math.ceil(total / BYTES_PER_TASK))
@@ -188,7 +196,7 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
                 names.append(row["path"])
                 sizes.append(len(data))
             if names:
-                yield _listed(list(zip(names, sizes)))
+                yield from _batched(zip(names, sizes), LISTED)
 
     return files.select("path", "content").mapInArrow(write_files, schemas.LISTING)
 

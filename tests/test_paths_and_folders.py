@@ -1,3 +1,4 @@
+import random
 from pathlib import PurePosixPath
 
 from conftest import rows
@@ -48,6 +49,31 @@ def test_rules_hold_in_their_own_folder_only(spark):
     assert ignore.without_ignored(df, frame.where("false")).count() == len(files)
 
 
+def test_rules_of_every_kind(spark):
+    names = ["a.py", "a.tar.gz", "b.gz", ".gz", "gz", "x", "[x]", "a*", "é.py", "a.py.bak", "y.", "a\nb.py"]
+    folders = ["", "d/", "d/e/", "q/d/e/", "x/", "d/x/"]
+    files = [f + n for f in folders for n in names]
+    patterns = ["a.py", "*.gz", "*.tar.gz", "*.py", "a*", "?", "[[]x]", "e/*.gz", "d/e/x", "d/e", "e/a.py", "*/x", "x/", "*.", "y.", "*.p?", ".*", "*", "b.g", "gz/"]
+    choose = random.Random(1)
+    for _ in range(3):
+        rules = [(choose.choice(["", "d", "./d//e", "q/d/e", "x", "zz"]), p) for p in choose.sample(patterns, 9)]
+        kept = ignore.without_ignored(spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame(rules, "dir string, pattern string"))
+        plain = [(str(PurePosixPath(d)) if d else "", p) for d, p in rules]
+        assert [r[0] for r in rows(kept, "path")] == sorted(brute_force_kept(files, plain), key=lambda p: repr((p,)))
+
+
+def test_names_and_endings_meet_no_regular_expression(spark):
+    files = spark.createDataFrame([("d/a.py",)], "path string")
+    rules = spark.createDataFrame([("d", "a.py"), ("d", "*.gz"), ("d", "?")], "dir string, pattern string")
+    kinds = {r.pattern: r._kind for r in ignore.compiled_rules(rules).join(rules.select("pattern"), F.col("_regex") == ignore.glob_regex(F.col("pattern"))).collect()}
+    assert kinds == {"a.py": "name", "*.gz": "suffix", "?": "rest"}
+    plan = ignore.without_ignored(files, rules)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftAnti" in line]
+    assert len(joins) == 3 and "RLIKE" not in plan.split("Join LeftAnti")[1]
+    with_pattern = [line for line in joins if "regexp_instr" in line]
+    assert len(with_pattern) == 1 and all("=" in line for line in joins)  # the one row of a folder
+
+
 def test_ignored_subtrees_are_whole_components(spark):
     df = spark.createDataFrame([("a/b/x",), ("a/bc/x",), ("a/b",), ("q",)], "path string")
     listed = spark.createDataFrame([("./a//b/",), ("zz",)], "folder string")

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -29,14 +30,51 @@ def test_unreadable_file_keeps_its_row(spark, tmp_path):
     assert [(r.path, r.content) for r in bad] == [("bad.py", None)]
 
 
+def listed(spark, root, **options):
+    return sorted((r.path, r.size_bytes, r.is_folder) for r in source_tree.list_entries(spark, str(root), **options).collect())
+
+
 def test_listing_is_split_and_complete(spark, tmp_path):
     names = {f"d{i % 7}/e{i % 3}/f{i}.py" for i in range(200)} | {"top.py"}
     for name in names:
         make(tmp_path, name)
-    for units in (1, 5, 100):
-        listing = source_tree.list_tree(spark, str(tmp_path), units)
-        assert {r.path for r in listing.collect()} == names
-        assert listing.count() == len(names)
+    folders = {f"d{i}" for i in range(7)} | {f"d{i}/e{j}" for i in range(7) for j in range(3)}
+    wanted = sorted([(n, 6, False) for n in names] + [(f, None, True) for f in folders], key=repr)
+    for options in ({}, {"tasks": 1, "first_share": 1, "most_share": 1}, {"tasks": 5, "first_share": 2}):
+        assert sorted(listed(spark, tmp_path, **options), key=repr) == wanted
+    assert {r.path for r in source_tree.list_tree(spark, str(tmp_path), 3).collect()} == names
+
+
+def test_one_wide_level_and_one_deep_chain(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"w{i}").mkdir()
+        (tmp_path / f"w{i}" / "f").write_text("")
+    deep = "/".join(["c"] * 300)
+    make(tmp_path, f"{deep}/end.py")
+    found = listed(spark, tmp_path)
+    assert len(found) == 2 * 600 + 300 + 1 and (f"{deep}/end.py", 6, False) in found
+    # a task opens its share in one go: 8 + 32 + 128 + 512 folders deep in four rounds
+    assert listed(spark, tmp_path, tasks=2, first_share=200) == found
+
+
+def test_a_task_opens_its_share_and_hands_on_the_rest():
+    tree = {"": [("a", None), ("b", None), (".h", None), ("f", 1)], "a": [("a/x", None)], "b": [("b/g", 2)], "a/x": [], ".h": [(".h/s", 3)]}
+    found = list(source_tree.open_folders(iter([""]), tree.__getitem__, 2, hidden=False))
+    assert found == [("", None, True, True), ("f", 1, False, True), ("b", None, True, True), ("b/g", 2, False, True), ("a", None, True, False)]
+    every = list(source_tree.open_folders(iter(["", "zz"]), lambda f: tree.get(f, []), 99, hidden=True))
+    assert [r[0] for r in every if r[2]] == ["", ".h", "b", "a", "a/x", "zz"] and all(r[3] for r in every)
+    assert [r[:1] + r[3:] for r in source_tree.open_folders(iter(["a", "b"]), tree.__getitem__, 1, False)] == [("a", True), ("a/x", False), ("b", False)]
+
+
+def test_no_names_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+    for i in range(30):
+        make(tmp_path, f"d{i}/f.py")
+    for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: pytest.fail("rows on the driver"))
+    listing = source_tree.list_tree(spark, str(tmp_path))
+    monkeypatch.undo()
+    assert listing.count() == 30
 
 
 def test_empty_and_missing_tree(spark, tmp_path):
