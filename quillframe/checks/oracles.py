@@ -224,6 +224,7 @@ def _bodies() -> dict[str, str]:
         "flt10_empty_output_filter": """
             SELECT doc_id, CASE WHEN content = '' THEN 'no changes' ELSE 'accepted' END AS status FROM model_output""",
         "jon1_changed_files": "SELECT path, sha256, size_bytes FROM changed",
+        "jon1_changed_by_state": "SELECT path, sha256, size_bytes FROM changed",
         "jon2_skip_described": f"""
             SELECT doc_id, path FROM doc_files ANTI JOIN (SELECT {normalize('path')} AS path FROM summaries) USING (path)""",
         "jon3_description_lookup": f"""
@@ -324,6 +325,8 @@ def _bodies() -> dict[str, str]:
             SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations""",
         "set1_manifest_merge": """
             SELECT path, coalesce(c.sha256, m.sha256) AS sha256 FROM manifest m FULL JOIN changed c USING (path)""",
+        "set1_manifest_in_state": """
+            SELECT path, coalesce(c.sha256, m.sha256) AS sha256 FROM manifest m FULL JOIN changed c USING (path)""",
         "set2_append_summaries": f"""
             SELECT {normalize('path')} AS path, description FROM summaries
             UNION ALL

@@ -19,6 +19,7 @@ from quillframe.operators import (
 from quillframe.plans import describe, retrieval, run
 from quillframe.scratch import scratch_path, written
 from quillframe.sources import source_tree, state, storage
+from quillframe.streaming import manifest_state
 
 FOLDER_DEPTH = 2  # fixed value: default depth of report folders
 PACKAGE = "shop"
@@ -362,6 +363,26 @@ def messages_in_order(spark, sf) -> DataFrame:
     return reports.messages_in_order(fx.table(spark, sf, "conversations"))
 
 
+# Streams -------------------------------------------------------------------------
+
+def _followed(spark, sf) -> tuple[str, str]:
+    """Documents landed as a stream of arrivals on top of the last run's manifest: output and checkpoint."""
+    landing, start, out, check = (scratch_path(spark, name) for name in ("landing", "start", "changed", "state"))
+    fx.manifest(spark, sf).write.parquet(start)
+    fx.doc_files(spark, sf).select("path", "content", F.lit(1).cast("long").alias("arrived")).write.parquet(landing)
+    manifest_state.follow_manifest(spark, landing, check, manifest_state.table_writer(out), start).awaitTermination()
+    return out, check
+
+
+def changed_by_state(spark, sf) -> DataFrame:
+    rows = spark.read.schema(manifest_state.CHANGED).parquet(_followed(spark, sf)[0])
+    return rows.select("path", "sha256", "size_bytes")
+
+
+def manifest_in_state(spark, sf) -> DataFrame:
+    return manifest_state.manifest_of(spark, _followed(spark, sf)[1])
+
+
 # Sets ---------------------------------------------------------------------------
 
 def manifest_merge(spark, sf) -> DataFrame:
@@ -589,6 +610,7 @@ QUERIES = {
     "flt9_package_import_filter": package_import_filter,
     "flt10_empty_output_filter": empty_output_filter,
     "jon1_changed_files": changed_files,
+    "jon1_changed_by_state": changed_by_state,
     "jon2_skip_described": skip_described,
     "jon3_description_lookup": description_lookup,
     "jon4_folder_assignment": folder_assignment,
@@ -622,6 +644,7 @@ QUERIES = {
     "srt3_deepest_folders_first": deepest_folders_first,
     "srt4_messages_in_order": messages_in_order,
     "set1_manifest_merge": manifest_merge,
+    "set1_manifest_in_state": manifest_in_state,
     "set2_append_summaries": append_summaries,
     "set3_merge_metadata": merge_metadata,
     "set4_line_diff": line_diff,
