@@ -1,8 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned by simple tree matching of their DOM trees. Nodes
-that say the same on nearly all pages are template; what varies is content, save
-for regions whose markup names them as menus, adverts, forms or comments.
+Pages of one host are aligned by simple tree matching of their DOM trees. Slots
+that say the same on nearly all pages are template, the others vary. The region
+of the content is the part of the wrapper that holds most of the varying text,
+summed over all pages. Inside it everything that varies is content. What tags
+and names say counts as a doubt: a doubted part weighs less, and goes unless it
+holds most of the text itself.
 """
 
 from __future__ import annotations
@@ -42,17 +45,34 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table "
     "tbody td tfoot th thead title tr ul".split())
-DROPPED = frozenset(
-    "applet audio button canvas dialog embed footer form head iframe input label map math menu nav noscript object "
-    "aside script select style svg template textarea title video".split())
-DROPPED_ROLES = frozenset(
+#: Elements whose text isn't shown as text.
+UNSEEN = frozenset(
+    "applet audio button canvas embed head iframe input map math noscript object script select style svg template "
+    "textarea title video".split())
+#: Elements that the content can lie in as a part among others.
+CONTAINERS = frozenset("#page html body div section article main form center table tbody tr td fieldset details dl".split())
+#: Marks of parts that mostly aren't content.
+DOUBTED = frozenset("aside dialog footer form header menu nav".split())
+DOUBTED_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-DROPPED_NAMES = frozenset(
-    "ad ads adsense advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent "
-    "cookie cookies copyright discussion disqus footer gdpr login masthead menu menus modal nav navbar navigation "
-    "newsletter notice notices pager pagination popup promo promos promotion related recommended replies reply respond "
+DOUBTED_NAMES = frozenset(
+    "ad ads adsense advert advertisement advertisements adverts banner breadcrumb breadcrumbs consent "
+    "cookie cookies copyright footer gdpr login masthead menu menus modal nav navbar navigation "
+    "newsletter notice notices pager pagination popup promo promos promotion related recommended "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget "
     "widgets".split())
+#: Marks of what readers write.
+READER_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
+#: First words that leave a compound name's meaning to its last word.
+PLACES = frozenset("bottom cookie global left main page reader right site social top user".split())
+#: A doubted part weighs so much, and a link's text.
+DOUBT, LINK = 0.1, 0.25
+#: The share of a part that holds most of it.
+MAJORITY = 0.5
+#: Less is enough for the largest part if it is marked as the article.
+MARKED = 0.25
+#: A form with more characters is not just its controls.
+FORM_CHARS = 400
 #: What an opening tag closes when it is still open.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
@@ -63,7 +83,7 @@ ENDS_P = BLOCKS - {"body", "html", "option", "title", "caption", "tbody", "thead
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parts", "number", "shape", "size", "titled")
+    __slots__ = ("tag", "names", "role", "hidden", "parts", "number", "shape", "size", "titled", "marked", "chars", "said", "unseen", "doubted", "readers")
 
     def __init__(self, tag: str, attributes: list[tuple[str, str | None]] = ()):
         self.tag, self.parts = tag, []
@@ -81,6 +101,24 @@ class Node:
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
 
+    def is_main(self) -> bool:
+        return self.tag in ("article", "main") or self.role in ("article", "main")
+
+    def named(self, names: frozenset) -> bool:
+        """Whether a whole name is among these, or a compound of a place and one of them."""
+        for name in self.names.split():
+            first, _, last = name.replace("_", "-").partition("-")
+            if name in names or first in PLACES and last in names:
+                return True
+        return False
+
+    def is_doubted(self) -> bool:
+        if self.tag == "header" and self.titled or self.tag == "form" and self.chars > FORM_CHARS:
+            return False
+        if self.tag in DOUBTED or self.role in DOUBTED_ROLES:
+            return True
+        return bool(self.names) and self.tag not in ("html", "body") and self.named(DOUBTED_NAMES)
+
     def text(self) -> str:
         """The node's own text, without that of its children."""
         return " ".join("".join(p for p in self.parts if isinstance(p, str)).split())
@@ -174,6 +212,12 @@ def _measure(root: Node) -> None:
         node.shape = hash((node.tag, node.names, tuple(k.shape for k in kids)))
         node.size = 1 + sum(k.size for k in kids)
         node.titled = any(k.titled or k.tag in ("h1", "h2") for k in kids)
+        node.marked = node.is_main() or any(k.marked for k in kids)
+        node.said = node.text()
+        node.unseen = node.hidden or node.tag in UNSEEN
+        node.chars = 0 if node.unseen else len(node.said) + sum(k.chars for k in kids)
+        node.readers = bool(node.names) and node.named(READER_NAMES) and not (node.marked and not node.is_main())
+        node.doubted = node.is_doubted()
 
 
 # Simple tree matching -----------------------------------------------------
@@ -315,24 +359,24 @@ def align(a: Node, b: Node, memory: dict | None = None) -> Iterator[tuple[Node,
 
 
 def template_nodes(pages: list[Node]) -> set[int]:
-    """ids of nodes that are template: their text is the same on nearly all pages.
+    """ids of nodes that are template: their text is the same on nearly all pages."""
+    return set().union(*(template for template, *_ in _wrapped(pages)))
 
-    The page of middle size is the wrapper to which the others are aligned.
-    """
-    if len(pages) < TEMPLATE_PAGES:
-        return set()
-    wrapper = sorted(pages, key=lambda p: p.size)[len(pages) // 2]
-    memory: dict = {}
-    aligned = [_said(page, wrapper, memory) for page in pages]
-    constant = _constant(aligned, len(pages))
-    return set().union(*(_constant_nodes(said, constant) for said in aligned))
 
+def _wrapper_of(sizes: list[int]) -> int:
+    """The page of middle size is the wrapper to which the others are aligned."""
+    return sorted(range(len(sizes)), key=sizes.__getitem__)[len(sizes) // 2]
 
-def _said(page: Node, wrapper: Node, memory: dict) -> list[tuple[int, int, str]]:
-    """(id of a node of the page, id of its slot in the wrapper, text) of nodes with a text."""
+
+def _aligned(page: Node, wrapper: Node, memory: dict) -> list[tuple[Node, Node]]:
     if len(memory) > MEMORY_PAIRS:
         memory.clear()
-    return [(id(own), id(slot), text) for own, slot in align(page, wrapper, memory) if (text := own.text())]
+    return list(align(page, wrapper, memory))
+
+
+def _said(pairs: Iterable[tuple[Node, Node]]) -> list[tuple[int, int, str]]:
+    """(id of a node of the page, id of its slot in the wrapper, text) of nodes with a text."""
+    return [(id(own), id(slot), own.said) for own, slot in pairs if own.said]
 
 
 def _constant(aligned: Iterable[list[tuple[int, int, str]]], pages: int) -> dict[int, str]:
@@ -349,75 +393,188 @@ def _constant_nodes(said: list[tuple[int, int, str]], constant: dict[int, str])
     return {own for own, slot, text in said if constant.get(slot) == text}
 
 
-# Text ---------------------------------------------------------------------
+# Regions ------------------------------------------------------------------
 
-def _dropped(node: Node, inside: bool) -> bool:
-    """Whether markup says that a node isn't article text. ``inside``: of an article."""
-    if node.hidden or node.tag in DROPPED or node.role in DROPPED_ROLES:
-        return True
-    if node.tag == "header":
-        return not inside or not node.titled
-    if node.tag in ("html", "body", "article", "main") and not node.names:
-        return False
-    words = node.names.replace("-", " ").replace("_", " ").split()
-    return node.tag not in ("html", "body") and any(w in DROPPED_NAMES for w in words)
+class Weights:
+    """Varying text of every part of a page, in characters.
 
+    ``own`` is a node's own text, ``all`` that of its whole part, and ``sure``
+    the same with doubted parts weighing less. What readers write has no weight.
+    """
 
-def _regions(page: Node) -> list[Node]:
-    """The outermost elements that markup calls article or main content."""
-    out, todo = [], page.children()[::-1]
-    while todo:
-        node = todo.pop()
-        if _dropped(node, False):
-            continue
-        if node.tag in ("article", "main") or node.role in ("main", "article"):
-            out.append(node)
-        else:
-            todo += node.children()[::-1]
-    return out
+    def __init__(self, page: Node, template: set[int]):
+        self.own: dict[int, float] = {}
+        self.all: dict[int, float] = {}
+        self.sure: dict[int, float] = {}
+        nodes = [(page, False)]
+        for node, link in nodes:
+            here = link or node.tag == "a"
+            size = 0 if node.unseen or id(node) in template else len(node.said)
+            self.own[id(node)] = size * (LINK if here else 1)
+            if not node.unseen:
+                nodes += [(k, here) for k in node.parts if k.__class__ is Node]
+        for node, _ in reversed(nodes):
+            every = sure = self.own[id(node)]
+            if not node.unseen:
+                for k in node.parts:
+                    if k.__class__ is Node and not k.readers:
+                        every += self.all[id(k)]
+                        sure += self.sure[id(k)] * (DOUBT if k.doubted else 1)
+            self.all[id(node)], self.sure[id(node)] = every, sure
+
+
+def region_of(page: Node, own: dict[int, float], sure: dict[int, float]) -> Node:
+    """The part of a page that the content lies in.
+
+    From the page down, the part that holds most of the varying text is entered
+    as long as what stands beside it are other parts of the page. Headings,
+    paragraphs and text beside it belong to the same content, unless the part is
+    marked as the article.
+    """
+    node = page
+    while True:
+        kids = [k for k in node.children() if sure.get(id(k)) and not k.unseen and not k.readers]
+        weight = {id(k): sure[id(k)] * (DOUBT if k.doubted else 1) for k in kids}
+        best = max(kids, key=lambda k: weight[id(k)], default=None)
+        if best is None or best.tag not in CONTAINERS:
+            return node
+        main = _is_main_content(best, sure)
+        if weight[id(best)] < (MARKED if main else MAJORITY) * sure[id(node)]:
+            return node
+        if not main:
+            place = kids.index(best)
+            beside = any(
+                not k.doubted and (k.tag not in CONTAINERS or i < place and _has_title(k))
+                for i, k in enumerate(kids) if k is not best)
+            if beside or own.get(id(node)):
+                return node
+        node = best
+
+
+def _is_main_content(node: Node, sure: dict[int, float]) -> bool:
+    """Whether most of a part is in an element that is marked as the article."""
+    most = MAJORITY * sure[id(node)]
+    while not node.is_main():
+        node = max((k for k in node.children() if k.marked and not k.readers), key=lambda k: sure.get(id(k), 0), default=None)
+        if node is None or sure.get(id(node), 0) < most:
+            return False
+    return True
+
+
+def _has_title(node: Node) -> bool:
+    todo = [node]
+    for inner in todo:
+        if inner.tag == "h1":
+            return True
+        todo += inner.children()
+    return False
+
+
+class _Slots:
+    """Varying text of the wrapper's slots, summed over pages."""
+
+    def __init__(self, wrapper: Node):
+        self.wrapper, self.own, self.sure = wrapper, Counter(), Counter()
+
+    def add(self, pairs: Iterable[tuple[Node, Node]], weights: Weights) -> None:
+        for own, slot in pairs:
+            if id(own) in weights.all:
+                self.own[id(slot)] += weights.own[id(own)]
+                self.sure[id(slot)] += weights.sure[id(own)]
+
+    def region(self) -> Node:
+        return region_of(self.wrapper, self.own, self.sure)
+
+
+def _own_region(page: Node, pairs: Iterable[tuple[Node, Node]], region: Node, weights: Weights) -> Node:
+    """A page's part in the wrapper's region; the page's own one if it has none or nothing there."""
+    for own, slot in pairs:
+        if slot is region:
+            if weights.sure.get(id(own)):
+                return own
+            break
+    return region_of(page, weights.own, weights.sure)
+
+
+def _wrapped(pages: list[Node]) -> list[tuple[set[int], Weights, Node]]:
+    """(ids of template nodes, weights, region) of every page; too few pages have no template."""
+    if len(pages) < TEMPLATE_PAGES:
+        weights = [Weights(page, set()) for page in pages]
+        return [(set(), w, region_of(page, w.own, w.sure)) for page, w in zip(pages, weights)]
+    wrapper, memory = pages[_wrapper_of([p.size for p in pages])], {}
+    aligned = [_aligned(page, wrapper, memory) for page in pages]
+    constant = _constant(map(_said, aligned), len(pages))
+    templates = [_constant_nodes(_said(pairs), constant) for pairs in aligned]
+    slots, weights = _Slots(wrapper), [Weights(page, t) for page, t in zip(pages, templates)]
+    for pairs, own in zip(aligned, weights):
+        slots.add(pairs, own)
+    region = slots.region()
+    return [(t, w, _own_region(page, pairs, region, w)) for page, pairs, t, w in zip(pages, aligned, templates, weights)]
 
 
-def text_of(page: Node, template: set[int] = frozenset()) -> str:
-    """Blocks of the page's content in order, one a line."""
-    lines, held = [], []
+# Text ---------------------------------------------------------------------
 
-    def end() -> None:
-        line = " ".join("".join(held).split())
-        if line:
-            lines.append(line)
-        held.clear()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-    def walk(region: Node) -> None:
-        todo: list[tuple[Node, Iterator[str | Node]]] = []
 
-        def enter(node: Node) -> None:
-            if node.tag in BLOCKS:
-                end()
-            todo.append((node, iter(node.parts)))
-
-        enter(region)
-        while todo:
-            node, parts = todo[-1]
-            for part in parts:
-                if isinstance(part, str):
-                    if id(node) not in template:
-                        held.append(part)
-                elif part.tag == "br":
-                    held.append(" ")
-                elif not _dropped(part, True):
-                    enter(part)
-                    break
-                elif part.tag in BLOCKS:
-                    end()
-            else:
-                todo.pop()
-                if node.tag in BLOCKS:
-                    end()
+class _Lines:
+    """Blocks of text in order. One that is all template goes; a heading of that
+    kind stays if text that varies follows it in the same part."""
 
-    for region in _regions(page) or [page]:
-        walk(region)
-        end()
-    return "\n".join(lines)
+    def __init__(self):
+        self.done: list[str] = []
+        self.held: list[tuple[str, bool]] = []
+        self.waiting: list[tuple[Node | None, str]] = []
+
+    def end(self, block: Node, parent: Node | None) -> None:
+        line = " ".join("".join(text for text, _ in self.held).split())
+        varies = any(not constant and text.strip() for text, constant in self.held)
+        self.held.clear()
+        if line and varies:
+            self.done += [text for _, text in self.waiting]
+            self.done.append(line)
+            self.waiting.clear()
+        elif line and block.tag in HEADINGS:
+            self.waiting.append((parent, line))
+
+    def left(self, part: Node) -> None:
+        """A part ends: headings that wait in it have nothing to stand above."""
+        while self.waiting and self.waiting[-1][0] is part:
+            self.waiting.pop()
+
+
+def text_of(page: Node, template: set[int], weights: Weights, region: Node) -> str:
+    """Blocks of the content in a page's region in order, one a line."""
+    most = MAJORITY * weights.all.get(id(region), 0)
+    lines = _Lines()
+
+    def gone(node: Node) -> bool:
+        if node.unseen or node.readers:
+            return True
+        return node.doubted and (not most or weights.all[id(node)] <= most)
+
+    todo: list[tuple[Node, Iterator[str | Node]]] = [(region, iter(region.parts))]
+    while todo:
+        node, parts = todo[-1]
+        parent = todo[-2][0] if len(todo) > 1 else None
+        for part in parts:
+            if isinstance(part, str):
+                lines.held.append((part, id(node) in template))
+            elif part.tag == "br":
+                lines.held.append((" ", True))
+            elif not gone(part):
+                if part.tag in BLOCKS:
+                    lines.end(node, parent)
+                todo.append((part, iter(part.parts)))
+                break
+            elif part.tag in BLOCKS:
+                lines.end(node, parent)
+        else:
+            todo.pop()
+            if node.tag in BLOCKS or not todo:
+                lines.end(node, parent)
+            lines.left(node)
+    return "\n".join(lines.done)
 
 
 def texts_of_pages(pages: list[str | None]) -> list[str]:
@@ -427,22 +584,31 @@ def texts_of_pages(pages: list[str | None]) -> list[str]:
         texts = _texts_of_long_pages(distinct)
     else:
         trees = [parse(html) for html in distinct]
-        template = template_nodes(trees)
-        texts = [text_of(tree, template) for tree in trees]
+        texts = [text_of(tree, *found) for tree, found in zip(trees, _wrapped(trees))]
     found = dict(zip(distinct, texts))
     return [found[p or ""] for p in pages]
 
 
 def _texts_of_long_pages(pages: list[str]) -> list[str]:
     """The same texts with two trees in memory at a time; pages are parsed again instead."""
-    sizes = [parse(html).size for html in pages]
-    wrapper = parse(pages[sorted(range(len(pages)), key=sizes.__getitem__)[len(pages) // 2]])
-    memory: dict = {}
-    constant = _constant((_said(parse(html), wrapper, memory) for html in pages), len(pages))
+    wrapper, memory = parse(pages[_wrapper_of([parse(html).size for html in pages])]), {}
+    constant = _constant((_said(_aligned(parse(html), wrapper, memory)) for html in pages), len(pages))
 
-    def text(html: str) -> str:
+    def weighed(html: str) -> tuple[Node, list, set[int], Weights]:
         page = parse(html)
-        return text_of(page, _constant_nodes(_said(page, wrapper, memory), constant))
+        pairs = _aligned(page, wrapper, memory)
+        template = _constant_nodes(_said(pairs), constant)
+        return page, pairs, template, Weights(page, template)
+
+    slots = _Slots(wrapper)
+    for html in pages:
+        _, pairs, _, weights = weighed(html)
+        slots.add(pairs, weights)
+    region = slots.region()
+
+    def text(html: str) -> str:
+        page, pairs, template, weights = weighed(html)
+        return text_of(page, template, weights, _own_region(page, pairs, region, weights))
 
     return [text(html) for html in pages]
 
@@ -492,75 +658,80 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url: str = "url",
     others and pages with many copies need to be known beforehand; these lists
     are sent to the tasks if they are small, and joined otherwise.
     """
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     body = F.coalesce(F.col(html), F.lit(""))
+    # the other columns travel as one, so none of them can clash
+    own = [c for c in pages.columns if c not in ("text", "n_chars", html)]
     rows = pages.select(
-        F.coalesce(url_host(F.col(url)), F.lit("")).alias("_host"), F.unhex(F.md5(body)).alias("_page"), *kept)
+        F.coalesce(url_host(F.col(url)), F.lit("")).alias("_host"), F.unhex(F.md5(body)).alias("_page"),
+        F.struct(*own).alias("_row"), F.col(html).alias("_html"))
+    columns = [F.col("_html").alias(c) if c == html else F.col("_row").getField(c).alias(c)
+               for c in pages.columns if c not in ("text", "n_chars")]
+    kept = ["_row", "_html"]
     distinct = written(
-        rows.select("_host", "_page", F.octet_length(body).cast("long").alias("_bytes"))
+        rows.select("_host", "_page", F.coalesce(F.octet_length("_html"), F.lit(0)).cast("long").alias("_bytes"))
         .groupBy("_host", "_page").agg(F.first("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("n")), "distinct-pages")
     large, moved = _groups_of_hosts(distinct)
     copied = written(distinct.where(F.expr(f"n > 1 and n * _bytes > {COPIES_BYTES}")).select("_host", "_page"), "copied-pages")
     schema = StructType([
         StructField("_host", StringType()), StructField("_page", BinaryType()),
-        StructField("_copied", BooleanType()), *(pages.schema[c] for c in kept),
+        StructField("_copied", BooleanType()), *(StructField(c, rows.schema[c].dataType) for c in kept),
         StructField("text", StringType()), StructField("n_chars", LongType())])
-    place = 4 + kept.index(html)
+    place = 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            texts = texts_of_pages(group.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [group.column(0), *group.columns[2:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=schema.names)
-
-    def extracted(own: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+            texts = texts_of_pages([html for part in group for html in part.column(place).to_pylist()])
+            at = 0
+            for part in group:
+                own = texts[at:at + part.num_rows]
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *part.columns[2:], pa.array(own, pa.string()), pa.array([len(t) for t in own], pa.int64())],
+                    names=schema.names)
+
+    def extracted(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
         dealt = (
-            own.join(_shared(large), "_host", "left").withColumn("_cell", _cell())
+            pages.join(_shared(large), "_host", "left").withColumn("_cell", _cell())
             .join(_shared(moved), ["_host", "_cell"], "left").withColumn("_group", F.coalesce("_to", "_cell")))
         if cells is not None:
             dealt = dealt.join(_shared(cells), ["_host", "_group"], "left_semi")
         return (
             dealt.select("_host", "_group", "_page", "_copied", *kept)
-            .repartition("_host", "_group").sortWithinPartitions("_host", "_group", "_page", id_column, url)
+            .repartition("_host", "_group").sortWithinPartitions(
+                "_host", "_group", "_page", F.col("_row").getField(id_column), F.col("_row").getField(url))
             .mapInArrow(run, schema)
         )
 
     if copied.isEmpty():
-        return extracted(rows.withColumn("_copied", F.lit(False))).select(*kept, "text", "n_chars")
+        return extracted(rows.withColumn("_copied", F.lit(False))).select(*columns, "text", "n_chars")
     single = rows.join(_shared(copied), ["_host", "_page"], "left_anti").withColumn("_copied", F.lit(False))
     copies = rows.join(_shared(copied), ["_host", "_page"])
-    once = copies.groupBy("_host", "_page").agg(F.first(html).alias(html)).select(
-        "_host", "_page", *(F.col(c) if c == html else F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in kept),
-        F.lit(True).alias("_copied"))
-    own = single.unionByName(once)
+    once = copies.groupBy("_host", "_page").agg(F.first("_html").alias("_html")).select(
+        "_host", "_page", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_html", F.lit(True).alias("_copied"))
+    every = single.unionByName(once)
     cells = (
         copied.join(_shared(large), "_host", "left").withColumn("_cell", _cell())
         .join(_shared(moved), ["_host", "_cell"], "left").select("_host", F.coalesce("_to", "_cell").alias("_group")).distinct())
     texts = written(
-        extracted(own, written(cells, "copied-cells")).where("_copied").select("_host", "_page", "text", "n_chars"), "copied-texts")
+        extracted(every, written(cells, "copied-cells")).where("_copied").select("_host", "_page", "text", "n_chars"), "copied-texts")
     return (
-        extracted(own).where("not _copied").select(*kept, "text", "n_chars")
-        .unionByName(copies.join(texts, ["_host", "_page"]).select(*kept, "text", "n_chars"))
+        extracted(every).where("not _copied").select(*columns, "text", "n_chars")
+        .unionByName(copies.join(texts, ["_host", "_page"]).select(*columns, "text", "n_chars"))
     )
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with equal first two columns, each as one batch."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with equal first two columns, each as the slices it came in."""
     held, own = [], None
-
-    def whole() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
     for batch in batches:
         at = 0
         for key, run in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             n = sum(1 for _ in run)
             if held and key != own:
-                yield whole()
+                yield held
                 held = []
             own = key
             held.append(batch.slice(at, n))
             at += n
     if held:
-        yield whole()
+        yield held

@@ -2,6 +2,7 @@ import html as entities
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from quillframe.llm import html_text as h
@@ -64,6 +65,73 @@ def test_what_is_the_same_on_all_pages_is_template():
     assert "Welcome" in h.texts_of_pages([pages[0]] * 40)[0]
 
 
+def plain_host(choose, n):
+    """Pages without an article, a main part or a telling name, and their articles."""
+    words = lambda k: " ".join(choose.choice("lorem ipsum dolor sit amet elit sed do".split()) + str(choose.randrange(999)) for _ in range(k))
+    for i in range(n):
+        title, parts = words(6), [words(choose.randrange(30, 90)) for _ in range(choose.randrange(1, 6))]
+        links = "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(5))
+        yield (f"""<body><div class=a1><div>Our company</div><ul><li><a href=/>Start</a></li><li><a href=/c>Contact</a></li></ul></div>
+<div class=a2><div class=b1><h2>{title}</h2>{''.join(f'<p>{p}</p>' for p in parts)}</div>
+<div class=b2><div>More for you</div><ul>{links}</ul></div></div><div class=a3>All rights kept. Page no. <i>{i}</i></div></body>""",
+               "\n".join([title, *parts]))
+
+
+def test_a_host_whose_markup_tells_nothing():
+    pages, wanted = zip(*plain_host(random.Random(4), 12))
+    assert h.texts_of_pages(list(pages)) == list(wanted)
+
+
+def test_the_wrapper_makes_the_result(monkeypatch):
+    pages = [SITE.format(f"first {i}", f"second {i * i}") for i in range(8)]
+    with_it = h.texts_of_pages(pages)
+    monkeypatch.setattr(h, "TEMPLATE_PAGES", 99)
+    without = h.texts_of_pages(pages)
+    assert all(a != b and "Welcome" in b and "Welcome" not in a for a, b in zip(with_it, without))
+
+
+def test_the_host_tells_where_a_short_page_has_its_content():
+    pages = [p for p, _ in plain_host(random.Random(5), 9)]
+    short = re.sub(r"<h2>.*</p>", "<h2>Ab</h2><p>cd</p>", pages[0])
+    assert h.texts_of_pages([*pages, short])[-1] == "Ab\ncd"
+    assert h.texts_of_pages([short])[0] != "Ab\ncd"  # alone its links weigh more
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<nav>n</nav><article class='post has-sidebar'><p>text of it</p></article>", "text of it"),
+    ("<div class='no-comments'><article><p>text</p></article></div><footer>f</footer>", "text"),
+    ("<form id=aspnetForm><input type=hidden><div class=menu>m</div><div><p>a long text of the page</p></div></form>", "a long text of the page"),
+    ("<p>two <label>three</label> four</p>", "two three four"),
+    (f"<div id=content><h2>T</h2><p>{'long ' * 40}</p></div><article class=card><p>teaser</p></article>", "T\n" + " ".join(["long"] * 40)),
+    ("<div class=sidebar><p>all of the page is in here</p></div>", "all of the page is in here"),
+    ("<article><p>short</p></article><div id=comments>" + "<p>readers wrote a lot</p>" * 9 + "</div>", "short"),
+    ("<article><p>text before it</p><form><input><label>Mail</label></form><p>text behind</p></article>", "text before it\ntext behind"),
+    ("<p class='ad-free'>kept</p>", "kept"),
+])
+def test_names_never_drop_what_holds_the_text(page, want):
+    assert h.texts_of_pages([page]) == [want]
+
+
+def test_constant_headings_and_words_inside_the_content_stay():
+    pages = [f"<div>Site</div><div><h2>Title {i}</h2><h3>Summary</h3><p>Sum {i}</p><p><b>Note:</b> this {i}</p><h3>Share</h3><p>Send it</p></div>" for i in range(7)]
+    assert h.texts_of_pages(pages) == [f"Title {i}\nSummary\nSum {i}\nNote: this {i}" for i in range(7)]
+
+
+def test_a_group_in_several_batches_loses_no_row():
+    batch = lambda host, ids: pa.RecordBatch.from_pydict({"h": [host] * len(ids), "g": [0] * len(ids), "i": ids})
+    groups = list(h._groups(iter([batch("a", [1, 2]), batch("a", [3]), batch("b", [4]), batch("b", [5, 6])])))
+    assert [[i for part in group for i in part.column(2).to_pylist()] for group in groups] == [[1, 2, 3], [4, 5, 6]]
+
+
+def test_input_columns_of_any_name(spark):
+    names = "_page _host _copied _cell _bytes _group _to _cells n".split()
+    rows = [(i, f"http://a/{i}", SITE.format(i, -i), *[f"{i}{c}" for c in names]) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string" + "".join(f", {c} string" for c in names))
+    out = h.extract_text(df)
+    assert out.columns == [*df.columns, "text", "n_chars"]
+    assert sorted(tuple(r)[3:-1] for r in out.collect()) == sorted((*r[3:], f"{r[0]}\n{-r[0]}") for r in rows)
+
+
 def test_passages_that_many_pages_share_stay():
     pages = [f"<article><p>own {i}</p>{'<p>shared by many</p>' if i % 3 else ''}<p>end {i}</p></article>" for i in range(30)]
     assert [t.count("shared") for t in h.texts_of_pages(pages)] == [int(bool(i % 3)) for i in range(30)]
