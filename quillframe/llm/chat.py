@@ -1,13 +1,14 @@
 """Chat formatting: turns of a conversation become one marked text.
 
-Turns are collected as structs, sorted, adjacent turns of one role merged, and
-the text is put together by array and string expressions. Control strings
-inside roles and texts are escaped reversibly, so the output can be read back.
+Turns are sorted, adjacent turns of one role collected as structs into blocks,
+and the text is put together by window, array and string expressions, each of
+which goes through a conversation once. Control strings inside roles and texts
+are escaped reversibly, so the output can be read back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Control strings of the template, and others that models give a meaning.
 BLOCK_START, BLOCK_END = "<s>", "</s>"
@@ -18,9 +19,6 @@ _CONTROL = r"/?s>|/?INST\]|/?SYS>>|\|"
 _TO_ESCAPE = rf"([<\[])(\\*)({_CONTROL})"
 _ESCAPED = rf"([<\[])\\(\\*)({_CONTROL})"
 
-TURN = "struct<turn:bigint,role:string,text:string>"
-
-
 def escape(text: Column) -> Column:
     """One more backslash after the bracket of every control string."""
     return F.regexp_replace(text, _TO_ESCAPE, r"$1\\$2$3")
@@ -30,26 +28,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPED, "$1$2$3")
 
 
-def _merged(turns: Column) -> Column:
-    """Runs of turns with one role: array of (role, texts)."""
-    n = F.size(turns)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (turns[i]["role"] != turns[F.greatest(i - 1, F.lit(0))]["role"]),
-    )
-    bounds = F.transform(
-        starts,
-        lambda s, k: F.struct(s.alias("from"), F.coalesce(F.get(starts, k + 1), n).alias("to")),
-    )
-    return F.transform(
-        bounds,
-        lambda b: F.struct(
-            turns[b["from"]]["role"].alias("role"),
-            F.transform(F.slice(turns, b["from"] + 1, b["to"] - b["from"]), lambda t: t["text"]).alias("texts"),
-        ),
-    )
-
-
 def format_conversations(rows: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans from rows (conv_id, turn, role, text).
 
@@ -62,65 +40,44 @@ def format_conversations(rows: DataFrame, trained_role: str = TRAINED_ROLE) -> D
     rows; other columns are ignored. A conversation is one row of the result, so
     it has to fit one.
     """
-    turn = F.struct(
-        F.col("turn").cast("bigint").alias("turn"),
-        F.coalesce(F.col("role"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    sorted_turns = (
-        rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
-        # array_sort puts null fields last; turns without a number come first
-        .withColumn("_turns", F.concat(
-            F.filter("_turns", lambda t: t["turn"].isNull()),
-            F.filter("_turns", lambda t: t["turn"].isNotNull())))
-        .select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.col("_turns"))
-    )
-    blocks = sorted_turns.select("conv_id", "n_turns", _merged(F.col("_turns")).alias("_blocks"))
-    pieces = F.transform(
-        "_blocks",
-        lambda b: F.struct(
-            (b["role"] == F.lit(trained_role)).alias("trained"),
-            F.concat(F.lit(BLOCK_START), escape(b["role"])).alias("head"),
-            F.transform(b["texts"], escape).alias("texts"),
-        ),
-    )
-    marked = blocks.withColumn("_pieces", pieces)
-    around = len(TURN_START) + len(TURN_END)
-    body = lambda p: F.array_join(
-        F.transform(p["texts"], lambda t: F.concat(F.lit(TURN_START), t, F.lit(TURN_END))), "")
-    formatted = F.array_join(
-        F.transform("_pieces", lambda p: F.concat(p["head"], body(p), F.lit(BLOCK_END))), "")
-
-    def spans_of(texts: Column, first: Column) -> Column:
-        """Spans of the texts of one block whose first turn begins at ``first``."""
-        zero = F.struct(first.alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-        return F.aggregate(
-            texts, zero,
-            lambda acc, t: F.struct(
-                (acc["at"] + F.length(t) + around).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct(
-                    (acc["at"] + len(TURN_START)).alias("start"),
-                    F.length(t).cast("long").alias("length")))).alias("spans"),
-            ),
-            lambda acc: acc["spans"],
-        )
-
-    block_chars = lambda p: (
-        F.length(p["head"]) + len(BLOCK_END)
-        + F.aggregate(p["texts"], F.lit(0).cast("bigint"), lambda n, t: n + F.length(t) + around))
-    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    spans = F.aggregate(
-        "_pieces",
-        F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + block_chars(p)).cast("bigint").alias("at"),
-            F.when(p["trained"], F.concat(
-                acc["spans"], spans_of(p["texts"], (acc["at"] + F.length(p["head"])).cast("bigint"))))
-            .otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return marked.select("conv_id", "n_turns", formatted.alias("formatted"), spans.alias("loss_spans"))
+    turns = rows.select(
+        "conv_id", F.col("turn").cast("bigint").alias("turn"),
+        F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
+    marked = turns.select(
+        "conv_id", "role", escape(F.col("text")).alias("text"), F.row_number().over(order).alias("place"),
+        opens.alias("opens"))
+    head = F.when(F.col("opens"), F.concat(
+        F.when(F.col("place") > 1, F.lit(BLOCK_END)).otherwise(F.lit("")), F.lit(BLOCK_START), escape(F.col("role")),
+    )).otherwise(F.lit(""))
+    # the windows of a conversation go on from the same sorted rows
+    by_place = so_far.orderBy("place")
+    pieces = marked.select(
+        "conv_id", "role", "place", F.length("text").cast("bigint").alias("length"),
+        F.concat(head, F.lit(TURN_START), "text", F.lit(TURN_END)).alias("piece"),
+        F.sum(F.col("opens").cast("bigint")).over(by_place).alias("block"))
+    placed = pieces.withColumn("end", F.sum(F.length("piece").cast("bigint")).over(by_place))
+    in_order = lambda field, *rest: F.array_sort(F.collect_list(F.struct(field, *rest)))
+    span = F.struct((F.col("end") - len(TURN_END) - F.col("length")).alias("start"), "length")
+    blocks = placed.groupBy("conv_id", "block").agg(
+        F.first("role").alias("role"), F.count(F.lit(1)).alias("turns"),
+        in_order("place", "piece").alias("pieces"), in_order("place", span.alias("span")).alias("spans"))
+    merged = blocks.select(
+        "conv_id", "block", "turns",
+        F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"),
+        F.when(F.col("role") == trained_role, F.transform("spans", lambda s: s["span"])).otherwise(F.array()).alias("spans"))
+    whole = merged.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), in_order("block", "text", "spans").alias("blocks"))
+    return whole.select(
+        "conv_id", "n_turns",
+        F.concat(F.array_join(F.transform("blocks", lambda b: b["text"]), ""), F.lit(BLOCK_END)).alias("formatted"),
+        F.flatten(F.transform("blocks", lambda b: b["spans"])).alias("loss_spans"))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used inside."""
+    return F.transform(F.array(value), use)[0]
 
 
 def read_turns(formatted: Column) -> Column:
@@ -128,19 +85,20 @@ def read_turns(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, BLOCK_END), lambda b: b != "")
     opened = F.transform(blocks, lambda b: F.substring(b, len(BLOCK_START) + 1, 2**31 - 1))
 
-    def of_block(block: Column) -> Column:
-        parts = F.split(block, r"\[INST\]")
-        role = unescape(parts[0])
-        return F.transform(
-            F.slice(parts, 2, F.size(parts)),
-            lambda t: F.struct(
-                role.alias("role"),
-                unescape(F.left(t, F.length(t) - len(TURN_END))).alias("text")))
-
-    return F.flatten(F.transform(opened, of_block))
+    blocks = F.transform(
+        F.transform(opened, lambda b: F.split(b, r"\[INST\]")),
+        lambda parts: F.struct(unescape(parts[0]).alias("role"), F.slice(parts, 2, F.size(parts)).alias("texts")))
+    return F.flatten(F.transform(blocks, lambda b: F.transform(
+        b["texts"], lambda t: F.struct(
+            b["role"].alias("role"), unescape(F.left(t, F.length(t) - len(TURN_END))).alias("text")))))
 
 
 def loss_texts(formatted: Column, spans: Column) -> Column:
-    """Array of the unescaped texts that the loss mask covers."""
-    return F.transform(
-        spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """Array of the unescaped texts that the loss mask covers.
+
+    Four bytes a code point make a span a slice, found without counting from the
+    front of the text.
+    """
+    both = F.struct(F.encode(formatted, "UTF-32").alias("points"), spans.alias("spans"))
+    return _once(both, lambda x: F.transform(x["spans"], lambda s: unescape(F.decode(F.substring(
+        x["points"], (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32"))))

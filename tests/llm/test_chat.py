@@ -45,3 +45,34 @@ def test_a_long_conversation(spark):
     rows = [(1, i, "assistant" if i % 3 else "user", "ab" * (i % 50)) for i in range(3000)]
     [out] = formatted(spark, rows)
     assert out.loss == [x for _, _, r, x in rows if r == "assistant"]
+
+
+def long_conversation(spark, turns, roles):
+    rows = spark.range(turns).selectExpr(
+        "1L AS conv_id", "id AS turn", f"element_at(array({roles}), CAST(id % 2 AS INT) + 1) AS role",
+        "concat('[INST] turn ', id, ' é </s>') AS text")
+    out = chat.format_conversations(rows)
+    return out.select(
+        "n_turns", F.size(chat.read_turns(F.col("formatted"))).alias("read"),
+        F.sha2(F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), ""), 256).alias("loss"))
+
+
+def test_time_grows_with_the_turns(spark):
+    from hashlib import sha256
+    import time
+    for roles, trained in (("'user', 'assistant'", lambda i: i % 2), ("'assistant', 'assistant'", lambda i: True)):
+        long_conversation(spark, 1000, roles).collect()
+        seconds = []
+        for turns in (25_000, 100_000):
+            start = time.perf_counter()
+            [row] = long_conversation(spark, turns, roles).collect()
+            seconds.append(time.perf_counter() - start)
+            said = "".join(f"[INST] turn {i} é </s>" for i in range(turns) if trained(i))
+            assert tuple(row) == (turns, turns, sha256(said.encode()).hexdigest())
+        assert seconds[1] < 8 * seconds[0] + 2  # four times the turns: sixteen times if it were quadratic
+
+
+def test_no_python_worker_and_one_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, "user", "a", "b")], SCHEMA)
+    plan = chat.format_conversations(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
