@@ -188,11 +188,11 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     spark = docs.sparkSession
     rows = docs.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_column), F.col(text)).alias("place"))
-    # One row for each language; the texts must not be shuffled by so few keys.
-    totals = spark.createDataFrame(
-        [(r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()], "lang string, n long")
-    sample = rows.join(totals, "lang").where(
-        F.pmod("place", F.lit(1 << 30)) < F.lit(sample_documents) / F.col("n") * (1 << 30)).select("lang", "text")
+    # A count for each language, which the plan has as literals: texts are not shuffled by so few keys.
+    totals = [x for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect() for x in (r.lang, r.n)]
+    n = F.create_map(*map(F.lit, totals))[F.col("lang")] if totals else F.lit(1)
+    sample = rows.where(
+        F.pmod("place", F.lit(1 << 30)) < F.lit(sample_documents) / n * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, sums = Grams(), {}

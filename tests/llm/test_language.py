@@ -88,3 +88,21 @@ def test_a_larger_set_is_found_behind_a_worse_one():
     words = np.random.default_rng(738194061).choice([0, -1, -2, -4], (20, 5)).astype(np.float32)
     share, worth = language.mixtures(words, np.array([0]))
     assert (share[0] > 0.1).sum() == 4 and worth[0] > -22
+
+
+def test_learning_moves_no_texts(spark, monkeypatch):
+    """Shares of languages are literals: the sample is a filter on the scan."""
+    plans = []
+    docs = spark.createDataFrame([(i, "text und so", lang) for i, lang in enumerate(["a", "b", None] * 20)], "doc_id long, text string, lang string")
+    cls = type(docs)
+    inner = cls.mapInArrow
+
+    def seen(self, *args, **options):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return inner(self, *args, **options)
+
+    monkeypatch.setattr(cls, "mapInArrow", seen)
+    language.learn(docs, F.lit(True))
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Join" not in plans[0]
+    nothing = language.learn(docs.where("lang IS NULL"), F.lit(True))
+    assert language.load(nothing).languages == []
