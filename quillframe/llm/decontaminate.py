@@ -72,8 +72,10 @@ class Block:
                 windows.setdefault(tuple(ids[p:p + size]), []).append((item, first + p))
         self.numbers = np.array(numbers, np.int32)
         self.items = [sorted({i for i, _ in owners}) for owners in windows.values()]
-        self.owners = np.array([len(o) for o in windows.values()], np.int64)
-        self.places = np.array([p for o in windows.values() for _, p in o], np.int64)
+        self.ends = np.flatnonzero(self.numbers == 0)
+        owners = [np.unique(np.searchsorted(self.ends, [p for _, p in o])) for o in windows.values()]
+        self.owners = np.array([len(o) for o in owners], np.int64)
+        self.texts = np.concatenate([np.zeros(0, np.int64), *owners])
         self.begins = np.cumsum(self.owners) - self.owners
         self.sizes = np.array([len(w) for w in windows], np.int64)
         self.words = np.zeros((len(windows), window), np.int32)
@@ -81,6 +83,13 @@ class Block:
             row[:len(w)] = w
         self.depth = max([len(w) for _, w in items], default=0)
 
+    def texts_with(self, rows: np.ndarray) -> np.ndarray:
+        """Numbers of the words of all texts that have one of these windows, a 0 before each."""
+        each = self.owners[rows]
+        at = np.arange(each.sum()) + np.repeat(self.begins[rows] - (np.cumsum(each) - each), each)
+        texts = np.unique(self.texts[at])
+        return np.concatenate([np.zeros(0, np.int32), *(self.numbers[self.ends[t - 1]:self.ends[t]] for t in texts.tolist())])
+
 
 def _blocks(store: fs.FileSystem, path: str, window: int, block_words: int) -> Iterator[Block]:
     """The stored benchmark texts, a bounded number of words at a time."""
@@ -115,6 +124,44 @@ def suffix_array(numbers: np.ndarray, depth: int) -> np.ndarray:
             return np.argsort(rank, kind="stable")
 
 
+def longest_common(texts: np.ndarray, starts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For every start in ``texts``, how far the longest match in ``others`` goes.
+
+    Zeros match nothing. Both are sorted as one suffix array by prefix doubling;
+    the longest match of a suffix is with the nearest of ``others`` before or
+    after it. How far two suffixes agree is read off the ranks of all doublings,
+    from the longest step down, so time and memory grow with the words and not
+    with the pairs that match.
+    """
+    joint = np.concatenate([texts, np.zeros(1, texts.dtype), others, np.zeros(1, texts.dtype)]).astype(np.int64)
+    zero = np.flatnonzero(joint == 0)
+    joint[zero] = joint.max(initial=0) + 1 + np.arange(len(zero))
+    ranks, step = [np.unique(joint, return_inverse=True)[1]], 1
+    while ranks[-1].max(initial=0) + 1 < len(joint) and step < len(joint):
+        follow = np.zeros(len(joint), np.int64)
+        follow[:-step] = ranks[-1][step:] + 1
+        ranks.append(np.unique(ranks[-1] * (len(joint) + 1) + follow, return_inverse=True)[1])
+        step *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    other = order > len(texts)
+    before = np.maximum.accumulate(np.where(other, np.arange(len(order)), -1))
+    after = np.minimum.accumulate(np.where(other, np.arange(len(order)), len(order))[::-1])[::-1]
+    longest = np.zeros(len(starts), np.int64)
+    for near in (before[place[starts]], after[place[starts]]):
+        found = (near >= 0) & (near < len(order))
+        a, b = starts[found], order[near[found]]
+        begin = a.copy()
+        for level in range(len(ranks) - 1, -1, -1):
+            inside = (a < len(joint)) & (b < len(joint))
+            same = np.zeros(len(a), bool)
+            same[inside] = ranks[level][a[inside]] == ranks[level][b[inside]]
+            a, b = a + (same << level), b + (same << level)
+        longest[found] = np.maximum(longest[found], a - begin)
+    return longest
+
+
 def _edge(numbers: np.ndarray, order: np.ndarray, block: Block, rows: np.ndarray, upper: bool) -> np.ndarray:
     """For every window the first place in ``order`` not before it, or after all that begin with it."""
     low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(order), np.int64)
@@ -202,22 +249,11 @@ class Shard:
         doc = np.searchsorted(self.first, place, side="right") - 1
         for d, w in np.unique(np.stack([doc, row], axis=1), axis=0).tolist():
             self.items[d].update(block.items[w])
-        self._follow(runs, at, row, doc, block)
-
-    def _follow(self, runs, at, row, doc, block: Block) -> None:
-        """Lengthens every occurrence as far as the benchmark text goes on with it."""
-        each = block.owners[row]
-        there = block.places[np.arange(each.sum()) + np.repeat(block.begins[row] - (np.cumsum(each) - each), each)]
-        here, doc, length = np.repeat(at, each), np.repeat(doc, each), np.repeat(block.sizes[row], each)
-        live = np.arange(len(here))
-        while live.size:
-            a, b = here[live] + length[live], there[live] + length[live]
-            inside = (a < len(runs)) & (b < len(block.numbers))
-            same = inside.copy()
-            same[inside] = (runs[a[inside]] == block.numbers[b[inside]]) & (runs[a[inside]] != 0)
-            live = live[same]
-            length[live] += 1
-        np.maximum.at(self.longest, doc, length)
+        # a short text ends with its window; others go on, and match on from there
+        size = block.sizes[row]
+        full = size == block.words.shape[1]
+        size[full] = longest_common(runs, at[full], block.texts_with(np.unique(row[full])))
+        np.maximum.at(self.longest, doc, size)
 
     def columns(self, one_in: int) -> list[pa.Array]:
         hits = self.hits if self.hits is not None else np.zeros(0, bool)

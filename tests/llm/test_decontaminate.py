@@ -79,3 +79,41 @@ def test_words_across_pieces(monkeypatch):
     monkeypatch.setattr(dc, "PIECE_BYTES", 7)
     text = ("aé" * 2600 + " Bc d-1 " + "x" * 5000).encode() * 3
     assert [w.decode() for part in dc.words_of(text) for w in part] == words(text.decode())
+
+
+def found_in(text, items):
+    block, shard = dc.Block([(i, t.encode().split()) for i, t in items], 13), dc.Shard([text.encode()])
+    shard.search(block)
+    n_words, n_hit, names, longest, spans, _ = (c.to_pylist()[0] for c in shard.columns(20))
+    return n_words, n_hit, names, longest, [(s["start"], s["length"]) for s in spans]
+
+
+def test_one_word_again_and_again():
+    """Occurrences times places would be a thousand million pairs."""
+    assert found_in("the " * 200_000, [("a", "the " * 5000), ("b", "the " * 14 + "end")]) == (200_000, 200_000, ["a", "b"], 5000, [(0, 200_000)])
+    text = " ".join(["a b c"] * 30_000)
+    assert found_in(text, [("x", " ".join(["b c a"] * 2000))]) == (90_000, 89_998, ["x"], 6000, [(1, 89_998)])
+
+
+def test_many_items_that_share_a_window():
+    shared = " ".join(f"s{i}" for i in range(15))
+    items = [(f"i{n:05d}", f"{shared} own{n} words{n}") for n in range(10_000)]
+    n_words, n_hit, names, longest, spans = found_in(f"before {shared} own77 other {shared}", items)
+    assert (n_words, n_hit, longest, spans) == (33, 31, 16, [(1, 16), (18, 15)]) and names == [i for i, _ in items]
+
+
+def test_longest_common_of_random_numbers():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = (rng.integers(0, 3, rng.integers(1, 40)) for _ in range(2))
+        starts = np.arange(len(a))
+        want = []
+        for i in starts:
+            best = 0
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] != 0:
+                    k += 1
+                best = max(best, k)
+            want.append(best)
+        assert dc.longest_common(a, starts, b).tolist() == want
