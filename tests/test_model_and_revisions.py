@@ -1,4 +1,7 @@
 import json
+import os
+import threading
+import time
 from collections import Counter
 
 import pytest
@@ -55,6 +58,83 @@ def test_raising_and_short_replies_are_failures(spark):
         assert {tuple(r) for r in rows(results, "attempts", "status", "error")} == {(2, "failed", error)}
 
 
+def failing_model(folder, fails):
+    """Fails so many times per prompt, counting calls in files as a hosted model would."""
+    def make():
+        def complete(batch):
+            out = []
+            for p in batch:
+                log = os.path.join(folder, p)
+                with open(log, "a") as f:
+                    f.write("x")
+                out.append(ValueError("busy") if os.path.getsize(log) <= fails.get(p, 0) else p.upper())
+            return out
+        return complete
+    return make
+
+
+def calls(folder):
+    return {name: os.path.getsize(os.path.join(folder, name)) for name in os.listdir(folder)}
+
+
+def test_no_task_waits_between_rounds(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    make, waits = failing_model(str(tmp_path / "calls"), {"b": 1, "c": 3, "d": 99}), []
+
+    def wait(seconds):
+        assert spark.sparkContext.statusTracker().getActiveStageIds() == []  # all slots are free
+        waits.append(seconds)
+
+    asked = prompts(spark, "a", "b", "c", "d", "a")
+    results = completion.complete_in_rounds(asked, make, str(tmp_path / "replies"), max_retries=4, backoff=5, wait=wait, call_size=2, in_flight=3)
+    assert waits == [5, 10, 15, 20]
+    assert by_text(asked, results) == [
+        ("a", "A", 1, "completed", None), ("a", "A", 1, "completed", None), ("b", "B", 2, "completed", None),
+        ("c", "C", 4, "completed", None), ("d", None, 5, "failed", "busy")]
+    assert calls(tmp_path / "calls") == {"a": 1, "b": 2, "c": 4, "d": 5}
+    # a later run sends what failed for good anew, and nothing else
+    completion.complete_in_rounds(asked, make, str(tmp_path / "replies"), max_retries=0, backoff=5, wait=wait).count()
+    assert calls(tmp_path / "calls") == {"a": 1, "b": 2, "c": 4, "d": 6} and len(waits) == 4
+
+
+def test_a_killed_run_goes_on_with_its_round(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    make, root = failing_model(str(tmp_path / "calls"), {"b": 3, "c": 99}), str(tmp_path / "replies")
+
+    def killed(seconds):
+        if seconds == 2:
+            raise KeyboardInterrupt
+
+    asked = prompts(spark, "a", "b", "c")
+    with pytest.raises(KeyboardInterrupt):
+        completion.complete_in_rounds(asked, make, root, max_retries=4, backoff=1, wait=killed)
+    assert calls(tmp_path / "calls") == {"a": 1, "b": 2, "c": 2}
+    waits = []
+    results = completion.complete_in_rounds(asked, make, root, max_retries=4, backoff=1, wait=waits.append)
+    assert waits == [3, 4] and calls(tmp_path / "calls") == {"a": 1, "b": 4, "c": 5}
+    assert by_text(asked, results) == [
+        ("a", "A", 1, "completed", None), ("b", "B", 4, "completed", None), ("c", None, 5, "failed", "busy")]
+
+
+def test_calls_under_way_are_bounded_and_in_order():
+    running, most, lock = [0], [0], threading.Lock()
+
+    def work(n):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.01)
+        with lock:
+            running[0] -= 1
+        return n * n
+
+    for limit in (1, 3):
+        most[0] = 0
+        assert list(completion._side_by_side(work, iter(range(12)), limit)) == [n * n for n in range(12)]
+        assert most[0] <= limit
+    assert most[0] == 3
+
+
 def test_post_processor(spark):
     contents = {1: "` ``py\nx", 2: "", 3: "# t\nok\n"}
     data = [(k, json.dumps({"new_file_content": v})) for k, v in contents.items()] + [(4, "{not json"), (5, "{}")]
