@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillframe.llm import bpe, decontaminate, language, minhash, quality
-from quillframe.llm.queries import BATCH_BYTES, PREDICTED_FROM, TOKENIZER, language_model, quality_model, table
+from quillframe.llm.queries import PREDICTED_FROM, TOKENIZER, language_model, quality_model, table
 from quillframe.scratch import written
 from quillframe.session import bound_batches
 
+#: Python workers go from stage to stage and keep what memory the largest batch took,
+#: so texts travel in smaller batches here than in a query of one operator.
+BATCH_BYTES = 6 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a text, go."""
