@@ -49,11 +49,10 @@ def test_few_or_no_vectors_and_no_queries(spark, tmp_path):
     queries = query_rows(spark, matrix[:2])
     for name, vectors in {"few": vector_rows(spark, matrix, [(90, [1.0])]), "none": vector_rows(spark, matrix).where("false"),
                           "odd": vector_rows(spark, [], [(1, []), (2, None)]), "zero": vector_rows(spark, np.zeros((3, 8)))}.items():
-        for metric in ("l2", "cosine"):
+        for metric, size in (("l2", {}), ("cosine", {"max_shared_bytes": 0})):
             index = mi.write_index(vectors, str(tmp_path / name / metric), metric)
-            for size in ({}, {"max_shared_bytes": 0}):
-                assert repr(rows(mi.nearest_indexed(queries, index, 7, **size), *ROWS)) == repr(rows(search.nearest(queries, vectors, 7, metric), *ROWS))
-                assert mi.nearest_indexed(queries.where("false"), index, 7, **size).count() == 0
+            assert repr(rows(mi.nearest_indexed(queries, index, 7, **size), *ROWS)) == repr(rows(search.nearest(queries, vectors, 7, metric), *ROWS))
+            assert mi.nearest_indexed(queries.where("false"), index, 7, **size).count() == 0
     with pytest.raises(ValueError):
         mi.write_index(queries.withColumnRenamed("query_id", "id"), str(tmp_path / "x"), "dot")
 
