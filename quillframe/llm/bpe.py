@@ -21,14 +21,56 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-#: Words whose ids a worker remembers; the older half is dropped beyond it.
-CACHE_WORDS = 200_000
+#: Words and parts of words whose ids a worker remembers; the older half is dropped beyond it.
+CACHE_WORDS = 300_000
 #: Result bytes after which a task passes a batch on.
 BATCH_BYTES = 16 << 20
 
 #: Characters that ``str.split`` takes for white space and the pattern does not.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 
+# What the library's tables have beyond Unicode 15.1, as first and last
+# code points. Found by splitting every single code point with \p{L} and \p{N} and
+# lower-casing it.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+    (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+    (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+]
+#: Capitals as first, last and the first one's small letter.
+NEWER_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+# Marks, and one vowel sign, that the library's NFC doesn't know. It neither
+# moves them nor joins anything across them.
+UNMOVED = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C),
+    (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27),
+    (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070),
+    (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E),
+    (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99),
+    (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+_UNMOVED = regex.compile("([" + "".join(f"{chr(first)}-{chr(last)}" for first, last in UNMOVED) + "])")
+_NEWER_SMALL = {c: small + c - first for first, last, small in NEWER_CAPITALS for c in range(first, last + 1)}
+
+
+def _known(c: str) -> str:
+    """A character of the library's class of ``c``: itself, or a letter, number or sign for one Python doesn't know."""
+    if unicodedata.category(c) != "Cn":
+        return c
+    within = lambda runs: any(first <= ord(c) <= last for first, last in runs)
+    return "a" if within(NEWER_LETTERS) else "0" if within(NEWER_NUMBERS) else "\ue000"
+
 
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself if printable, else from 256 on."""
@@ -96,7 +138,6 @@ class Tokenizer:
         characters = byte_characters()
         self._ids = [v[c] for c in characters]
         self._last_ids = [v[c + self.suffix] for c in characters]
-        self._pieces = _Words(self._piece, cache_words // 2)
         self._words = _Words(self._word, cache_words)
 
     def encode(self, text: str) -> bytes:
@@ -115,7 +156,8 @@ class Tokenizer:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            if not unicodedata.is_normalized("NFC", text):
+                text = "".join(unicodedata.normalize("NFC", part) for part in _UNMOVED.split(text))
             # lower-cased one by one: a final sigma isn't treated apart
             text = text.replace("Σ", "σ")
         text = text.lower()
@@ -125,11 +167,14 @@ class Tokenizer:
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
-            return self._pieces[word]  # one match of the pattern
-        # Letters that this Python doesn't know yet are signs here.
-        known = word if word.isascii() else "".join(
-            "\ue000" if unicodedata.category(c) == "Cn" else c for c in word)
-        return b"".join([self._pieces[word[m.start():m.end()]] for m in self._pattern.finditer(known)])
+            return self._piece(word)  # one match of the pattern
+        known = word
+        if not word.isascii():
+            word = word.translate(_NEWER_SMALL)
+            known = "".join(map(_known, word))
+        parts = [word[m.start():m.end()] for m in self._pattern.finditer(known)]
+        # a part that is split again stays whole, so words and parts share one memory
+        return self._piece(word) if len(parts) == 1 else b"".join(map(self._words.__getitem__, parts))
 
     def _piece(self, piece: str) -> bytes:
         ids = self._merged(piece)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +38,27 @@ def test_any_text_as_the_library(text):
     assert (np.frombuffer(ids, "<u4").tolist(), OWN.decode(ids)) == library(text)
 
 
+def packed(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("form", ["{}", "a{}b"])
+def test_every_code_point_as_the_library(form):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [form.format(chr(c)) for c in points]
+    assert [hex(c) for c, t, want in zip(points, texts, LIBRARY.encode_batch(texts, add_special_tokens=False))
+            if OWN.encode(t) != packed(want.ids)] == []
+
+
+def test_newer_letters_and_unknown_marks_in_words():
+    rng = random.Random(5)
+    runs = [*bpe.NEWER_LETTERS, *bpe.NEWER_NUMBERS, *(r[:2] for r in bpe.NEWER_CAPITALS), *bpe.UNMOVED]
+    pool = [c for r in runs for c in r] + [ord(c) for c in "a'sreltmv1 !éΣς\u0301\u0316\u0345\u0338İ\U00011935"]
+    for _ in range(20_000):
+        text = "".join(chr(rng.choice(pool)) for _ in range(rng.randrange(1, 9)))
+        assert OWN.encode(text) == packed(LIBRARY.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
 def test_columns_and_edge_rows(spark):
     df = spark.createDataFrame(
         [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "again", "c"), (None, "again", "c")],
