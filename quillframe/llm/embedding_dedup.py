@@ -45,18 +45,16 @@ def _planes(width: int, bits: int, tables: int) -> np.ndarray:
         width, tables, MOST_BITS)[:, :, :bits].reshape(width, tables * bits)
 
 
-_CLASSES = pa.schema([("unit", pa.binary()), ("width", pa.int32()), ("keys", pa.list_(pa.int32()))])
-
-
 def _keyed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """Adds the unit vector's bytes, its width and its key in each table."""
-    schema = "id long, label string, n long, unit binary, width int, keys array<int>"
+    """Adds the unit vector's bytes, its width and its key in each table, drops the vector."""
+    passed = ["least", "x", "y", "label", "n"]
+    schema = "least long, x long, y long, label string, n long, unit binary, width int, keys array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         powers = (1 << np.arange(bits)).astype(np.int64)
         for batch in batches:
-            values = batch.column(3)
+            values = batch.column(len(passed))
             sizes = np.diff(values.offsets.to_numpy())
             flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             begin = np.cumsum(sizes) - sizes
@@ -73,11 +71,11 @@ def _keyed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 for r, unit, key in zip(rows, x, own):
                     units[r], keys[r] = unit.tobytes(), key
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(units, pa.binary()),
+                [*batch.columns[:len(passed)], pa.array(units, pa.binary()),
                  pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int32()))],
-                names=["id", "label", "n", "unit", "width", "keys"])
+                names=[*passed, "unit", "width", "keys"])
 
-    return classes.select("id", "label", "n", "vector").mapInArrow(run, schema)
+    return classes.select(*passed, "vector").mapInArrow(run, schema)
 
 
 def _compared(buckets: DataFrame, least_cosine: float) -> DataFrame:
@@ -170,7 +168,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     table gives no rows.
 
     Pairs just at the threshold are missed with a chance of ``missed`` at most.
-    Equal vectors are one row until the end; they aren't expanded into pairs.
+    Equal vectors, by 128 bits, are one row until the end; they aren't expanded into pairs.
     Buckets are cut into blocks of bounded size and every two blocks meet, so a
     bucket's rows are neither capped nor gathered.
     """
@@ -187,16 +185,16 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
         F.xxhash64("label", "vector").alias("x"), F.xxhash64(F.lit(1), "vector", "label").alias("y")))
     marked = written(rows.withColumn("digest", digest), "vectors")
     classes = marked.where("digest is not null").groupBy("digest").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("n"),
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("n"),
         F.first("label").alias("label"), F.first("vector").alias("vector"))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = table_shape(largest, least_cosine, missed)
 
-    # an id may stand for several vectors: classes have numbers of their own
-    named = classes.select(
-        F.col("id").alias("least"), F.col("digest.x").alias("id"), "digest", "n", "label", "vector")
-    keyed = written(_keyed(named, bits, tables), "vector-keys")
-    bands = keyed.select("*", F.posexplode("keys").alias("table", "key"))
+    # an id may stand for several vectors: classes have numbers of their own, which the written table fixes
+    keyed = written(
+        _keyed(classes.select("least", "digest.*", "label", "n", "vector"), bits, tables)
+        .withColumn("id", F.monotonically_increasing_id()), "vector-keys")
+    bands = keyed.select("label", "width", "id", "n", "unit", "keys", F.posexplode("keys").alias("table", "key"))
     bucket = ["label", "table", "width", "key"]
     sizes = bands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
@@ -211,7 +209,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     found = written(_compared(dealt, least_cosine), "vector-links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     # from classes to ids: all members of a class share its links and each other
-    ids = named.select("id", "digest", "least", "n")
+    ids = keyed.select("id", F.struct("x", "y").alias("digest"), "least", "n")
     per_class = ids.join(linked, "id", "left").select(
         "digest", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     least = ids.select("id", "least")
