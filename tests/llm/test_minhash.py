@@ -118,6 +118,39 @@ def test_registers_estimate_similarity():
     assert 0 < estimate.chance[5] < 0.002
 
 
+def found_pairs(pairs, shingles, seed, least=0.8, most=0.82):
+    """Of planted pairs with a similarity in that range: how many share a band and pass the estimate."""
+    rng = np.random.default_rng(seed)
+    estimate, banded, passed = minhash.Estimator(80), 0, 0
+    for _ in range(pairs):
+        share = rng.uniform(least, most)
+        both = int(np.ceil(2 * shingles * share / (1 + share)))
+        own = rng.integers(0, 2**63, 2 * shingles - both).astype(np.uint64)
+        a, b = own[:shingles], np.concatenate([own[:both], own[shingles:]])
+        c = minhash.size_classes(shingles, 80)[-1]
+        x, y = minhash.registers(a, c)[None], minhash.registers(b, c)[None]
+        banded += minhash._share_bands(x, y, minhash.BANDS)[0]
+        passed += estimate.similar(x, y, np.array([c]))[0]
+    return banded, passed
+
+
+@pytest.mark.parametrize("shingles", [40, 300, 2500])
+def test_planted_pairs_at_the_threshold_are_found(shingles):
+    assert found_pairs(1500, shingles, shingles) == (1500, 1500)
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        for _ in range(5):
+            base[rng.randrange(300)] = f"n{rng.random()}"
+        rows.append(((i * 37) % 60, " ".join(base)))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found(spark, rows)} == brute(rows, 5)
+
+
 def test_similar_sizes_share_a_class():
     for n in range(1, 6000):
         for m in range(-(-n * 4 // 5), n + 1):
