@@ -38,6 +38,8 @@ HEADLINE = {
     "change_reports": "agg3_folder_change_reports",
     "prompts": "scl9_prompt_columns",
     "source_scan": "src1_scan_source_tree",
+    "whole_run": "run_first",
+    "resumed_run": "run_second",
 }
 
 

@@ -126,6 +126,16 @@ def ignore_rules(spark, sf) -> DataFrame:
     return per_host.select("rule.*").distinct()
 
 
+def ruled_files(spark, sf) -> DataFrame:
+    """Pages as files with rule files in hosts and in their English folders."""
+    rules = page_files(spark, sf).select(paths.parent(F.col("path")).alias("folder")).where(
+        F.col("folder").endswith("/en")).select(
+        F.concat("folder", F.lit("/.gitignore")).alias("path"), F.lit("[0-4]*\r\n#[5-9]*\r\n").alias("content")).distinct()
+    hosts_own = hosts(spark, sf).select(
+        F.concat("host", F.lit("/.gitignore")).alias("path"), F.lit("  es/ \n\n/de\n").alias("content"))
+    return page_files(spark, sf).select("path", F.lit("").alias("content")).unionByName(rules).unionByName(hosts_own)
+
+
 def code_files(spark, sf) -> DataFrame:
     """One module per part; the modules of one brand do not parse."""
     content = F.lit(MODULE)

@@ -202,6 +202,9 @@ def _bodies() -> dict[str, str]:
         "snk4_vector_collection": """
             SELECT id, document, file_path, file_type, round(list_sum(embedding), 6) AS embedding_sum,
                    {tokens} AS tokens FROM vectors""".replace("{tokens}", TOKENS.format("document")),
+        "snk4_class_vectors": """
+            SELECT path || '::' || class_name AS id, docstring AS document, path AS file_path, class_name, 'class' AS file_type,
+                   {tokens} AS tokens FROM code_classes WHERE docstring <> ''""".replace("{tokens}", TOKENS.format("docstring")),
         "snk5_keep_history": f"""
             SELECT doc_id::VARCHAR AS path, old AS content, strftime(TIMESTAMP '{HISTORY_TIME}', '%Y%m%d%H%M%S') AS stamp
             FROM revisions WHERE old <> new""",
@@ -285,6 +288,17 @@ def _bodies() -> dict[str, str]:
             SELECT folder AS path, depth::INT AS depth, repeat('  ', depth::INT) || split_part(folder, '/', -1) || '/' AS line FROM all_folders
             UNION ALL
             SELECT path, len(parts)::INT, repeat('  ', len(parts)::INT) || name FROM page_parts""",
+        "agg7_ignored_tree": """
+            SELECT path, is_folder, depth::INT AS depth,
+                   repeat('  ', depth::INT) || CASE WHEN path = '' THEN 'pages' ELSE name END || CASE WHEN is_folder THEN '/' ELSE '' END AS line
+            FROM (
+                SELECT *, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth, split_part(path, '/', -1) AS name FROM (
+                    SELECT folder AS path, true AS is_folder FROM all_folders
+                    UNION ALL SELECT path, false FROM page_parts WHERE NOT (lang = 'en' AND regexp_matches(name, '^[0-4]'))
+                    UNION ALL SELECT DISTINCT host || '/.gitignore', false FROM page_parts
+                    UNION ALL SELECT DISTINCT folder || '/.gitignore', false FROM page_chain WHERE folder LIKE '%/en' AND depth = n - 1))
+            WHERE split_part(path, '/', 2) <> 'es' AND NOT (starts_with(path, 'blog.') AND split_part(path, '/', 2) = 'en')
+              AND (is_folder OR regexp_extract(name, '^.+([.][^.]+)$', 1) <> '.htm')""",
         "agg8_run_counters": """
             SELECT (SELECT count(*) FROM doc_files) AS found, (SELECT count(*) FROM changed) AS changed,
                    (SELECT count(*) FROM doc_files) - (SELECT count(*) FROM changed) AS unchanged, 0::BIGINT AS failed""",

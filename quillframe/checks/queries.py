@@ -16,7 +16,7 @@ from quillframe.operators import (
     changes, code, completion, embedding, folders, ignore, metric_index, ordering, packing, postprocess,
     reports, revisions, search, vectors as vec,
 )
-from quillframe.plans import describe, retrieval, run
+from quillframe.plans import describe, project_tree, retrieval, run
 from quillframe.scratch import scratch_path, written
 from quillframe.sources import source_tree, state, storage
 from quillframe.streaming import manifest_state
@@ -98,6 +98,19 @@ def vector_collection(spark, sf) -> DataFrame:
     )
 
 
+def class_vectors(spark, sf) -> DataFrame:
+    """Class summaries stored twice as vectors of their own: nothing is stored twice."""
+    name = f"classes_{uuid.uuid4().hex}"
+    storage.get_or_create_collection(spark, name, scratch_path(spark, "class-collection"))
+    classes = code.class_parents(_parsed(spark, sf)).select("path", "class_name", F.col("docstring").alias("summary"))
+    rows = written(describe.class_vector_rows(classes, {"file_type": "class"}), "class-rows")
+    for _ in range(2):
+        describe.store_vectors(rows, name, "classes", embeddings=scratch_path(spark, "class-embeddings"))
+    tag = F.col("metadata").getItem
+    return spark.table(name).select(
+        "id", "document", tag("file_path").alias("file_path"), tag("class_name").alias("class_name"), "file_type", "tokens")
+
+
 def keep_history(spark, sf) -> DataFrame:
     root = scratch_path(spark, "history")
     prior = fx.revisions(spark, sf).where(F.col("old") != F.col("new"))
@@ -290,6 +303,13 @@ def directory_listing(spark, sf) -> DataFrame:
     return folders.tree_lines(fx.page_files(spark, sf).select("path"))
 
 
+def ignored_tree(spark, sf) -> DataFrame:
+    """The tree under its own rules, without the English folders of blogs and without one suffix."""
+    blogs = fx.hosts(spark, sf).where(F.col("host").startswith("blog.")).select(
+        F.concat(F.lit("./"), "host", F.lit("//en/")).alias("folder"))
+    return project_tree.project_tree(fx.ruled_files(spark, sf), blogs, [".htm"], root_name="pages")
+
+
 def run_counters(spark, sf) -> DataFrame:
     return changes.run_counters(changes.fingerprints(fx.doc_files(spark, sf)), fx.manifest(spark, sf))
 
@@ -598,6 +618,7 @@ QUERIES = {
     "snk2_save_summaries": save_summaries,
     "snk3_save_descriptions": save_descriptions,
     "snk4_vector_collection": vector_collection,
+    "snk4_class_vectors": class_vectors,
     "snk5_keep_history": keep_history,
     "flt1_suffix_filter": suffix_filter,
     "flt2_hidden_folder_filter": hidden_folder_filter,
@@ -632,6 +653,7 @@ QUERIES = {
     "agg6_import_query_text": import_query_text,
     "agg7_directory_rollup": directory_rollup,
     "agg7_directory_listing": directory_listing,
+    "agg7_ignored_tree": ignored_tree,
     "agg8_run_counters": run_counters,
     "agg9_packed_context": packed_context,
     "win1_token_budget_packing": token_budget_packing,

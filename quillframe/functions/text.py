@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Results must equal these.
@@ -88,6 +91,26 @@ def token_count(text: Column, pattern: str | None = None) -> Column:
     return F.length(rest).cast("bigint")
 
 
+def token_counter(make_count: Callable) -> Callable[[Column], Column]:
+    """Counts as a model's vocabulary has them, as a column function.
+
+    ``make_count`` runs once per Python worker and returns ``count(text) -> int``.
+    Each distinct text of an Arrow batch is counted once, nothing is shuffled; a
+    null text has a null count.
+    """
+    held: list = []
+
+    @F.pandas_udf("bigint")
+    def counted(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(make_count())
+        codes, distinct = texts.factorize()
+        counts = pd.Series([held[0](t) for t in distinct], dtype="Int64")
+        return counts.reindex(codes).reset_index(drop=True)  # code -1 is a null text
+
+    return counted
+
+
 def decision(answer: Column) -> Column:
     word = F.lower(strip(answer))
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(

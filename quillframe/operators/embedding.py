@@ -10,11 +10,14 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from quillframe.scratch import written
 from quillframe.session import bound_batches
+from quillframe.sources import storage
 from quillframe.spreading import spread
 
 BATCH_SIZE = 128
 WIDTH = 64
+STORED = "digest string, embedding array<float>"
 
 
 def hashed_words(width: int = WIDTH) -> Callable:
@@ -69,6 +72,31 @@ def with_embedding(df: DataFrame, text: str = "document", make_predict: Callable
     return spread(df).withColumn("embedding", embedder(make_predict)(F.coalesce(F.col(text), F.lit(""))))
 
 
-def embed_distinct(df: DataFrame, text: str, make_predict: Callable | None = None) -> DataFrame:
-    """(text, embedding), each distinct text embedded once."""
-    return with_embedding(df.select(text).distinct(), text, make_predict)
+def embed_distinct(df: DataFrame, text: str, make_predict: Callable | None = None, root: str | None = None) -> DataFrame:
+    """(text, embedding), each distinct text embedded once, and once for all runs with a store at ``root``."""
+    return stored_or_new(df.select(text).distinct(), root, text, make_predict)
+
+
+def with_stored_embedding(df: DataFrame, root: str, text: str = "document", make_predict: Callable | None = None) -> DataFrame:
+    """``with_embedding`` that asks the model for texts whose embedding ``root`` doesn't hold.
+
+    What is new is appended there by content hash before anything is made of it,
+    so neither a later run nor the repeat of a failed one pays for it again. One
+    folder belongs to one model. Equal texts are one call; null texts count as
+    empty. Texts meet stored embeddings by their digests and aren't shuffled but
+    for those that are new.
+    """
+    spark = df.sparkSession
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    stored = storage.load_log(spark, root, STORED, "digest", "embedding")
+    wanted = df.select(digest.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    missing = written(wanted.join(stored.select("digest"), "digest", "left_anti").dropDuplicates(["digest"]), "to-embed")
+    if not missing.isEmpty():
+        storage.save_version(with_embedding(missing, "text", make_predict).select("digest", "embedding"), root)
+    kept = storage.load_log(spark, root, STORED, "digest", "embedding").withColumnRenamed("digest", "_digest")
+    return df.join(kept, digest == F.col("_digest")).drop("_digest")
+
+
+def stored_or_new(df: DataFrame, root: str | None, text: str, make_predict: Callable | None = None) -> DataFrame:
+    """Adds ``embedding``, through the store at ``root`` if there is one."""
+    return with_stored_embedding(df, root, text, make_predict) if root else with_embedding(df, text, make_predict)

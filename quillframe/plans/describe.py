@@ -60,15 +60,32 @@ def vector_rows(fresh: DataFrame, out_dir: str, tags: dict[str, str]) -> DataFra
     )
 
 
-def store_vectors(rows: DataFrame, collection: str, batch: str, make_predict: Callable | None = None) -> DataFrame:
+def class_vector_rows(summaries: DataFrame, tags: dict[str, str] | None = None) -> DataFrame:
+    """(id, document, metadata) of class summaries (path, class_name, summary).
+
+    The id joins path and class. A class without a summary has no row; of a class
+    that occurs again in a file the first summary by text counts.
+    """
+    pairs = [F.lit("file_path"), F.col("path"), F.lit("class_name"), F.col("class_name")]
+    pairs += [F.lit(part) for pair in (tags or {}).items() for part in pair]
+    return (
+        summaries.where(F.col("summary") != "").groupBy("path", "class_name").agg(F.min("summary").alias("document"))
+        .select(prompts.composite_id(F.col("path"), F.col("class_name")).alias("id"), "document",
+                F.create_map(*pairs).alias("metadata"))
+    )
+
+
+def store_vectors(rows: DataFrame, collection: str, batch: str, make_predict: Callable | None = None,
+                  embeddings: str | None = None) -> DataFrame:
     """Embed and add a batch if it passes validation; returns the verdict.
 
     A rejected batch is left out as a whole. Ids already stored stay as they are.
+    ``embeddings`` is the folder of a store of embeddings.
     """
     verdict = vectors.batch_verdicts(rows.withColumn("batch", F.lit(batch))).first()
     if verdict is not None and verdict.accepted:
         stored = rows.sparkSession.table(collection)
-        fresh = embedding.with_embedding(vectors.absent_only(rows, stored), "document", make_predict)
+        fresh = embedding.stored_or_new(vectors.absent_only(rows, stored), embeddings, "document", make_predict)
         ready = fresh.withColumn("file_type", F.col("metadata")["file_type"]).withColumn(
             "tokens", token_count(F.col("document"))
         )

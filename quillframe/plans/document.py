@@ -20,10 +20,11 @@ def document_prompts(
     descriptions: DataFrame,
     package: str,
     make_predict: Callable | None = None,
+    embeddings: str | None = None,
 ) -> DataFrame:
     """(path, prompt): retrieved context and description, then the escaped code."""
     parsed = written(code.parse_modules(files), "parsed")
-    contexts = import_contexts(parsed, files, vectors, package, make_predict)
+    contexts = import_contexts(parsed, files, vectors, package, make_predict, embeddings=embeddings)
     described = files.select("path", "content").join(descriptions, "path", "left")
     joined = described.join(contexts.select("path", "context"), "path", "left")
     section = prompts.context_section(F.col("context"), F.col("description"))

@@ -42,10 +42,17 @@ def retrieved_context(queries: DataFrame, vectors: DataFrame, k: int = search.DE
     )
 
 
-def hit_lists(ranked: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, hits): at most k documents per query with their running tokens."""
+def hit_lists(ranked: DataFrame, vectors: DataFrame, budgets: DataFrame | None = None) -> DataFrame:
+    """(query_id, hits): at most k documents per query with their running tokens.
+
+    With ``budgets`` (query_id, budget), hits that no file sharing the query has
+    room for are left out before their documents are attached.
+    """
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     summed = ranked.withColumn("running", F.sum("tokens").over(running))
+    if budgets is not None:
+        most = budgets.groupBy("query_id").agg(F.max("budget").alias("_most"))
+        summed = summed.join(most, "query_id").where("running <= _most").drop("_most")
     hit = F.struct("rank", "running", "document")
     return search.attach_documents(summed, vectors).groupBy("query_id").agg(
         F.array_sort(F.collect_list(hit)).alias("hits")
@@ -67,20 +74,23 @@ def import_contexts(
     make_predict: Callable | None = None,
     k: int = search.DEFAULT_K,
     metric: str = "l2",
+    embeddings: str | None = None,
 ) -> DataFrame:
     """(path, query, context): the names a file imports retrieve its context.
 
     Files with the same imports share one query, so the search runs over
     distinct query texts. Files differ only in budget: each takes the prefix of
-    the shared hit list that fits, without a window per file.
+    the shared hit list that fits, without a window per file. ``embeddings`` is
+    the folder of a store of embeddings.
     """
     asked = code.import_query(parsed, package).join(
         files.select("path", context_budget(F.col("content")).alias("budget")), "path"
     )
     query_id = F.sha2("query", 256).alias("query_id")
-    distinct = embedding.embed_distinct(asked, "query", make_predict)
+    distinct = embedding.embed_distinct(asked, "query", make_predict, embeddings)
     queries = written(distinct.select(query_id, "embedding"), "queries")
-    lists = hit_lists(ranked_tokens(queries, vectors, k, metric), vectors)
+    budgets = asked.select(query_id, "budget")
+    lists = hit_lists(ranked_tokens(queries, vectors, k, metric), vectors, budgets)
     return asked.withColumn("query_id", query_id).join(lists, "query_id", "left").select(
         "path", "query", fitting(F.col("hits"), F.col("budget")).alias("context")
     )

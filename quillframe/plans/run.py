@@ -27,6 +27,7 @@ class RunSettings:
     out_dir: str = "data"
     retrieve_type: str = describe.DESCRIPTION_TYPE
     tree: str | None = None
+    embedding_model: str = "hashed-words"  # each model keeps embeddings of its own
     retry: tuple = ()
 
 
@@ -67,17 +68,18 @@ def run(
     # descriptions have the number of the summaries they become part of: a repeat adds to what is kept there
     described_as = 1 + max(storage.versions(spark, f"{root}/summaries"), default=0)
 
+    embeddings = f"{root}/embeddings/{settings.embedding_model}"
     pending = incremental.pending_files(files, root)
     fresh = describe.describe_pending(pending, files, summaries, make_describe, f"{root}/replies/describe", settings.tree, **retry)
     storage.save_descriptions(fresh, f"{root}/descriptions", settings.out_dir, described_as)
     rows = describe.vector_rows(fresh, settings.out_dir, {"file_type": describe.DESCRIPTION_TYPE})
-    verdict = describe.store_vectors(rows, settings.collection, "descriptions", make_predict)
+    verdict = describe.store_vectors(rows, settings.collection, "descriptions", make_predict, embeddings)
     known = describe.keep_summaries(summaries, fresh, root)
 
     todo = written(changes.attach_content(pending.select("path"), files), "todo")
     stored = spark.table(settings.collection).where(F.col("file_type") == settings.retrieve_type)
     lookup = describe.first_descriptions(todo, known.withColumn("ordinal", F.lit(0)))
-    asked = written(document.document_prompts(todo, stored, lookup, settings.package, make_predict), "prompts")
+    asked = written(document.document_prompts(todo, stored, lookup, settings.package, make_predict, embeddings), "prompts")
     outputs = document.new_contents(asked, make_document, settings.tag, f"{root}/replies/document", **retry)
     changeset = written(folders.assign_by_depth(
         document.approved_contents(outputs, decisions), settings.report_depth, settings.report_per_file), "changeset")

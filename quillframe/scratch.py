@@ -15,13 +15,22 @@ WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names.
 
-    Without ``spark.checkpoint.dir`` it is a folder of the warehouse, which the
-    executors share too; a machine-local folder would lose data with its executor.
+    Without ``spark.checkpoint.dir`` it is a folder of the warehouse, if the
+    executors can share that: a folder of one machine loses data with it, so on
+    a cluster a warehouse without a file system of its own raises.
     """
     configured = spark.conf.get(CHECKPOINT_DIR, None)
     if configured:
         return configured.rstrip("/")
-    return f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/_scratch"
+    return shared_warehouse(spark.conf.get(WAREHOUSE_DIR), spark.sparkContext.master)
+
+
+def shared_warehouse(warehouse: str, master: str) -> str:
+    """Scratch folder in the warehouse; raises if only one machine of a cluster has it."""
+    scheme = warehouse.split(":", 1)[0] if ":" in warehouse else "file"
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors reach: {warehouse} is local to a machine")
+    return f"{warehouse.rstrip('/')}/_scratch"
 
 
 def _application_folder(spark: SparkSession) -> str:
