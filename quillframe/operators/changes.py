@@ -12,6 +12,9 @@ from quillframe.functions import paths
 from quillframe.functions.text import content_hash, universal_newlines
 from quillframe.operators.ordering import with_position
 
+#: So many selected rows may go to every task; beyond, they and the contents are sorted.
+FEW_ROWS = 100_000
+
 
 def fingerprints(files: DataFrame, key: str = "path") -> DataFrame:
     content = F.col("content")
@@ -73,6 +76,13 @@ def output_status(content: Column) -> Column:
 
 
 def attach_content(selected: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
-    """Bring the content back as text for the selected rows only; unreadable ones drop out."""
+    """Bring the content back as text for the selected rows only; unreadable ones drop out.
+
+    ``selected`` is read twice. Few rows go to the contents, which stay where they
+    are. Contents are never broadcast: a planner that sees their small file, before
+    they are derived or unpacked, would send all of them through the driver.
+    """
     readable = files.where(F.col("content").isNotNull())
-    return selected.join(readable.select(key, universal_newlines(F.col("content")).alias("content")), key)
+    contents = readable.select(key, universal_newlines(F.col("content")).alias("content"))
+    few = selected.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return F.broadcast(selected).join(contents, key) if few else selected.join(contents.hint("shuffle_merge"), key)

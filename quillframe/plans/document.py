@@ -55,8 +55,8 @@ def keep_versions(files: DataFrame, contents: DataFrame, at: Column, state_root:
 
 
 def updated_files(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """The file table after the run."""
-    new = contents.select("path", "new_content")
+    """The file table after the run. Contents meet by a sort: those of a small file can be too large to broadcast."""
+    new = contents.select("path", "new_content").hint("shuffle_merge")
     rest = [c for c in files.columns if c != "content"]
     return files.join(new, "path", "left").select(
         *rest, F.coalesce("new_content", "content").alias("content")

@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from quillframe.operators import changes, ordering, vectors
+from quillframe.plans import document
 
 
 def digest(content):
@@ -107,3 +108,18 @@ def test_a_path_that_occurs_again_has_its_newest_hash(spark):
     assert rows(changes.merge_manifest(old, new, order="at")) == [("a", "v2"), ("z", "2"), (None, "n")]
     assert rows(changes.merge_manifest(old, new)) == [("a", "v2"), ("z", "2"), (None, "n")]
     assert rows(changes.latest(new, "at")) == [("a", "v2", 2)]
+
+
+def test_contents_are_never_broadcast(spark, monkeypatch):
+    """Contents derived from next to nothing look small to the planner and can be any size."""
+    files = spark.range(10).select(F.concat(F.lit("f"), "id").alias("path"), F.repeat(F.lit("x\r\n"), 1000).alias("content"))
+    selected = files.select("path").where("path < 'f5'").unionByName(spark.createDataFrame([("f1",), ("gone",)], "path string"))
+    few = changes.attach_content(selected, files)
+    monkeypatch.setattr(changes, "FEW_ROWS", 2)
+    many = changes.attach_content(selected, files)
+    updated = document.updated_files(files, files.select("path", F.lit("y").alias("new_content")))
+    for found, broadcasts in ((few, 1), (many, 0), (updated, 0)):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == broadcasts and "BuildRight" not in plan
+    assert rows(few, "path", "content") == rows(many, "path", "content") and many.count() == 6
+    assert "BuildLeft" in few._jdf.queryExecution().sparkPlan().toString()
