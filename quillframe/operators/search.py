@@ -22,6 +22,8 @@ from quillframe.spreading import spread
 DEFAULT_K = 5  # fixed value: hits per query
 MAX_SHARED_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
+#: Blocks of a table while they stay under ``BLOCK_BYTES``: so often a row is copied.
+MOST_BLOCKS = 16
 FLOAT_BYTES = 4
 SCORED_QUERIES = 256
 SCORED_VECTORS = 8_192
@@ -102,7 +104,7 @@ class _Best:
         kept = by_id[_without_extra_copies(vectors[by_id], self.k)]
         ids, vectors = ids.take(pa.array(kept)), vectors[kept]
         self.scored += len(vectors) * len(chosen)
-        parts = [] if self.table is None else [self.table]
+        parts = []
         for start in range(0, len(chosen), SCORED_QUERIES):
             found = self._candidates(vectors, chosen[start:start + SCORED_QUERIES])
             if found is not None:
@@ -112,7 +114,8 @@ class _Best:
                         {"query": pa.array(query), "distance": pa.array(distance), "id": ids.take(pa.array(vector))}
                     )
                 )
-        self._keep_best(pa.concat_tables(parts) if parts else None)
+        if parts:
+            self._keep_best(pa.concat_tables(parts))
 
     def _candidates(self, vectors: np.ndarray, chosen: np.ndarray):
         queries = self.queries[chosen].astype(np.float64)
@@ -140,18 +143,25 @@ class _Best:
         keep = _place_in_group(row) < self.k
         return chosen[row[keep]], column[keep], distance[keep]
 
-    def _keep_best(self, table: pa.Table | None) -> None:
-        if table is None:
-            return
+    def _keep_best(self, table: pa.Table) -> None:
+        """Only queries with new candidates are sorted anew."""
+        others = None
+        if self.table is not None:
+            met = np.zeros(len(self.queries), bool)
+            met[table["query"].to_numpy()] = True
+            own = met[self.table["query"].to_numpy()]
+            others = self.table.filter(pa.array(~own))
+            table = pa.concat_tables([self.table.filter(pa.array(own)), table])
         table = table.take(
             pc.sort_indices(table, [("query", "ascending"), ("distance", "ascending"), ("id", "ascending")])
         )
         query = table["query"].to_numpy()
         place = _place_in_group(query)
-        self.table = table.filter(pa.array(place < self.k))
+        table = table.filter(pa.array(place < self.k))
         query, place = query[place < self.k], place[place < self.k]
         full = place == self.k - 1
-        self.worst[query[full]] = np.minimum(self.worst[query[full]], self.table["distance"].to_numpy()[full])
+        self.worst[query[full]] = np.minimum(self.worst[query[full]], table["distance"].to_numpy()[full])
+        self.table = (table if others is None else pa.concat_tables([others, table])).combine_chunks()
 
     def hits(self) -> list[pa.Table]:
         if self.table is None:
@@ -201,8 +211,10 @@ class Scorer:
         for width, best in self.best.items():
             own = (widths == width) & (width > 0)
             if own.any():
-                every = own.all()
-                best.add(ids if every else ids.filter(pa.array(own)), matrix_of(embeddings if every else embeddings.filter(pa.array(own))))
+                rows = np.flatnonzero(own)
+                for low in range(0, len(rows), SCORED_VECTORS):
+                    taken = pa.array(rows[low:low + SCORED_VECTORS])
+                    best.add(ids.take(taken), matrix_of(embeddings.take(taken)))
             if not own.all():
                 self._without_distance(width, ids.filter(pa.array(~own)))
 
@@ -239,9 +251,16 @@ def _proven_small(queries: DataFrame, max_bytes: int) -> bool:
     return (queries.agg(F.sum(one)).first()[0] or 0) <= max_bytes
 
 
-def _rows_per_block(rows: DataFrame, block_bytes: int) -> int:
-    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
-    return max(1, block_bytes // (width * FLOAT_BYTES))
+def rows_per_block(rows: int, width: int, block_bytes: int) -> int:
+    """Blocks of ``block_bytes``, larger ones where there would be more than
+    ``MOST_BLOCKS``, but none over ``BLOCK_BYTES``, if that is more."""
+    least, most = (max(1, size // (max(width, 1) * FLOAT_BYTES)) for size in (block_bytes, max(block_bytes, BLOCK_BYTES)))
+    return min(most, max(least, math.ceil(rows / MOST_BLOCKS)))
+
+
+def _blocks(rows: DataFrame, block_bytes: int) -> int:
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("width")).first()
+    return max(1, math.ceil(found.rows / rows_per_block(found.rows, found.width or 1, block_bytes)))
 
 
 def one_array(column: pa.ChunkedArray) -> pa.Array:
@@ -270,13 +289,12 @@ def _in_blocks(
 ) -> DataFrame:
     """Every block of queries meets every block of vectors in a task of its own.
 
-    Blocks hold a fixed number of bytes and come from hashes of unique ids, so
+    Blocks hold a bounded number of bytes and come from hashes of unique ids, so
     they are even whatever the data. Vectors are copied once per query block,
-    queries once per vector block.
+    queries once per vector block; blocks of ``block_bytes`` grow with the tables
+    up to ``BLOCK_BYTES``, so that copies don't grow with their square.
     """
-    per_block = _rows_per_block(queries, block_bytes)
-    query_blocks = max(1, math.ceil(queries.count() / per_block))
-    vector_blocks = max(1, math.ceil(vectors.count() / per_block))
+    query_blocks, vector_blocks = _blocks(queries, block_bytes), _blocks(vectors, block_bytes)
 
     def block(column: str, count: int):
         return F.pmod(F.xxhash64(column), F.lit(count))
