@@ -24,6 +24,8 @@ from quillframe.spreading import spread
 
 #: Pivots are held by every task: so many rows of one width at most.
 MAX_PIVOTS = 1024
+#: Rows that are compared with all pivots at once: a few matrices of so many rows and a column a pivot.
+PIVOTED_ROWS = 1024
 #: The cell of vectors that no bound holds for: another width, no numbers, no direction.
 REST = -1
 CELLS = "cell int, vectors bigint, nearest double, farthest double, pivot array<float>"
@@ -62,16 +64,16 @@ class Cells:
     def width(self) -> int:
         return self.pivots.shape[1]
 
-    def bounds(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Straight distances of queries to pivots, an upper bound on each query's k-th
-        straight distance (infinite for fewer vectors), and what rounding can change."""
+    def bounds(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Straight distances of queries to pivots, and an upper bound on each query's k-th
+        straight distance (infinite for fewer vectors). ``PIVOTED_ROWS`` queries at most."""
         points, pivots = _points(queries, self.metric), _points(self.pivots, self.metric)
         to_pivot = _straight(points, pivots)
-        norms = np.sqrt((points**2).sum(axis=1))
-        most = np.sqrt((pivots**2).sum(axis=1)).max(initial=0) + self.farthest.max(initial=0)
-        slack = 1e-6 * (norms + most) + 1e-9
+        norms, slack = np.sqrt((points**2).sum(axis=1)), self.slack(points)
         outer = to_pivot + self.farthest[None, :]
-        order = np.argsort(outer, axis=1)
+        near = min(k, outer.shape[1])  # no cell is empty
+        order = np.argpartition(outer, near - 1, axis=1)[:, :near] if near else np.zeros((len(points), 0), np.int64)
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(outer, order, 1), axis=1), 1)
         enough = np.cumsum(self.vectors[order], axis=1) >= k
         upper = np.full(len(queries), np.inf)
         has = enough.any(axis=1)
@@ -79,7 +81,17 @@ class Cells:
         upper[has] = np.take_along_axis(outer, np.take_along_axis(order, first[:, None], 1), 1)[has, 0]
         if self.metric == "cosine":  # a query without a direction is at distance 1 from all
             upper[norms == 0] = np.inf
-        return to_pivot, upper + 2 * slack, slack
+        return to_pivot, upper + 2 * slack
+
+    def slack(self, points: np.ndarray) -> np.ndarray:
+        """What rounding can change in straight distances of these points."""
+        most = np.sqrt((_points(self.pivots, self.metric)**2).sum(axis=1)).max(initial=0) + self.farthest.max(initial=0)
+        return 1e-6 * (np.sqrt((points**2).sum(axis=1)) + most) + 1e-9
+
+    def upper_bounds(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """The upper bounds of any number of queries."""
+        parts = [self.bounds(queries[low:low + PIVOTED_ROWS], k)[1] for low in range(0, len(queries), PIVOTED_ROWS)]
+        return np.concatenate([np.zeros(0), *parts])
 
     def reached(self, to_pivot: np.ndarray, upper: np.ndarray, cells: slice | int = slice(None)) -> np.ndarray:
         """Whether a vector of a cell can be as near as the bound."""
@@ -141,8 +153,8 @@ def write_index(vectors: DataFrame, path: str, metric: str = "l2", pivots: int |
             cell, to_pivot = np.full(batch.num_rows, REST, np.int32), np.zeros(batch.num_rows)
             embeddings = batch.column("embedding")
             own = np.flatnonzero(search.shape_of(embeddings) == width) if width else np.zeros(0, np.int64)
-            for low in range(0, len(own), search.SCORED_VECTORS):
-                rows = own[low:low + search.SCORED_VECTORS]
+            for low in range(0, len(own), PIVOTED_ROWS):
+                rows = own[low:low + PIVOTED_ROWS]
                 found = _points(search.matrix_of(embeddings.take(pa.array(rows))), metric)
                 if metric == "cosine":
                     directed = (found != 0).any(axis=1)
@@ -183,14 +195,19 @@ def read_index(spark: SparkSession, path: str) -> MetricIndex:
 
 
 class CellScorer:
-    """Hits among vectors that pass by in the order of their cells."""
+    """Hits among vectors that pass by in the order of their cells.
 
-    def __init__(self, query_ids: pa.Array, embeddings: pa.Array, k: int, cells: Cells):
+    ``upper`` has the queries' bounds, if they are all of the index's width and
+    the bounds are known. Distances to a pivot are found when its cell comes.
+    """
+
+    def __init__(self, query_ids: pa.Array, embeddings: pa.Array, k: int, cells: Cells, upper: np.ndarray | None = None):
         self.cells, self.scorer = cells, search.Scorer(query_ids, embeddings, k, cells.metric)
         self.best = self.scorer.best.get(cells.width) if cells.width else None
         if self.best:
-            self.to_pivot, upper, self.slack = cells.bounds(self.best.queries, k)
-            self.best.worst = _as_distance(upper, cells.metric)
+            self.points, self.pivots = _points(self.best.queries, cells.metric), _points(cells.pivots, cells.metric)
+            self.slack = cells.slack(self.points)
+            self.best.worst = _as_distance(cells.upper_bounds(self.best.queries, k) if upper is None else upper, cells.metric)
 
     def _reach(self) -> np.ndarray:
         """Straight distance that is still of interest to each query."""
@@ -210,7 +227,7 @@ class CellScorer:
                 self._add_cell(int(cell[begin]), ids, embeddings, np.arange(begin, end), to_pivot[here])
 
     def _add_cell(self, cell: int, ids: pa.Array, embeddings: pa.Array, rows: np.ndarray, to_pivot: np.ndarray) -> None:
-        reach, away = self._reach(), self.to_pivot[:, cell]
+        reach, away = self._reach(), _straight(self.points, self.pivots[cell:cell + 1])[:, 0]
         chosen = np.flatnonzero(self.cells.reached(away, reach, cell))
         if not len(chosen):
             return
@@ -227,15 +244,17 @@ def _shared(queries: DataFrame, index: MetricIndex, schema: T.StructType, k: int
     table = queries.toArrow()
     ids, embeddings = search.one_array(table["query_id"]), search.one_array(table["embedding"])
     matrix, visited = search.matrix_of(embeddings, np.float32), np.zeros(len(index.cells.pivots), bool)
-    for low in range(0, len(matrix), search.SCORED_VECTORS):
-        to_pivot, upper, _ = index.cells.bounds(matrix[low:low + search.SCORED_VECTORS], k)
+    bounds = [np.zeros(0)]
+    for low in range(0, len(matrix), PIVOTED_ROWS):
+        to_pivot, upper = index.cells.bounds(matrix[low:low + PIVOTED_ROWS], k)
         visited |= index.cells.reached(to_pivot, upper).any(axis=0)
+        bounds.append(upper)
     cells = [REST, *np.flatnonzero(visited).tolist()]
-    shared = index.vectors.sparkSession.sparkContext.broadcast((ids, embeddings, astuple(index.cells)))
+    shared = index.vectors.sparkSession.sparkContext.broadcast((ids, embeddings, astuple(index.cells), np.concatenate(bounds)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own_embeddings, own_cells = shared.value
-        best = CellScorer(own_ids, own_embeddings, k, Cells(*own_cells))
+        own_ids, own_embeddings, own_cells, upper = shared.value
+        best = CellScorer(own_ids, own_embeddings, k, Cells(*own_cells), upper)
         for batch in batches:
             if batch.num_rows:
                 best.add(batch.column("id"), batch.column("embedding"), batch.column("cell").to_numpy(), batch.column("to_pivot").to_numpy())
@@ -246,55 +265,82 @@ def _shared(queries: DataFrame, index: MetricIndex, schema: T.StructType, k: int
     return index.vectors.where(F.col("cell").isin(cells)).select("id", "embedding", "cell", "to_pivot").mapInArrow(score, schema)
 
 
-def visits(queries: DataFrame, index: MetricIndex, k: int) -> DataFrame:
-    """(query_id, embedding, cell): the cells that each query can have hits in."""
-    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
+def visits(queries: DataFrame, index: MetricIndex, k: int, regions: list[int] | None = None) -> DataFrame:
+    """(query_id, embedding, cell, upper): the cells that each query can have hits in, and its bound.
+
+    ``regions`` names the region of every cell, ``REST`` first: a query comes once
+    for all cells of one, which stands in ``cell``.
+    """
+    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("upper", T.DoubleType())])
     cells = index.cells
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, search.SCORED_QUERIES):
                 part = batch.slice(low, search.SCORED_QUERIES)
-                to_pivot, upper, _ = cells.bounds(search.matrix_of(part.column("embedding"), np.float32), k)
+                to_pivot, upper = cells.bounds(search.matrix_of(part.column("embedding"), np.float32), k)
                 query, cell = np.nonzero(cells.reached(to_pivot, upper))
                 if cells.rest:
                     query = np.concatenate([query, np.arange(part.num_rows)])
                     cell = np.concatenate([cell, np.full(part.num_rows, REST)])
+                if regions:
+                    query, cell = np.divmod(np.unique(query * len(regions) + np.array(regions)[cell + 1]), len(regions))
                 taken = part.take(pa.array(query))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32))], names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(cell.astype(np.int32)), pa.array(upper[query])], names=schema.names)
 
     return queries.mapInArrow(visit, schema)
 
 
+def regions_of(vectors: list[int], per_block: int) -> tuple[list[int], list[int]]:
+    """The region of every cell, given their numbers of vectors, and the parts of every region.
+
+    A region is a run of cells of a block of vectors together, or a single larger
+    cell in parts.
+    """
+    regions, parts, held = [], [], per_block + 1
+    for n in vectors:
+        if held + n > per_block:
+            parts.append(max(1, math.ceil(n / per_block)))
+            held = 0
+        held += n
+        regions.append(len(parts) - 1)
+    return regions, parts
+
+
 def _by_visits(queries: DataFrame, index: MetricIndex, schema: T.StructType, k: int, block_bytes: int) -> DataFrame:
     """Queries travel to the cells they can have hits in.
 
-    A cell of more vectors than a block has parts, and queries are dealt to as
-    many lots as keep a lot within a block, so no task holds more than a block
-    of each whatever a cell's share of vectors or of queries is.
+    Cells are taken together up to a block of vectors, a cell of more has parts,
+    and queries are dealt to as many lots as keep a lot within a block, so no task
+    holds more than a block of each whatever a cell's share of vectors or of
+    queries is. Blocks grow with the tables as ``search.nearest`` has them.
     """
-    cells, per_block = index.cells, max(1, block_bytes // (max(index.cells.width, 1) * search.FLOAT_BYTES))
-    lots = max(1, math.ceil(queries.count() / per_block))
-    parts = [max(1, math.ceil(int(n) / per_block)) for n in [cells.rest, *cells.vectors]]
-    parts_of = F.element_at(F.array(*map(F.lit, parts)), F.col("cell") + 2)
+    cells, vectors = index.cells, [int(n) for n in (index.cells.rest, *index.cells.vectors)]
+    count = queries.count()
+    lots = max(1, math.ceil(count / search.rows_per_block(count, cells.width, block_bytes)))
+    regions, parts = regions_of(vectors, search.rows_per_block(sum(vectors), cells.width, block_bytes))
+    region, parts_of = F.element_at(F.array(*map(F.lit, regions)), F.col("cell") + 2), F.element_at(F.array(*map(F.lit, parts)), F.col("_region") + 1)
     lot = F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int").alias("_lot")
     part = F.pmod(F.xxhash64("id"), parts_of).cast("int").alias("_part")
-    left = visits(queries, index, k).select(
-        "query_id", "embedding", "cell", lot, F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("_part"))
-    right = index.vectors.select(
-        "id", "embedding", "to_pivot", "cell", part, F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("_lot"))
+    left = visits(queries, index, k, regions).withColumnRenamed("cell", "_region").select(
+        "query_id", "embedding", "upper", "_region", lot, F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("_part"))
+    right = index.vectors.withColumn("_region", region).select(
+        "id", "embedding", "to_pivot", "cell", "_region", part, F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("_lot"))
     target = pa.schema([(f.name, search.arrow_type(f.dataType)) for f in schema])
 
     def score(query_table: pa.Table, vector_table: pa.Table) -> pa.Table:
         if not query_table.num_rows or not vector_table.num_rows:
             return target.empty_table()
-        best = CellScorer(search.one_array(query_table["query_id"]), search.one_array(query_table["embedding"]), k, cells)
+        vector_table = vector_table.sort_by("cell")
+        best = CellScorer(search.one_array(query_table["query_id"]), search.one_array(query_table["embedding"]), k, cells,
+                          query_table["upper"].to_numpy())
         best.add(search.one_array(vector_table["id"]), search.one_array(vector_table["embedding"]),
                  vector_table["cell"].to_numpy(), vector_table["to_pivot"].to_numpy())
         hits = best.scorer.hits()
         return target.empty_table() if hits is None else hits.cast(target)
 
-    keys = [F.col("cell"), F.col("_part"), F.col("_lot")]
+    keys = [F.col("_region"), F.col("_part"), F.col("_lot")]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 

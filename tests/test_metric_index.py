@@ -1,5 +1,7 @@
 """The stored index against the search without one."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -110,3 +112,35 @@ def test_widths_of_embeddings():
     nan, inf = float("nan"), float("inf")
     embeddings = pa.array([[1.0, 2.0], [], [nan], [1.0, None], [3.0], [inf, 1.0, 2.0]], pa.list_(pa.float32()))
     assert search.shape_of(embeddings).tolist() == [2, 0, 0, 0, 1, 0]
+
+
+def test_blocks_and_regions_are_bounded_in_number_and_size():
+    wide = 64 * search.FLOAT_BYTES
+    for rows, least, most in ((1_000, 4, 4), (100_000, 2, 16), (720_000, 2, 16), (100_000_000, 382, 382)):
+        blocks = -(-rows // search.rows_per_block(rows, 64, 64 * 1024))
+        assert least <= blocks <= most and -(-rows // blocks) * wide <= search.BLOCK_BYTES
+    regions, parts = mi.regions_of([0, 3, 3, 25, 1, 9, 2], 10)
+    assert regions == [0, 0, 0, 1, 2, 2, 3] and parts == [1, 3, 1, 1]
+
+
+def test_rows_are_copied_a_bounded_number_of_times(spark, tmp_path):
+    """Blocks and lots of one row would copy each of 200 rows 200 times."""
+    noise = np.random.default_rng(8).normal(size=(200, 8))
+    queries, vectors = query_rows(spark, noise), vector_rows(spark, noise)
+    index = mi.write_index(vectors, str(tmp_path / "i"))
+    for found in (search.nearest(queries, vectors, max_shared_bytes=0, block_bytes=8),
+                  mi.nearest_indexed(queries, index, max_shared_bytes=0, block_bytes=8)):
+        wanted = rows(search.nearest(queries, vectors), *ROWS)
+        assert rows(found, *ROWS) == wanted
+        numbers = re.findall(r"sequence\(0, (\d+)", found._jdf.queryExecution().analyzed().toString())
+        assert numbers and max(map(int, numbers)) < search.MOST_BLOCKS
+
+
+def test_queries_meet_all_pivots_in_bounded_numbers(spark, tmp_path, monkeypatch):
+    noise, most = np.random.default_rng(9).normal(size=(300, 8)), []
+    monkeypatch.setattr(mi, "PIVOTED_ROWS", 64)
+    straight = mi._straight
+    monkeypatch.setattr(mi, "_straight", lambda a, b: most.append(len(a) * len(b)) or straight(a, b))
+    index = mi.write_index(vector_rows(spark, noise), str(tmp_path / "i"), pivots=32)
+    scored_pairs(index, query_rows(spark, noise))
+    assert max(most) <= max(64 * 32, len(noise))
