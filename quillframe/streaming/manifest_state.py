@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,22 +22,23 @@ from quillframe.operators import changes
 from quillframe.streaming.arrivals import ARRIVALS
 
 CHANGED = "path string, sha256 string, size_bytes bigint, known string"
+COLUMNS = ["path", "sha256", "size_bytes", "known"]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One path: its newest hash is kept, a row comes out if that is another than before."""
-    rows = [r for part in parts for r in part.itertuples(index=False)]
-    before = state.get[0] if state.exists else None
-    told = [r.sha256 for r in rows if r.recorded]
-    before = max(told) if told else before
-    arrived = [r for r in rows if not r.recorded]
-    after = max(arrived, key=lambda r: (r.arrived, r.sha256)).sha256 if arrived else before
+    before, told, arrived = state.get[0] if state.exists else None, [], []
+    for part in parts:  # lists of columns: tuples and frames of single paths cost more than the hashes
+        for sha256, size, at, recorded in zip(*(part[c].tolist() for c in ("sha256", "size_bytes", "arrived", "recorded"))):
+            (told if recorded else arrived).append((sha256,) if recorded else (at, sha256, size))
+    before = max(told)[0] if told else before
+    after = max(arrived)[1] if arrived else before
     state.update((after,))
     if after != before:
-        size = max(r.size_bytes for r in arrived if r.sha256 == after)
-        yield pd.DataFrame({"path": [key[0]], "sha256": [after], "size_bytes": [size if size >= 0 else None], "known": [before]})
+        size = max(s for _, sha256, s in arrived if sha256 == after)
+        yield pd.DataFrame(np.array([[key[0], after, size if size >= 0 else None, before]], dtype=object), columns=COLUMNS)
 
 
 def changed_arrivals(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
