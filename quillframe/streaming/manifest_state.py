@@ -11,10 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quillframe import schemas
@@ -22,23 +20,31 @@ from quillframe.operators import changes
 from quillframe.streaming.arrivals import ARRIVALS
 
 CHANGED = "path string, sha256 string, size_bytes bigint, known string"
-COLUMNS = ["path", "sha256", "size_bytes", "known"]
+STATE = "manifest"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One path: its newest hash is kept, a row comes out if that is another than before."""
-    before, told, arrived = state.get[0] if state.exists else None, [], []
-    for part in parts:  # lists of columns: tuples and frames of single paths cost more than the hashes
-        for sha256, size, at, recorded in zip(*(part[c].tolist() for c in ("sha256", "size_bytes", "arrived", "recorded"))):
-            (told if recorded else arrived).append((sha256,) if recorded else (at, sha256, size))
-    before = max(told)[0] if told else before
-    after = max(arrived)[1] if arrived else before
-    state.update((after,))
-    if after != before:
-        size = max(s for _, sha256, s in arrived if sha256 == after)
-        yield pd.DataFrame(np.array([[key[0], after, size if size >= 0 else None, before]], dtype=object), columns=COLUMNS)
+class _Newest(StatefulProcessor):
+    """One path at a time: its newest hash is kept, a row comes out if that is another than before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hash = handle.getValueState(STATE, "sha256 string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept, told, arrived = self.hash.get(), [], []
+        for r in rows:
+            (told if r.recorded else arrived).append((r.sha256,) if r.recorded else (r.arrived, r.sha256, r.size_bytes))
+        before = max(told)[0] if told else kept[0] if kept else None
+        after = max(arrived)[1] if arrived else before
+        if kept is None or kept[0] != after:
+            self.hash.update((after,))
+        if after != before:
+            size = max(s for _, sha256, s in arrived if sha256 == after)
+            yield Row(path=key[0], sha256=after, size_bytes=size if size >= 0 else None, known=before)
+
+    def close(self) -> None:
+        pass
 
 
 def changed_arrivals(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
@@ -60,8 +66,7 @@ def changed_arrivals(files: DataFrame, manifest: DataFrame | None = None) -> Dat
     if manifest is not None:
         rows = rows.unionByName(manifest.select(
             "path", "sha256", F.lit(-1).cast("bigint").alias("size_bytes"), least.alias("arrived"), F.lit(True).alias("recorded")))
-    return rows.groupBy("path").applyInPandasWithState(
-        _newest, CHANGED, "sha256 string", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("path").transformWithState(_Newest(), CHANGED, "Update", "None")
 
 
 @contextmanager
@@ -101,5 +106,5 @@ def table_writer(out: str) -> Callable[[DataFrame, int], None]:
 
 def manifest_of(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(path, sha256) as the state has it after the last finished micro-batch."""
-    state = spark.read.format("statestore").load(checkpoint)
-    return state.select(F.col("key.path").alias("path"), F.col("value.groupState.sha256").alias("sha256"))
+    state = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
+    return state.select(F.col("key.path").alias("path"), F.col("value.sha256").alias("sha256"))

@@ -82,3 +82,14 @@ def test_null_paths_and_unordered_arrivals(spark, stream):
     hashed = spark.createDataFrame(files, ARRIVALS).selectExpr("path", "sha2(content, 256) AS sha256", "arrived")
     newest = changes.merge_manifest(hashed.limit(0), hashed, order="arrived")
     assert stream.manifest() == rows(newest, "path", "sha256") and len(stream.changed(0)) == 3
+
+
+def test_paths_are_not_frames_and_a_null_hash_is_kept(spark, stream, tmp_path):
+    """The state takes rows: a frame or two per path cost far more than its hashes."""
+    spark.createDataFrame([("kept", None), ("b", "old")], "path string, sha256 string").write.parquet(str(tmp_path / "start"))
+    stream.land(("a", "1", 1), ("b", "2", 1))
+    stream.run(str(tmp_path / "start"))
+    assert [r.operatorName for r in spark.read.format("state-metadata").load(stream.check).select("operatorName").distinct().collect()] == ["transformWithStateInPySparkExec"]
+    known = rows(spark.read.schema(ms.CHANGED).parquet(f"{stream.out}/batch=0"), "path", "known")
+    assert known == [("a", None), ("b", "old")]
+    assert [(path, sha256 is None) for path, sha256 in stream.manifest()] == [("a", False), ("b", False), ("kept", True)]
